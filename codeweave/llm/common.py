@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that an operator turns into one output batch at most (one longer text still makes one).
@@ -59,7 +60,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         if n:
             yield batch
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(arr), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i in range(n):
         if total and total + size[i] > most:
@@ -72,7 +73,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array, without copying where there are no nulls; null texts count as empty."""
     if arr.null_count:
-        arr = pa.compute.fill_null(arr, "")
+        arr = pc.fill_null(arr, "")
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     kind = np.int64 if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type) else np.int32
