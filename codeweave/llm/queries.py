@@ -8,21 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, html_text, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document, and the way back."""
     out = bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response."""
+    out = warc.derive(warc.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), keep=["page_id", "url"])
+    return out.select("page_id", "url", "record_type", "record_id", "refers_to", "concurrent_to", "source_payload_digest", "digest_ok", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_html": op6_html,
     "op7_bpe": op7_bpe,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
