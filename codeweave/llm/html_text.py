@@ -235,4 +235,4 @@ def extract(df: DataFrame, *, html_col: str = "html", keep: list[str] | None = N
                 cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], names=[*keep, *new])
 
-    return source.mapInArrow(run, source.drop("__html").schema.add("main_text", "string").add("n_main_blocks", "int").add("n_blocks", "int"))
+    return source.mapInArrow(run, source.drop("__html").schema.add("main_text", "string").add("n_main_blocks", "integer").add("n_blocks", "integer"))
