@@ -123,15 +123,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse; those of short spans are kept."""
+    if len(_POWERS[0]) <= n:
+        size = max(n + 1, 1 << 16)
+        both = []
+        for base in (_BASE, _INVERSE):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, out=p))
+        if size > 1 << 22:
+            return both[0], both[1]
+        _POWERS[:] = both
+    return _POWERS[0], _POWERS[1]
+
+
 def span_hashes(units: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of units[begin:end], in time linear in the units: a polynomial by prefix sums, then mixed with the length."""
     n = len(units)
-    powers = np.ones(n + 1, np.uint64)
-    powers[1:] = _BASE
-    np.cumprod(powers, out=powers)
+    powers, back = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    back = np.ones(n + 1, np.uint64)
-    back[1:] = _INVERSE
-    np.cumprod(back, out=back)
+    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
     return mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -8,13 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, warc
+from . import bpe, html_text, lz, sharding, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 39 of near-equal bytes, by ranges of the texts' hashes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = _docs(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+    out = sharding.shard(rows, 40, key=F.col("text_hash"), size=F.col("size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's phrase fingerprint against its edited text's and its neighbour's."""
+    return lz.compare_neighbours(_docs(spark, sf_dir))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     out = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
@@ -34,6 +47,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_splitters": op1_splitters,
+    "op4_lempel_ziv": op4_lempel_ziv,
     "op6_html": op6_html,
     "op7_bpe": op7_bpe,
     "op10_warc": op10_warc,
