@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, lz, sharding, warc
+from . import bpe, html_text, lz, sharding, simhash, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.compare_neighbours(_docs(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose fingerprints differ in 4 bits at most."""
+    out = simhash.near_duplicates(_docs(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     out = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id", "url"])
@@ -49,6 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_splitters": op1_splitters,
     "op4_lempel_ziv": op4_lempel_ziv,
+    "op5_simhash": op5_simhash,
     "op6_html": op6_html,
     "op7_bpe": op7_bpe,
     "op10_warc": op10_warc,
