@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, lz, sharding, simhash, warc
+from . import bpe, html_text, lz, quality, sharding, simhash, substrings, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op1_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards the good labels keeps."""
+    return quality.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents that repeat what stands elsewhere, and where it stays."""
+    out = substrings.repeated_spans(_docs(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.col("first_id").alias("first_doc_id"), "begin", "end", "n_chunks")
+
+
 def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's phrase fingerprint against its edited text's and its neighbour's."""
     return lz.compare_neighbours(_docs(spark, sf_dir))
@@ -54,6 +65,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_splitters": op1_splitters,
+    "op2_resampling": op2_resampling,
+    "op3_chunks": op3_chunks,
     "op4_lempel_ziv": op4_lempel_ziv,
     "op5_simhash": op5_simhash,
     "op6_html": op6_html,
