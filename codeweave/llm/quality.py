@@ -1,11 +1,13 @@
 """Quality classifier by importance resampling.
 
-Each document is the set of its hashed n-grams: words (runs of letters, digits or other signs, A-Z lower-cased) and pairs of word
-shapes (case, kind, length class, repeats). Two generative models give each n-gram's chance in a target document (labelled good, not
+Each document is the set of its hashed n-grams: words (runs of letters, digits or other signs, A-Z lower-cased), their
+first four bytes, words that make up much of the document, and pairs of word shapes (kind, case, repeats). Two generative models give each n-gram's chance in a target document (labelled good, not
 toxic) and in a raw one (all documents); a document's log weight is the sum of the log ratios. N-grams whose labels don't
-tell target from rejected documents (binomial test, corrected for the number of n-grams) count as equally likely under both, so clean
+tell target from rejected documents (`ratio` times rarer in target documents at least, and a binomial test corrected for the number of n-grams) count as equally likely under both, so clean
 documents weigh alike at any length. Gumbel noise is added to the weights and the top k are the sample, drawn without replacement in proportion to
-the weights; k is the sum of the weights, one at most each.
+the weights; k is the sum of the weights, one at most each. The test is fitted on a bounded sample of labelled rows (`most_labelled` of either
+label, by the hash of the id), from which near copies are dropped, so that a document that was copied often speaks once.
+The raw model covers all rows.
 
 Nulls and empty texts have no n-grams and weight one. Without target or rejected labels everything stays. Labels of one id in several rows
 count as toxic, or bad, if any is. Ties at the last place all stay; repeated rows stay or go together.
@@ -34,8 +36,26 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
-def ngrams(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of the n-grams of the texts, each once a text, in order."""
+#: Minimum hashes of word triples by which near copies among the labelled rows are told.
+SKETCH = 4
+
+
+def _sketch(word: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """Minimum hashes of the word triples of each text (of its shorter runs, if it has no triple)."""
+    triple = word.copy()
+    for step, factor in ((1, 3), (2, 5)):
+        same = text[step:] == text[:-step]
+        triple[:-step][same] += mix(word[step:][same] + np.uint64(factor))
+    first = np.searchsorted(text, np.arange(texts))
+    there = np.append(first[1:], len(text)) > first
+    out = np.zeros((texts, SKETCH), np.uint64)
+    for i in range(SKETCH):
+        out[there, i] = np.minimum.reduceat(mix(triple + np.uint64(i)), first[there])
+    return out
+
+
+def ngrams(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the n-grams of the texts, each once a text, in order; fills `sketches`, if given."""
     none = np.zeros(0, np.int64)
     if not len(raw):
         return none, none
@@ -51,10 +71,12 @@ def ngrams(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tupl
         return none, none
     text = np.searchsorted(offsets, begin, side="right") - 1
     word = span_hashes(LOWER[raw], begin, end)
+    if sketches is not None:
+        sketches[:] = _sketch(word, text, len(offsets) - 1)
     capitals = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(_UPPER[raw], out=capitals[1:])
     size = end - begin
-    shape = kind[begin].astype(np.uint64) * np.uint64(64) + np.minimum(size, 4).astype(np.uint64) * np.uint64(8)
+    shape = kind[begin].astype(np.uint64) * np.uint64(8)
     shape += ((capitals[end] - capitals[begin]) * 2 > size).astype(np.uint64) * np.uint64(4)
     letters = kind[begin] == 1
     at = np.flatnonzero(letters)  # repeats: the same word as the word before
@@ -66,8 +88,14 @@ def ngrams(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tupl
     shape += twice.astype(np.uint64)
     same = text[1:] == text[:-1]
     pair = mix(shape[:-1] * np.uint64(1 << 20) + shape[1:] + np.uint64(1 << 50))[same]
-    texts = np.concatenate([text, text[1:][same]])
-    keys = np.unique(texts.astype(np.uint64) * np.uint64(buckets) + np.concatenate([word, pair]) % np.uint64(buckets))
+    stem = letters & (size > 4)
+    stems = mix(span_hashes(LOWER[raw], begin[stem], begin[stem] + 4) + np.uint64(1))
+    most = np.uint64(buckets)
+    words, counts = np.unique(text.astype(np.uint64) * most + word % most, return_counts=True)
+    held = np.bincount(text, minlength=len(offsets) - 1)
+    dense = words[(counts >= 4) & (counts * 12 >= held[(words // most).astype(np.int64)])]
+    dense = dense // most * most + mix(dense % most + np.uint64(1 << 51)) % most
+    keys = np.unique(np.concatenate([words, dense, text[stem].astype(np.uint64) * most + stems % most, text[1:][same].astype(np.uint64) * most + pair % most]))
     return (keys // np.uint64(buckets)).astype(np.int64), (keys % np.uint64(buckets)).astype(np.int64)
 
 
@@ -78,25 +106,33 @@ def _log_tail(a: int, n: int, p: float) -> float:
     return top + log(sum(np.exp(np.array(terms) - top)))
 
 
-def weigh(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, least: int = 5, error: float = 0.01, buckets: int = BUCKETS, table: Tables | None = None) -> DataFrame:
+def weigh(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most_labelled: int = 20_000, least: int = 5, ratio: float = 20.0, error: float = 0.1, buckets: int = BUCKETS, table: Tables | None = None) -> DataFrame:
     """Columns `keep` (default: the id) with log_weight double (0 or less) and n_telling int, the telling n-grams found.
 
-    Two passes over the texts: labelled documents for the test, all documents for the raw model and the weights. The driver holds
-    the telling n-grams only, buckets at most in number."""
+    Two passes over the texts: the sampled labelled documents for the test, all documents for the raw model and the weights. The driver holds
+    the hashes of most_labelled ids of either label and the telling n-grams, buckets at most in number."""
     tables = table or Tables(df.sparkSession, "quality")
     keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c not in ("log_weight", "n_telling")]
-    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.min(F.coalesce("quality", F.lit(0))) * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("int").alias("good"))
-    labelled = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text")).join(marks, "__id").select("good", "text")
-    counted = labelled.mapInArrow(lambda b: _count(b, buckets), "bucket long, target long, rejected long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("rejected").alias("rejected"))
-    counted = tables.put(counted, "labelled")
+    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.xxhash64(id_col).alias("h")).agg((F.min(F.coalesce("quality", F.lit(0))) * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("int").alias("good"))
+    some = {g: np.sort(np.array([r[0] for r in marks.where(F.col("good") == g).select("h").orderBy(F.xxhash64("h")).limit(most_labelled).collect()], np.int64)) for g in (0, 1)}
+    chosen = np.concatenate([some[0], some[1]])
+    good = np.repeat([False, True], [len(some[0]), len(some[1])])[np.argsort(chosen)]
+    chosen = np.sort(chosen)
+    texts = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text")).where(F.col(f"`{id_col}`").isNotNull())
+    read = tables.put(texts.mapInArrow(lambda b: _labelled(b, chosen, good, buckets), f"row long, good boolean, buckets array<long>, {', '.join(f'k{i} long' for i in range(SKETCH))}"), "labelled")
+    apart = read.drop("buckets")
+    for i in range(SKETCH):
+        apart = apart.groupBy(f"k{i}", "good").agg(F.min_by(F.struct("row", *[f"k{j}" for j in range(SKETCH) if j > i]), "row").alias("x")).select("good", "x.*")
+    counted = read.join(apart.select("row"), "row", "left_semi").select("good", F.explode(F.concat("buckets", F.array(F.lit(-1)).cast("array<long>"))).alias("bucket"))
+    counted = counted.groupBy("bucket").agg(F.count_if("good").alias("target"), F.count_if(~F.col("good")).alias("rejected"))
+    counted = tables.put(counted, "counted")
     total = counted.where("bucket < 0").first()
     n_target, n_rejected = (total["target"], total["rejected"]) if total else (0, 0)
     telling: dict[int, int] = {}
     if n_target and n_rejected:
         able = counted.where((F.col("bucket") >= 0) & (F.col("target") + F.col("rejected") >= least))
         share, tests = n_target / (n_target + n_rejected), max(1, able.count())
-        # 2.72 times rarer in target documents, at least; the exact test is on the few that are left
-        fit = able.where((F.col("rejected") >= least) & (F.col("target") * n_rejected * 2.72 < F.col("rejected") * n_target)).toLocalIterator(prefetchPartitions=True)
+        fit = able.where((F.col("rejected") >= least) & (F.col("target") * n_rejected * ratio < F.col("rejected") * n_target)).toLocalIterator(prefetchPartitions=True)
         telling = {r["bucket"]: r["target"] for r in fit if _log_tail(r["target"], r["target"] + r["rejected"], share) < log(error / tests)}
     known = np.array(sorted(telling), np.int64)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
@@ -122,16 +158,23 @@ def weigh(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return found.select(*[F.col(f"`{c}`") for c in keep], weight("__found").alias("log_weight"), F.size("__found").alias("n_telling"))
 
 
-def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Documents of either label for each bucket; bucket -1 counts the documents."""
+def _labelled(batches: Iterator[pa.RecordBatch], chosen: np.ndarray, good: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(row, good, buckets, sketch) of the rows whose id is chosen. row: a hash of id and content, so it is the same if the task runs again."""
+    if not len(chosen):
+        return
     for whole in batches:
         for batch in slices(whole, "text"):
-            good = batch.column("good").to_numpy(zero_copy_only=False) > 0
-            text, bucket = ngrams(*text_bytes(batch.column("text")), buckets)
-            found, where = np.unique(bucket, return_inverse=True)
-            target = np.bincount(where, good[text], len(found)).astype(np.int64)
-            rejected = np.bincount(where, ~good[text], len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(target, good.sum())), pa.array(np.append(rejected, (~good).sum()))], names=["bucket", "target", "rejected"])
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
+            there = np.flatnonzero(chosen[at] == h)
+            if not len(there):
+                continue
+            raw, offsets = text_bytes(batch.column("text").take(pa.array(there)))
+            sketches = np.zeros((len(there), SKETCH), np.uint64)
+            text, bucket = ngrams(raw, offsets, buckets, sketches)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(there) + 1)).astype(np.int32)), pa.array(bucket))
+            row = mix(h[there].view(np.uint64) ^ mix(sketches[:, 0] + offsets[1:].astype(np.uint64) - offsets[:-1].astype(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(good[at[there]]), lists, *[pa.array(sketches[:, i].copy().view(np.int64)) for i in range(SKETCH)]], names=["row", "good", "buckets", *[f"k{i}" for i in range(SKETCH)]])
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
