@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, lz, quality, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, html_text, lz, quality, sharding, simhash, substrings, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "record_type", "record_id", "refers_to", "concurrent_to", "source_payload_digest", "digest_ok", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
 
 
+def op8_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, and which."""
+    return decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_splitters": op1_splitters,
     "op2_resampling": op2_resampling,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_html": op6_html,
     "op7_bpe": op7_bpe,
+    "op8_latent": op8_latent,
     "op10_warc": op10_warc,
 }
 
