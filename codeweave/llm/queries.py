@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lz, quality, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, html_text, lm, lz, quality, sharding, simhash, substrings, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op8_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole document."""
+    return lm.score(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_splitters": op1_splitters,
     "op2_resampling": op2_resampling,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html": op6_html,
     "op7_bpe": op7_bpe,
     "op8_latent": op8_latent,
+    "op9_gru": op9_gru,
     "op10_warc": op10_warc,
 }
 
