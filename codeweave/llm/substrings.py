@@ -120,6 +120,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spans = spans.select(F.col("id").alias("__id"), F.col("text_hash").alias("__h"), "__spans")
     hashed = df.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
     both = hashed.join(spans, hashed[id_col].eqNullSafe(spans["__id"]) & (hashed["__hash"] == spans["__h"]), "left").select(*[F.col(f"`{c}`") for c in df.columns], "__spans")
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,6 +128,6 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 texts, lists = batch.column(text_col), batch.column("__spans")
                 if lists.null_count < len(lists):
                     texts = pa.array([without(t, s and [(x["begin"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), lists.to_pylist(), strict=True)], texts.type)
-                yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in df.columns], names=df.columns)
+                yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in names], names=names)
 
     return both.mapInArrow(run, df.schema)
