@@ -1,0 +1 @@
+"""Building, scoring and triaging crosswalks between code systems, on Spark."""

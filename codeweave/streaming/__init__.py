@@ -1,0 +1 @@
+"""Nothing streams here: the engine's sources are tables."""
