@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,17 +30,28 @@ def pad(code: Column, width: int) -> Column:
     return F.when(F.length(code) >= width, code).otherwise(F.lpad(code, width, "0"))
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with value evaluated once, however often f uses it: merged projections would copy it into every use."""
+    return F.transform(F.array(value), f)[0]
+
+
 def chapter(code: Column, ranges: list[tuple[int, str, str]], *, width: int = 3, alpha: bool = False) -> Column:
     """Chapter of the first range that holds the code's key, null outside all: a chain of literals, so no join."""
     code = code.cast("string")
     key = F.substring(code, 1, 3) if alpha else pad(F.substring_index(code, ".", 1), width)
-    return F.coalesce(*[F.when(key.between(a, b), F.lit(n)) for n, a, b in ranges]).cast("int")
+    return once(key, lambda k: F.coalesce(*[F.when(k.between(a, b), F.lit(n)) for n, a, b in ranges]).cast("int"))
 
 
 def distance(source: Column, target: Column, align: Alignment) -> Column:
     """Null if a chapter is null, 0 if allowed, 1 if the numbers are neighbours, else 2."""
-    allowed = reduce(lambda a, b: a | b, [(source == s) & target.isin(t) for s, t in align.items()], F.lit(False))
-    return F.when(source.isNull() | target.isNull(), F.lit(None).cast("int")).when(allowed, 0).when(F.abs(source - target) == 1, 1).otherwise(2)
+    allowed = F.create_map(*[x for s, t in align.items() for x in (F.lit(s), F.array(*map(F.lit, t)))])
+
+    def of(pair: Column) -> Column:
+        s, t = pair["s"], pair["t"]
+        zero = F.coalesce(F.array_contains(allowed[s], t), F.lit(False))
+        return F.when(s.isNull() | t.isNull(), F.lit(None).cast("int")).when(zero, 0).when(F.abs(s - t) == 1, 1).otherwise(2)
+
+    return once(F.struct(source.alias("s"), target.alias("t")), of)
 
 
 def inverse(align: Alignment) -> Alignment:

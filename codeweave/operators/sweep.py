@@ -46,7 +46,7 @@ def best(grid: DataFrame, by: list[str], value: str = "f1", order: tuple[str, ..
 def paired(grid: DataFrame, keys: list[str], column: str, a: str, b: str, value: str = "f1") -> DataFrame:
     """b against a over the settings where both exist: better, tied, worse, mean difference."""
     wide = grid.groupBy(*keys).pivot(column, [a, b]).agg(F.first(value)).dropna(subset=[a, b]).withColumn("d", F.col(b) - F.col(a))
-    return wide.agg(F.count_if("d > 0").alias("better"), F.count_if("d = 0").alias("tied"), F.count_if("d < 0").alias("worse"), F.round(F.avg("d"), 6).alias("mean_delta"))
+    return wide.agg(F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") == 0).alias("tied"), F.count_if(F.col("d") < 0).alias("worse"), F.round(F.avg("d"), 6).alias("mean_delta"))
 
 
 def pivot_many(df: DataFrame, keys: list[str], column: str, names: list[str], values: dict[str, Column]) -> DataFrame:
