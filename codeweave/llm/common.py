@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that an operator turns into one output batch at most (one longer text still makes one).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -135,7 +135,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, np.uint64)
             p[0] = 1
             both.append(np.cumprod(p, out=p))
-        if size > 1 << 22:
+        if size > 1 << 20:
             return both[0], both[1]
         _POWERS[:] = both
     return _POWERS[0], _POWERS[1]
