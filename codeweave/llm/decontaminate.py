@@ -17,16 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Tables, slices, span_hashes, text_bytes, word_bounds
+from .common import LOWER, Tables, slices, span_hashes, tasks_for, text_bytes, word_bounds
 
 #: Greatest size of the benchmark's texts, in characters; beyond it, call with parts of the benchmark.
 MOST_BENCHMARK = 64 << 20
 _EDGE = np.zeros(256, bool)
 _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _SLICES = 16
+#: Partial sums that are added in one step.
+_GROUP = 16
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +125,7 @@ def verify(item: np.ndarray, text: np.ndarray, answer: int) -> tuple[float, bool
 
 def contamination(
     df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 64, dimensions: int | None = None,
-    cosine: float = 0.35, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.05, seed: int = 42,
+    cosine: float = 0.35, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.01, seed: int = 42,
 ) -> DataFrame:
     """(columns keep, default the id; item, cosine, lcs_share double, answer_found boolean, word long): the contaminated documents, a row for each
     benchmark item in them. Four passes over the texts; what they gather is bounded by the benchmark's terms times the dimensions."""
@@ -189,23 +192,25 @@ def contamination(
                     at, term = bench.find(h)
                     text = np.searchsorted(first, at, side="right") - 1
                     gram(((at - first[text]) // window) + text * (1 << 32), term, weight, held.value, out)
+            group = TaskContext.get().partitionId() // _GROUP
             for i in range(_SLICES):
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([out[i::_SLICES].tobytes()], pa.binary())], names=["slice", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([group]), pa.array([out[i::_SLICES].tobytes()], pa.binary())], names=["slice", "group", "part"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
+            sums: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
-                for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for i, g, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     more = np.frombuffer(part.as_buffer(), np.float32)
-                    sums[i] = sums[i] + more if i in sums else more.copy()
-            for i, x in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], names=["slice", "part"])
+                    sums[i, g] = sums[i, g] + more if (i, g) in sums else more.copy()
+            for (i, g), x in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([g // _GROUP]), pa.array([x.tobytes()], pa.binary())], names=["slice", "group", "part"])
 
         basis_shape = basis.shape
-        made = texts.mapInArrow(run, "slice long, part binary")
-        made = made.repartition(_SLICES, "slice").mapInArrow(add, "slice long, part binary")
+        made = texts.mapInArrow(run, "slice long, group long, part binary")
+        for level in range(3):  # a tree: a step adds _GROUP parts of a slice, so no task's share grows with the number of tasks
+            made = made.repartition(max(_SLICES, tasks_for(df) // _GROUP**level), "slice", "group").mapInArrow(add, "slice long, group long, part binary")
         out = np.zeros(basis_shape, np.float32)
-        for i, part in made.collect():
+        for i, _, part in made.collect():
             out[i::_SLICES] += np.frombuffer(part, np.float32).reshape(-1, basis_shape[1])
         held.unpersist()
         return out + 4 * (own.T @ (own @ basis))
