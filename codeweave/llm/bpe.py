@@ -15,7 +15,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,4 +91,4 @@ def decode(df: DataFrame, rank_file: str, pattern: str, *, ids_col: str = "token
                 texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*columns, "decoded"])
 
-    return source.mapInArrow(run, source.schema.add("decoded", "binary"))
+    return source.mapInArrow(run, df.select(*source.columns).schema.add("decoded", "binary"))

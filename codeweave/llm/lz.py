@@ -134,7 +134,7 @@ def fingerprint(df: DataFrame, *, text_col: str = "text") -> DataFrame:
             for batch in slices(whole, text_col):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pack_sketch(parsed(t or "").sketch) for t in batch.column(text_col).to_pylist()], pa.string())], names=[*kept, "lz_fingerprint"])
 
-    return source.mapInArrow(run, source.schema.add("lz_fingerprint", "string"))
+    return source.mapInArrow(run, df.select(*source.columns).schema.add("lz_fingerprint", "string"))
 
 
 def compare_neighbours(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

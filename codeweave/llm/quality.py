@@ -202,7 +202,7 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
     return low
 
 
-def resample(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, temperature: float = 0.5, seed: int = 42, k: int | None = None, **fit) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, temperature: float = 0.2, seed: int = 42, k: int | None = None, **fit) -> DataFrame:
     """The sample: columns `keep` (default: the id) with log_weight, n_telling and gumbel_key, top k by the key log_weight / temperature + noise.
     k: by default the sum of the weights min(1, w). The noise hangs on id, text and seed only."""
     tables = Tables(df.sparkSession, "resample")
