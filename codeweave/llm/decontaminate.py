@@ -125,7 +125,7 @@ def verify(item: np.ndarray, text: np.ndarray, answer: int) -> tuple[float, bool
 
 def contamination(
     df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 64, dimensions: int | None = None,
-    cosine: float = 0.35, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.01, seed: int = 42,
+    cosine: float = 0.28, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.01, seed: int = 42,
 ) -> DataFrame:
     """(columns keep, default the id; item, cosine, lcs_share double, answer_found boolean, word long): the contaminated documents, a row for each
     benchmark item in them. Four passes over the texts; what they gather is bounded by the benchmark's terms times the dimensions."""
