@@ -186,27 +186,27 @@ def main_blocks(found: list[Block], short: int = 70, long: int = 200, links: flo
         else:
             share, _ = density(b.text)
             labels.append(True if share >= stops or n >= long and share >= stops / 2 else False if n < long and share < stops / 2 else None)
+    near = _nearest(found, labels)
     out = []
-    for i, b in enumerate(found):
-        label = labels[i]
+    for b, label, n in zip(found, labels, near, strict=True):
         if label is None:
-            near = [(abs(j - i), not labels[j]) for j in range(len(found)) if labels[j] is not None and (found[j].zone == b.zone)] if len(found) < 64 else _nearest(found, labels, i)
-            label = not min(near)[1] if near else b.zone == "main"
+            label = not min(n)[1] if n else b.zone == "main"
         if label:
             out.append(b)
     return out
 
 
-def _nearest(found: list[Block], labels: list[bool | None], i: int) -> list[tuple[int, bool]]:
-    """The decided neighbour on either side; each search ends at the first."""
-    near = []
-    for step in (-1, 1):
-        j = i + step
-        while 0 <= j < len(found):
-            if labels[j] is not None and found[j].zone == found[i].zone:
-                near.append((abs(j - i), not labels[j]))
-                break
-            j += step
+def _nearest(found: list[Block], labels: list[bool | None]) -> list[list[tuple[int, bool]]]:
+    """(distance, whether boilerplate) of each undecided block's decided neighbours of its section, one on either side; two linear passes."""
+    near: list[list[tuple[int, bool]]] = [[] for _ in found]
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[str, int] = {}
+        for i in order:
+            zone, label = found[i].zone, labels[i]
+            if label is not None:
+                last[zone] = i
+            elif zone in last:
+                near[i].append((abs(last[zone] - i), not labels[last[zone]]))
     return near
 
 
