@@ -6,7 +6,8 @@ Rayleigh-Ritz on one more pass) of the corpus's passages, with the benchmark's o
 and held against all benchmark items by cosine; candidates are verified by the longest common subsequence of words, near-verbatim or, for paraphrases,
 a lower share together with the item's answer (its last words).
 
-The benchmark is the query set: it is collected, behind a check of its size. Items longer than a window are queried in parts. Nulls, empty texts
+The benchmark is the query set: it is collected, behind a check of its size, and queried in groups of items whose matrices stay
+under a bound. Items longer than a window are queried in parts. Nulls, empty texts
 and items without words match nothing; an empty benchmark gives an empty result; repeated rows give one row for each document and item.
 """
 
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, Tables, slices, span_hashes, tasks_for, text_bytes, word_bounds
 
 #: Greatest size of the benchmark's texts, in characters; beyond it, call with parts of the benchmark.
 MOST_BENCHMARK = 64 << 20
+#: Greatest number of entries of a matrix of terms and dimensions; items beyond it are queried in groups.
+MOST_ENTRIES = 1 << 24
 _EDGE = np.zeros(256, bool)
 _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _SLICES = 16
@@ -43,6 +47,20 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return span_hashes(LOWER[raw], begin, end), first
 
 
+def groups(rows: list[tuple], window: int, most: int) -> list[list[tuple]]:
+    """The items in groups with few enough entries (words, at least the terms, times windows and 64 more); one item at least."""
+    out: list[list[tuple]] = [[]]
+    n_words = n_parts = 0
+    for row in rows:
+        n = len((row[1] or "").split())
+        n_words, n_parts = n_words + n, n_parts + -(-n // window)
+        if out[-1] and n_words * (n_parts + 64) > most:
+            out.append([])
+            n_words, n_parts = n, -(-n // window)
+        out[-1].append(row)
+    return out
+
+
 @dataclass
 class Benchmark:
     ids: list
@@ -128,21 +146,36 @@ def contamination(
     cosine: float = 0.28, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.01, seed: int = 42,
 ) -> DataFrame:
     """(columns keep, default the id; item, cosine, lcs_share double, answer_found boolean, word long): the contaminated documents, a row for each
-    benchmark item in them. Four passes over the texts; what they gather is bounded by the benchmark's terms times the dimensions."""
+    benchmark item in them. Four passes over the texts for each group of items; what they gather is bounded by MOST_ENTRIES, but for a single item of more."""
     spark = df.sparkSession
     keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep])]
     new = [item_col, "cosine", "lcs_share", "answer_found", "word"]
     size = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
     if size > MOST_BENCHMARK:
         raise ValueError(f"the benchmark has {size} characters, more than {MOST_BENCHMARK}: pass it in parts")
-    bench = Benchmark.of(benchmark.select(item_col, item_text).collect())
-    n_terms = len(bench.terms)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
     schema = source.drop("__text").schema
     for name, kind in zip(new, (benchmark.schema[item_col].dataType, "double", "double", "boolean", "long"), strict=True):
         schema = schema.add(name, kind)
-    if not n_terms:
+    found, tables = None, Tables(spark, "leaks")
+    for i, rows in enumerate(groups(benchmark.select(item_col, item_text).collect(), window, MOST_ENTRIES)):
+        bench = Benchmark.of(rows)
+        if len(bench.terms):
+            part = tables.put(_against(source, bench, keep, schema, window, dimensions, cosine, verbatim, paraphrase, answer, common, seed), str(i))
+            found = part if found is None else found.unionByName(part)
+    if found is None:
         return spark.createDataFrame([], schema)
+    rank = F.struct("lcs_share", "cosine", "answer_found", -F.col("word"))
+    best = found.groupBy(*[F.col(f"`{c}`") for c in keep], item_col).agg(F.max_by(F.struct("cosine", "lcs_share", "answer_found", "word"), rank).alias("x"))
+    return best.select(*[F.col(f"`{c}`") for c in keep], item_col, "x.*")
+
+
+def _against(
+    source: DataFrame, bench: Benchmark, keep: list[str], schema: T.StructType, window: int, dimensions: int | None,
+    cosine: float, verbatim: float, paraphrase: float, answer: int, common: float, seed: int,
+) -> DataFrame:
+    """The leaks of a group of items, in four passes over the texts; a document and item may come in several rows."""
+    spark, n_terms, new = source.sparkSession, len(bench.terms), schema.names[len(keep) :]
     texts = source.select("__text")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +241,9 @@ def contamination(
         basis_shape = basis.shape
         made = texts.mapInArrow(run, "slice long, group long, part binary")
         for level in range(3):  # a tree: a step adds _GROUP parts of a slice, so no task's share grows with the number of tasks
-            made = made.repartition(max(_SLICES, tasks_for(df) // _GROUP**level), "slice", "group").mapInArrow(add, "slice long, group long, part binary")
+            made = made.repartition(max(_SLICES, tasks_for(source) // _GROUP**level), "slice", "group").mapInArrow(add, "slice long, group long, part binary")
+        # what is left (a 4096th) is added by slice, so the driver gets one matrix however many tasks there were
+        made = made.withColumn("group", F.lit(0).cast("long")).repartition(_SLICES, "slice").mapInArrow(add, "slice long, group long, part binary")
         out = np.zeros(basis_shape, np.float32)
         for i, _, part in made.collect():
             out[i::_SLICES] += np.frombuffer(part, np.float32).reshape(-1, basis_shape[1])
@@ -268,10 +303,7 @@ def contamination(
                     values = list(found.values())
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in keep], pa.array([bench.ids[i] for _, i in found]), *[pa.array([v[j] for v in values], kind) for j, kind in enumerate((pa.float64(), pa.float64(), pa.bool_(), pa.int64()))]], names=[*keep, *new])
 
-    found = Tables(spark, "leaks").put(source.mapInArrow(search, schema), "found")
-    rank = F.struct("lcs_share", "cosine", "answer_found", -F.col("word"))
-    best = found.groupBy(*[F.col(f"`{c}`") for c in keep], item_col).agg(F.max_by(F.struct("cosine", "lcs_share", "answer_found", "word"), rank).alias("x"))
-    return best.select(*[F.col(f"`{c}`") for c in keep], item_col, "x.*")
+    return source.mapInArrow(search, schema)
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -142,7 +142,7 @@ def test_lcs():
         assert decontaminate.lcs(masks, len(a), b) == plain_lcs(a, b)
 
 
-def test_leaks_and_paraphrases(spark):
+def test_leaks_and_paraphrases(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, prose(rng, 20 + 3 * i, 5000)) for i in range(12)] + [(50, prose(rng, 150, 5000))]
     docs, want = [(i, prose(rng, 200, 5000)) for i in range(60)], set()
@@ -156,6 +156,10 @@ def test_leaks_and_paraphrases(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
+    monkeypatch.setattr(decontaminate, "MOST_ENTRIES", 20_000)
+    assert 1 < len(decontaminate.groups(items, 64, 20_000)) < len(items)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
 
 
 def test_lm_counts_and_scores(spark):
@@ -213,6 +217,20 @@ def test_main_text():
     assert html_text.main_text(plain)[0].endswith("End.") and "one" not in html_text.main_text(plain)[0].split()[-1]
 
 
+def test_undecided_blocks_follow_the_nearest():
+    rng = random.Random(11)
+    for _ in range(50):
+        found = [html_text.Block("It is the one that was in the house for all of us." * 6 if rng.random() < 0.2 else "Short", rng.choice(["open", "out"]), 0) for _ in range(rng.randrange(1, 90))]
+        sure = [False if b.zone == "out" else True if len(b.text) > 70 else None for b in found]
+        want = []
+        for i, b in enumerate(found):
+            near = [(abs(j - i), not sure[j]) for j in range(len(found)) if sure[j] is not None and found[j].zone == b.zone]
+            if sure[i] or sure[i] is None and near and not min(near)[1]:
+                want.append(id(b))
+        assert [id(b) for b in html_text.main_blocks(found)] == want
+    assert html_text.main_text("<p>x</p>" * 100_000)[1] == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/b", "<p>One</p><p>Two é</p>"), (2, None, None)], "page_id long, url string, html string")
     derived = warc.derive(warc.from_pages(pages), keep=["page_id"]).cache()
