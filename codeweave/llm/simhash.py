@@ -30,6 +30,8 @@ from .components import components
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bits set in over half the hashes are counted over blocks of so many.
 _BLOCK = 1 << 16
+#: Places where the fingerprints of one component meet its smallest id.
+_SALTS = 16
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -209,9 +211,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = tables.put(fingerprints(df, text_col=text_col, keep=keep, words=words), "rows")
     least = tables.put(rows.groupBy("simhash").agg(F.min(F.col(f"`{id_col}`")).alias("__least")), "least")
     roots = components(links(least, distance=distance, count=least.count()))
-    classes = least.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
-    first = classes.groupBy("root").agg(F.min("__least").alias("component"))
-    classes = classes.join(first, "root").select("simhash", "component")
+    linked = least.join(roots.withColumnRenamed("node", "simhash"), "simhash")
+    # only fingerprints with links meet their component's smallest id, and a large component's in several places
+    first = linked.groupBy("root").agg(F.min("__least").alias("__first")).withColumn("salt", F.explode(F.lit(list(range(_SALTS)))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("simhash"), F.lit(_SALTS)).cast("int")).join(first, ["root", "salt"]).select("simhash", "__first")
+    classes = least.join(linked, "simhash", "left").select("simhash", F.coalesce("__first", "__least").alias("component"))
     return rows.join(classes, "simhash").select(*[F.col(f"`{c}`") for c in keep], "simhash", "component")
 
 
