@@ -216,6 +216,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     first = linked.groupBy("root").agg(F.min("__least").alias("__first")).withColumn("salt", F.explode(F.lit(list(range(_SALTS)))))
     linked = linked.withColumn("salt", F.pmod(F.xxhash64("simhash"), F.lit(_SALTS)).cast("int")).join(first, ["root", "salt"]).select("simhash", "__first")
     classes = least.join(linked, "simhash", "left").select("simhash", F.coalesce("__first", "__least").alias("component"))
+    classes = tables.put(classes, "classes")  # its own shuffle below, so that a fingerprint of very many rows is split as a skewed join
     return rows.join(classes, "simhash").select(*[F.col(f"`{c}`") for c in keep], "simhash", "component")
 
 
