@@ -4,7 +4,8 @@ Passages of `window` words are TF-IDF vectors over the benchmark's terms (other
 frequency), over all documents; very common terms are left out). A distributed randomised SVD (random range finder, then
 Rayleigh-Ritz on one more pass) of the corpus's passages, with the benchmark's own as weighted rows, gives the latent space. Overlapping passages are projected
 and held against all benchmark items by cosine; candidates are verified by the longest common subsequence of words, near-verbatim or, for paraphrases,
-a lower share together with the item's answer (its last words).
+a lower share together with the item's answer (its last words). What the verifier accepts doesn't hang on the cosine: stretches with
+enough of an item's rarer half of words, or with its last words, are candidates too, and no leak is outside those.
 
 The benchmark is the query set: it is collected, behind a check of its size, and queried in groups of items whose matrices stay
 under a bound. Items longer than a window are queried in parts. Nulls, empty texts
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Tables, slices, span_hashes, tasks_for, text_bytes, word_bounds
+from .common import LOWER, Tables, mix, slices, span_hashes, tasks_for, text_bytes, word_bounds
 
 #: Greatest size of the benchmark's texts, in characters; beyond it, call with parts of the benchmark.
 MOST_BENCHMARK = 64 << 20
@@ -141,6 +142,78 @@ def verify(item: np.ndarray, text: np.ndarray, answer: int) -> tuple[float, bool
     return best
 
 
+def rare_half(items: list[np.ndarray], places: list[np.ndarray], df: np.ndarray, verbatim: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which terms are of each item's rarer half, how many of them a text must hold): a text with a share `verbatim` of an
+    item's words lacks the others at most, so it holds the rest of any half; no leak has fewer."""
+    rare, need = np.zeros((len(df), len(items)), np.int16), np.ones(len(items), np.int64)
+    for i, term in enumerate(places):
+        n = len(items[i])
+        half = np.argsort(df[term], kind="stable")[: n // 2 + 1]
+        rare[term[half], i] = 1
+        need[i] = max(1, len(half) - n + int(np.ceil(verbatim * n - 1e-9)))
+    return rare, need
+
+
+def held(bench: Benchmark, rare: np.ndarray, need: np.ndarray, h: np.ndarray, first: np.ndarray, answer: int, block: int = 32) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(text, item, begin, end, by the answer): stretches of words outside which no leak can lie: those with enough of an item's
+    rarer half, and those around its last words."""
+    if not len(h):
+        return
+    at, term = bench.find(h)
+    use = rare.any(axis=1)[term]
+    at, term = at[use], term[use]
+    text = np.searchsorted(first, at, side="right") - 1
+    blocks = np.concatenate([[0], np.cumsum(-(-np.diff(first) // block))])
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(blocks))
+    sums = np.zeros((blocks[-1] + 1, rare.shape[1]), np.int32)
+    if len(at):
+        key, part = _sums(rare[term], blocks[text] + (at - first[text]) // block)
+        sums[key + 1] = part
+    np.cumsum(sums, axis=0, out=sums)
+    spans = np.array([len(x) + len(x) // 2 + 1 for x in bench.items])
+    wide = -(-(spans - 1) // block) + 1
+    for w in np.unique(wide).tolist():
+        own = np.flatnonzero(wide == w)
+        end = np.minimum(np.arange(blocks[-1]) + w, blocks[owner + 1])
+        enough = sums[end][:, own] - sums[:-1][:, own] >= need[own]
+        which, where = np.nonzero(enough.T)
+        new = np.ones(len(where), bool)
+        new[1:] = (which[1:] != which[:-1]) | (where[1:] != where[:-1] + 1) | (owner[where[1:]] != owner[where[:-1]])
+        for a, b in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new)[1:].tolist(), len(where)] if len(where) else [], strict=True):
+            t = int(owner[where[a]])
+            yield t, int(own[which[a]]), int(where[a] - blocks[t]) * block, min(int(first[t + 1] - first[t]), int(where[b - 1] + w - blocks[t]) * block), False
+    last: dict[int, list[int]] = {}
+    for i, item in enumerate(bench.items):
+        if len(item) >= answer:
+            last.setdefault(int(_runs(item[-answer:], answer)[0]), []).append(i)
+    runs = _runs(h, answer)
+    for p in np.flatnonzero(np.isin(runs, np.array(list(last), np.uint64))).tolist():
+        t = int(np.searchsorted(first, p, side="right") - 1)
+        if p + answer <= first[t + 1]:
+            for i in last[int(runs[p])]:
+                yield t, i, p - int(first[t]), p - int(first[t]) + answer, True
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = h[: max(0, len(h) - n + 1)].copy()
+    for k in range(1, n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+    return out
+
+
+def around(item: np.ndarray, text: np.ndarray, begin: int, end: int) -> tuple[float, bool, int]:
+    """As verify, of the stretches of 1.5 the item's length that hold the words from begin to end."""
+    n, masks = len(item), {}
+    for i, w in enumerate(item.tolist()):
+        masks[w] = masks.get(w, 0) | 1 << i
+    span, best = n + n // 2 + 1, (0.0, True, 0)
+    for at in dict.fromkeys(max(0, x) for x in [*range(end - span, begin, max(1, n // 4)), begin]):
+        share = lcs(masks, n, text[at : at + span].tolist()) / n
+        best = max(best, (share, True, at), key=lambda x: x[0])
+    return best
+
+
 def contamination(
     df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 64, dimensions: int | None = None,
     cosine: float = 0.28, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.01, seed: int = 42,
@@ -256,14 +329,17 @@ def _against(
     latent = (basis @ turn[:, ::-1]).astype(np.float32)
     targets = own @ latent  # norm of the projection: how much of the query the space holds
     targets = targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-9)
-    shared = spark.sparkContext.broadcast((latent * weight[:, None], targets, bench, [i for i, _ in parts]))
+    rare, need = rare_half(bench.items, [bench.find(item)[1] for item in bench.items], df_, verbatim)
+    shared = spark.sparkContext.broadcast((latent * weight[:, None], targets, bench, [i for i, _ in parts], rare, need))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project, targets, bench, item_of = shared.value
+        project, targets, bench, item_of, rare, need = shared.value
+        queries_of = [np.flatnonzero(np.array(item_of) == i) for i in range(len(bench.items))]
         half = window // 2
         for whole in batches:
             for batch in slices(whole, "__text"):
                 h, first = words(*text_bytes(batch.column("__text")))
+                sure = list(held(bench, rare, need, h, first, answer))
                 at, term = bench.find(h)
                 use = weight[term] > 0
                 at, term = at[use], term[use]
@@ -289,15 +365,24 @@ def _against(
                     for w, q in zip(*np.nonzero(score >= cosine), strict=True):
                         i, t = item_of[q], int(key[w] >> 32)
                         item, begin = bench.items[i], int(key[w] & 0xFFFFFFFF) * half
-                        around = max(half, len(item))
-                        lo_w = max(0, begin - around)
+                        margin = max(half, len(item))
+                        lo_w = max(0, begin - margin)
                         mark = (t, i, lo_w)
                         if mark in tried:
                             continue
                         tried.add(mark)
-                        share, has, place = verify(item, h[first[t] + lo_w : min(first[t + 1], first[t] + begin + window + around)], answer)
+                        share, has, place = verify(item, h[first[t] + lo_w : min(first[t + 1], first[t] + begin + window + margin)], answer)
                         if (share >= verbatim or share >= paraphrase and has) and share > found.get((t, i), (0, 0))[1]:
                             found[t, i] = (float(score[w, q]), share, has, lo_w + place)
+                for t, i, begin, end, by_answer in sure:
+                    item, whole_text = bench.items[i], h[first[t] : first[t + 1]]
+                    share, has, place = around(item, whole_text, begin, end) if by_answer else verify(item, whole_text[begin:end], answer)
+                    place += 0 if by_answer else begin
+                    if (share >= verbatim or share >= paraphrase and has) and share > found.get((t, i), (0, 0))[1]:
+                        _, near = bench.find(whole_text[place : place + window])
+                        y = project[near].sum(axis=0)
+                        norm = max(float(np.sqrt((weight[near].astype(np.float64) ** 2).sum())), 1e-9)
+                        found[t, i] = (float((targets[queries_of[i]] @ y).max(initial=0.0)) / norm, share, has, place)
                 if found:
                     rows = pa.array([t for t, _ in found], pa.int64())
                     values = list(found.values())

@@ -36,3 +36,44 @@ def test_near_dedup_against_brute_force(spark, tmp_path):
     got = sorted(r[0] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).select("doc_id").collect())
     assert got == sorted(set(up))
     assert 12 <= len(got) < len(texts)
+
+
+def leaks(spark, docs, items):
+    from codeweave.llm import decontaminate
+
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3), benchmark)
+    return {(r["doc_id"], r["item_id"]) for r in got.select("doc_id", "item_id").collect()}
+
+
+def test_leaks_in_a_hot_group_of_altered_copies(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"t{rng.randrange(900)}" for _ in range(n))
+    item = [f"q{i}" for i in range(40)]
+    docs = [text(120) for _ in range(100)]
+    for _ in range(60):
+        copy = list(item)
+        copy[20] = f"z{rng.randrange(10**6)}"
+        docs.append(" ".join([text(50), *copy, text(50)]))
+    assert leaks(spark, docs, [(7, " ".join(item))]) == {(i, 7) for i in range(100, 160)}
+
+
+def test_paraphrases_without_the_rare_words(spark):
+    rng = random.Random(5)
+    draw = lambda n: [f"c{int(rng.paretovariate(0.9)) % 3000}" for _ in range(n)]
+    docs, items, want = [" ".join(draw(150)) for _ in range(400)], [], set()
+    seen = {}
+    for d in docs:
+        for w in set(d.split()):
+            seen[w] = seen.get(w, 0) + 1
+    for i in range(12):
+        item = draw(20) + [f"i{i}w{k}" for k in range(15)] + draw(5)
+        items.append((i, " ".join(item)))
+        rare = sorted(range(len(item) - 5), key=lambda k: seen.get(item[k], 0))
+        for share in (0.15, 0.3, 0.4, 0.48):
+            copy = list(item)
+            for k in rare[: int(share * len(item))]:
+                copy[k] = f"y{rng.randrange(10**6)}"
+            want.add((len(docs), i))
+            docs.append(" ".join([*draw(100), *copy, *draw(100)]))
+    assert want <= leaks(spark, docs, items)
