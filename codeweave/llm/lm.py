@@ -5,7 +5,7 @@ their last two bytes. The probability of a text is the product of P(class | stat
 place for all unseen words. The state is carried through the whole document, window by window.
 
 Counts are exact, over all training documents. The network is trained by parameter averaging: in each round every task runs truncated
-backpropagation over its own share of the training documents, so what is learnt from grows with the input. Common words (at most `table`
+backpropagation over its own share of the training documents, and the rounds go through all of them, so what is learnt from grows with the input. Common words (at most `table`
 of them) are looked up in memory, all others by a join.
 
 Nulls count as empty texts, which are one end. Null ids are held out. Without training documents the network stays at its start. Repeated rows are scored each.
@@ -84,9 +84,14 @@ def most_common(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
     return least, {bytes(r[0]): r[1] for r in counts.where(F.col("n") >= least).collect()}
 
 
+def turns(texts: DataFrame, rounds: int, share: int) -> list[DataFrame]:
+    """The training texts of each round: every text is in one of `share` classes, and the rounds go through the classes."""
+    return [texts.where(F.pmod(F.xxhash64("__text", F.lit(5)), F.lit(share)) == turn % share).select("__text") for turn in range(rounds)]
+
+
 def _train(texts: DataFrame, model: Gru, single: dict[bytes, int], rates: tuple[float, ...], share: int) -> Gru:
     spark, n = texts.sparkSession, len(single)
-    for turn, rate in enumerate(rates):
+    for part, rate in zip(turns(texts, len(rates), share), rates, strict=True):
         start = spark.sparkContext.broadcast(model.flat())
         shape = (model.classes, model.hidden, model.end)
 
@@ -107,7 +112,6 @@ def _train(texts: DataFrame, model: Gru, single: dict[bytes, int], rates: tuple[
             for i, x in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], names=["slice", "part"])
 
-        part = texts.where(F.pmod(F.xxhash64("__text", F.lit(5)), F.lit(share)) == turn).select("__text")
         summed = part.mapInArrow(run, "slice long, part binary").repartition(_SLICES, "slice").mapInArrow(add, "slice long, part binary").collect()
         if summed:
             flat = model.flat().astype(np.float64)
@@ -119,7 +123,7 @@ def _train(texts: DataFrame, model: Gru, single: dict[bytes, int], rates: tuple[
     return model
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table: int = 1 << 18, singles: int = 96, hidden: int = 32, rates: tuple[float, ...] = (0.01, 0.006, 0.003), share: int = 36) -> DataFrame:
+def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table: int = 1 << 18, singles: int = 96, hidden: int = 32, rates: tuple[float, ...] = (0.01, 0.006, 0.003), share: int = 3) -> DataFrame:
     """Columns `keep` (default: the id) with held_out boolean, n_tokens, n_known, train_tokens long, base_score and score double (log10).
 
     Passes over the texts: counting, one for each rate (a share-th of the training documents each), scoring. The driver holds `table` words and the network."""

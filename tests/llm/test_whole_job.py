@@ -77,3 +77,14 @@ def test_paraphrases_without_the_rare_words(spark):
             want.add((len(docs), i))
             docs.append(" ".join([*draw(100), *copy, *draw(100)]))
     assert want <= leaks(spark, docs, items)
+
+
+def test_every_training_document_is_learnt_from(spark):
+    import inspect
+
+    from codeweave.llm import lm
+
+    given = {k: p.default for k, p in inspect.signature(lm.score).parameters.items()}
+    texts = spark.createDataFrame([(f"word{i} is here {i % 7}",) for i in range(300)], "__text string")
+    parts = lm.turns(texts, len(given["rates"]), given["share"])
+    assert sorted(r[0] for p in parts for r in p.collect()) == sorted(r[0] for r in texts.collect())
