@@ -217,8 +217,8 @@ def roundtrip(d: Data) -> DataFrame:
 # --- grids ---------------------------------------------------------------------------------------------------------------------
 
 
-def _grid(d: Data, model: str = "sim_a") -> DataFrame:
-    return sweep.rule_grid(d.sim(model), d.cooc, d.truth, d.excluded, chapters(), ALIGN, GRID_THRESHOLDS, GRID_TOPS)
+def _grid(d: Data, model: str = "sim_a", tops: list[int] = GRID_TOPS) -> DataFrame:
+    return sweep.rule_grid(d.sim(model), d.cooc, d.truth, d.excluded, chapters(), ALIGN, GRID_THRESHOLDS, tops)
 
 
 def _grids(d: Data) -> DataFrame:
@@ -246,6 +246,20 @@ def rule_grid(d: Data) -> DataFrame:
     return _grid(d)
 
 
+#: The reference's whole grids.
+ALL_TOPS = [3, 5, 10, 15, 20, 25, 30]
+ALL_TAUS, ALL_RHOS = [round(0.05 * i, 2) for i in range(1, 20)], [0.3, 0.5, 0.7, 0.85, 1.0]
+
+
+def _values(numbers: list) -> str:
+    return ", ".join(f"({n})" for n in numbers)
+
+
+@query(f"{_GRID.replace(f'(VALUES {_values(GRID_TOPS)}) b', f'(VALUES {_values(ALL_TOPS)}) b')} SELECT * EXCLUDE (model, family) FROM grid WHERE model='a'")
+def rule_grid_full(d: Data) -> DataFrame:
+    return _grid(d, tops=ALL_TOPS)
+
+
 @query(f"{_GRID} SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold, top_n, rule) AS rn FROM grid) q WHERE rn=1")
 def grid_best_by_model(d: Data) -> DataFrame:
     return sweep.best(_grids(d), ["model"])
@@ -515,14 +529,24 @@ _TAUS, _RHOS = [0.3, 0.5, 0.6, 0.7, 0.8, 0.9], [0.7, 0.85, 0.95, 1.0]
 
 @query(f"""SELECT tau, rho, CAST(sum(y) AS BIGINT) AS tp, count(*) AS n_emitted, round(sum(y)/CAST(count(*) AS DOUBLE), 6) AS precision, round(CAST(sum(y) AS DOUBLE)/(SELECT sum(y) FROM scored), 6) AS recall FROM (SELECT *, max(score) OVER (PARTITION BY source) AS mx FROM scored) q,
     (SELECT CAST(tau AS DOUBLE) AS tau, CAST(rho AS DOUBLE) AS rho FROM (VALUES {', '.join(f'({t})' for t in _TAUS)}) a(tau), (VALUES {', '.join(f'({r})' for r in _RHOS)}) b(rho)) g WHERE score >= tau OR score >= rho*mx OR score = mx GROUP BY tau, rho""")
-def tau_rho_sweep(d: Data) -> DataFrame:
-    grid = F.broadcast(d.spark.createDataFrame([(t, r) for t in _TAUS for r in _RHOS], "tau double, rho double"))
+def tau_rho_sweep(d: Data, taus: list[float] = _TAUS, rhos: list[float] = _RHOS) -> DataFrame:
+    grid = F.broadcast(d.spark.createDataFrame([(t, r) for t in taus for r in rhos], "tau double, rho double"))
     best = d.scored.withColumn("mx", F.max("score").over(W.partitionBy("source")))
     kept = best.join(grid, (F.col("score") >= F.col("tau")) | (F.col("score") >= F.col("rho") * F.col("mx")) | (F.col("score") == F.col("mx")))
     sums = kept.groupBy("tau", "rho").agg(F.sum("y").alias("tp"), F.count("*").alias("n_emitted")).crossJoin(F.broadcast(d.scored.agg(F.sum("y").alias("n"))))
     return sums.select("tau", "rho", "tp", "n_emitted", F.round(F.col("tp") / F.col("n_emitted"), 6).alias("precision"), F.round(F.col("tp") / F.col("n"), 6).alias("recall"))
 
 
+_FULL_SWEEP = ORACLES["tau_rho_sweep"].replace(f"(VALUES {_values(_TAUS)}) a", f"(VALUES {_values(ALL_TAUS)}) a").replace(f"(VALUES {_values(_RHOS)}) b", f"(VALUES {_values(ALL_RHOS)}) b")
+
+
+@query()
+def tau_rho_sweep_full(d: Data) -> DataFrame:
+    return tau_rho_sweep(d, ALL_TAUS, ALL_RHOS)
+
+
+ORACLES["tau_rho_sweep_full"] = _FULL_SWEEP
+
 _PAIRED = f"SELECT *, coalesce('' || {_chap('source')}, 'NA') || '_' || coalesce('' || {_chap('target')}, 'NA') AS chapter_pair FROM scored"
 
 
