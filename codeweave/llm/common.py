@@ -47,6 +47,18 @@ class Tables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that is none of the columns, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tasks_for(df: DataFrame) -> int:
     """Shuffle partitions that the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, mix, slices, tasks_for
+from . import shingles
+from .common import Tables, mix, slices, tasks_for, unused
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -56,15 +57,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 def fingerprints(df: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, words: int = 4) -> DataFrame:
     """Columns `keep` (default: all) with simhash long; one narrow pass."""
     keep = [c for c in (df.columns if keep is None else keep) if c != "simhash"]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    text = unused(keep, "text")[0]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                got = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
+            for batch in slices(whole, text):
+                got = np.array([fingerprint(t, words) for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(got)], names=[*keep, "simhash"])
 
-    return source.mapInArrow(run, source.drop("__text").schema.add("simhash", "long"))
+    return source.mapInArrow(run, source.drop(text).schema.add("simhash", "long"))
 
 
 def embed(f: np.ndarray) -> np.ndarray:
@@ -154,16 +156,20 @@ def links(prints: DataFrame, *, distance: int = 4, count: int | None = None) ->
                 yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.tile(f, len(masks)))], names=["cell", "f"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of a cell that goes on
         for batch in batches:
-            cell = np.concatenate([cell, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(cell) or cell[0] == cell[-1]:
-                continue
-            done = int(np.searchsorted(cell, cell[-1]))
-            yield from _within(cell[:done], f[:done], distance)
-            cell, f = cell[done:], f[done:]
-        yield from _within(cell, f, distance)
+            cell, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            done = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            if held and len(cell) and held[0][0][0] != cell[-1]:
+                held.append((cell[:done], f[:done]))
+                yield from _within(np.concatenate([c for c, _ in held]), np.concatenate([x for _, x in held]), distance)
+                held = []
+            elif done:
+                yield from _within(cell[:done], f[:done], distance)
+            if len(cell):
+                held.append((cell[done:], f[done:]))
+        if held:
+            yield from _within(np.concatenate([c for c, _ in held]), np.concatenate([x for _, x in held]), distance)
 
     dealt = prints.mapInArrow(spread, "cell long, f long").repartition(max(tasks_for(prints), 1), "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(join, "u long, v long").distinct()
@@ -204,29 +210,34 @@ def _within(cell: np.ndarray, f: np.ndarray, distance: int, many: int = 48) -> I
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, words: int = 4, distance: int = 4) -> DataFrame:
     """Columns `keep` (default: the id) with simhash long and component: the smallest id (nulls never) of all rows that links reach.
+    Kept columns named like these are replaced.
 
     Texts are read once; afterwards only ids and fingerprints move. Copies are one fingerprint, however many they are."""
     keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c not in ("simhash", "component")]
     tables = Tables(df.sparkSession, "simhash")
     rows = tables.put(fingerprints(df, text_col=text_col, keep=keep, words=words), "rows")
-    least = tables.put(rows.groupBy("simhash").agg(F.min(F.col(f"`{id_col}`")).alias("__least")), "least")
+    least = tables.put(rows.groupBy("simhash").agg(F.min(F.col(f"`{id_col}`")).alias("least")), "least")
     roots = components(links(least, distance=distance, count=least.count()))
     linked = least.join(roots.withColumnRenamed("node", "simhash"), "simhash")
     # only fingerprints with links meet their component's smallest id, and a large component's in several places
-    first = linked.groupBy("root").agg(F.min("__least").alias("__first")).withColumn("salt", F.explode(F.lit(list(range(_SALTS)))))
-    linked = linked.withColumn("salt", F.pmod(F.xxhash64("simhash"), F.lit(_SALTS)).cast("int")).join(first, ["root", "salt"]).select("simhash", "__first")
-    classes = least.join(linked, "simhash", "left").select("simhash", F.coalesce("__first", "__least").alias("component"))
+    first = linked.groupBy("root").agg(F.min("least").alias("first")).withColumn("salt", F.explode(F.lit(list(range(_SALTS)))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("simhash"), F.lit(_SALTS)).cast("int")).join(first, ["root", "salt"]).select("simhash", "first")
+    classes = least.join(linked, "simhash", "left").select("simhash", F.coalesce("first", "least").alias("component"))
     classes = tables.put(classes, "classes")  # its own shuffle below, so that a fingerprint of very many rows is split as a skewed join
     return rows.join(classes, "simhash").select(*[F.col(f"`{c}`") for c in keep], "simhash", "component")
 
 
-def keep_first(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+def keep_first(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """One row of each component, all columns as they are: the row of the smallest id (of the smallest text hash, if ids repeat;
-    of repeated rows one)."""
-    hashed = df.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    found = near_duplicates(hashed, id_col=id_col, text_col=text_col, keep=["__hash"], words=words, distance=distance)
+    of repeated rows one). With `similarity`, texts are linked by the Jaccard similarity of their shingles in place of their fingerprints: at 0.8,
+    fingerprints differ in up to 16 of 64 bits and more, which leaves a grid join keys of a few bits, so `shingles` has candidates of its own."""
+    if similarity is not None:
+        return shingles.keep_first(df, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    mark, own, of = unused(df.columns, "hash", "id", "of")
+    hashed = df.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    found = near_duplicates(hashed, id_col=id_col, text_col=text_col, keep=[mark], words=words, distance=distance)
     found = found.withColumn("component", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("null "), "simhash")))
-    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__hash").alias("h"))
-    best = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
-    kept = hashed.join(best, hashed[id_col].eqNullSafe(best["__id"]) & (hashed["__hash"] == best["__h"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(mark).alias("h"))
+    best = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.id").alias(own), F.col("k.h").alias(of))
+    kept = hashed.join(best, hashed[id_col].eqNullSafe(best[own]) & (hashed[mark] == best[of]), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).select(*[F.col(f"`{c}`") for c in df.columns])
