@@ -1,14 +1,17 @@
-"""LM scoring: a gated recurrent network over word classes, times the words' shares of their classes.
+"""LM scoring: a gated recurrent network over words, its softmax factored by classes.
 
-Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. Frequent words are classes of their own, others share a class by
-their last two bytes. The probability of a text is the product of P(class | state), a softmax over classes, and P(word | class), by the training counts with add-0.1 smoothing and one
-place for all unseen words. The state is carried through the whole document, window by window.
+Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end. The network's units are frequent words, in classes by frequency, and tail
+classes, which the other words share by their last two bytes. The probability of a frequent word is P(class | state) P(word | class, state), both softmaxes;
+that of another P(tail class | state) times its training share of the tail class, with add-0.1 smoothing and one place for all unseen words.
+The state is carried through the whole document, window by window.
 
-Counts are exact, over all training documents. The network is trained by parameter averaging: in each round every task runs truncated
-backpropagation over its own share of the training documents, and the rounds go through all of them, so what is learnt from grows with the input. Common words (at most `table`
-of them) are looked up in memory, all others by a join.
+Counts are exact, over all training documents. The network learns from all of them: they are dealt to rounds and, within a round, to logical shards of about
+`shard_tokens` tokens by the hash of id and text; each shard is one run of truncated backpropagation in the order of the hashes, starting from the weights and the
+optimiser's state that the round before left on average over its shards. How tables are partitioned changes none of this, and what is learnt from grows with the
+input. Common words (at most `table` of them) are looked up in memory, all others by a join.
 
-Nulls count as empty texts, which are one end. Null ids are held out. Without training documents the network stays at its start. Repeated rows are scored each.
+Nulls count as empty texts, which are one end. Null ids are held out. Without training documents the network stays at its start. Repeated rows are scored each; rows
+that repeat an id and text are learnt from in one shard. Very long texts are one document of one stream; a window of them at a time is in the network.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tables, slices
-from .gru import Gru
+from .common import Tables, slices, unused
+from .gru import Gru, Trainer
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Classes by the last two bytes.
-ENDINGS = 64
+#: Tail classes, by the last two bytes.
+ENDINGS = 48
 _SLICES = 8
+#: Words that a task remembers the tail class of.
+_REMEMBERED = 1 << 17
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -46,18 +51,33 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+class Units(dict):
+    """Units by word; words that aren't frequent get their tail class."""
+
+    def __init__(self, single: dict[bytes, int]):
+        super().__init__(single)
+        self.first = len(single)
+
+    def __missing__(self, word: bytes) -> int:
+        unit = self.first + ending(word)
+        if len(self) < _REMEMBERED:
+            self[word] = unit
+        return unit
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for whole in batches:
-        for batch in slices(whole, "__text", most):
-            yield batch, [tokens(x) for x in batch.column("__text").cast(pa.binary()).to_pylist()]
+        for batch in slices(whole, column, most):
+            yield batch, [tokens(x) for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def count_words(texts: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(word binary, n long) of column __text; the empty word counts the documents."""
+    """(word binary, n long) of the only column; the empty word counts the documents."""
+    text = texts.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        for batch, found in _texts(batches):
+        for batch, found in _texts(batches, text):
             for words in found:
                 counts.update(words)
             counts[b""] += batch.num_rows
@@ -84,37 +104,59 @@ def most_common(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
     return least, {bytes(r[0]): r[1] for r in counts.where(F.col("n") >= least).collect()}
 
 
-def turns(texts: DataFrame, rounds: int, share: int) -> list[DataFrame]:
-    """The training texts of each round: every text is in one of `share` classes, and the rounds go through the classes."""
-    return [texts.where(F.pmod(F.xxhash64("__text", F.lit(5)), F.lit(share)) == turn % share).select("__text") for turn in range(rounds)]
+def rounds_of(ids: DataFrame, n_rounds: int, n_shards: int) -> list[DataFrame]:
+    """(shard, place, ids) of each round, from (id, ids): every document is in one round and one of its shards, by the hash of id and units; place orders a shard."""
+    place = F.xxhash64("id", "ids", F.lit(5))
+    dealt = ids.select(F.pmod(place, F.lit(n_rounds)).alias("turn"), F.pmod(F.floor(place / n_rounds), F.lit(n_shards)).cast("int").alias("shard"), F.xxhash64("id", "ids", F.lit(6)).alias("place"), "ids")
+    return [dealt.where(F.col("turn") == turn).drop("turn") for turn in range(n_rounds)]
 
 
-def _train(texts: DataFrame, model: Gru, single: dict[bytes, int], rates: tuple[float, ...], share: int) -> Gru:
-    spark, n = texts.sparkSession, len(single)
-    for part, rate in zip(turns(texts, len(rates), share), rates, strict=True):
-        start = spark.sparkContext.broadcast(model.flat())
-        shape = (model.classes, model.hidden, model.end)
+def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...], shard_tokens: int, updates: int) -> Gru:
+    """The model after one run over all documents of ids (id, ids binary: units of 16 bits)."""
+    spark = ids.sparkSession
+    each = n_tokens / len(rates)
+    shards = max(1, round(each / shard_tokens))
+    lanes = int(min(64, max(4, each / shards / updates / 32)))
+    for part, rate in zip(rounds_of(ids, len(rates), shards), rates, strict=True):
+        start = spark.sparkContext.broadcast((model, model.flat()))
 
         def run(batches: Iterator[pa.RecordBatch], rate=rate, start=start) -> Iterator[pa.RecordBatch]:
-            own, seen = Gru(*shape).load(start.value), 0
-            for _, found in _texts(batches, 2 << 20):
-                seen += own.train([np.array([*[single[w] if w in single else n + ending(w) for w in words], shape[2]], np.int64) for words in found], rate)
-            flat = own.flat().astype(np.float64) * seen
-            for i in range(_SLICES if seen else 0):
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([np.append(flat[i::_SLICES], seen).tobytes()], pa.binary())], names=["slice", "part"])
+            net, flat = start.value
+            shard, trainer = None, None
+
+            def end() -> Iterator[pa.RecordBatch]:
+                if trainer is not None:
+                    seen = trainer.finish()
+                    out = net.flat() * seen
+                    for i in range(_SLICES):
+                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([shard], pa.int64()), pa.array([np.append(out[i::_SLICES], seen).tobytes()], pa.binary())], names=["slice", "shard", "part"])
+
+            for batch in batches:
+                for s, x in zip(batch.column("shard").to_pylist(), batch.column("ids"), strict=True):
+                    if s != shard:
+                        yield from end()
+                        shard, trainer = s, Trainer(net.load(flat), rate, lanes)
+                    trainer.feed(np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64))
+            yield from end()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
+            held, sums = None, None
             for batch in batches:
-                for i, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for i, part in zip(batch.column("slice").to_pylist(), batch.column("part"), strict=True):
                     more = np.frombuffer(part.as_buffer())
-                    sums[i] = sums[i] + more if i in sums else more.copy()
-            for i, x in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], names=["slice", "part"])
-
-        summed = part.mapInArrow(run, "slice long, part binary").repartition(_SLICES, "slice").mapInArrow(add, "slice long, part binary").collect()
+                    if i == held:
+                        sums = sums + more
+                        continue
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([sums.tobytes()], pa.binary())], names=["slice", "part"])
+                    held, sums = i, more.copy()
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([sums.tobytes()], pa.binary())], names=["slice", "part"])
+
+        made = part.repartitionById(shards, "shard").sortWithinPartitions("shard", "place").mapInArrow(run, "slice long, shard long, part binary")
+        summed = made.repartition(_SLICES, "slice").sortWithinPartitions("slice", "shard").mapInArrow(add, "slice long, part binary").collect()
         if summed:
-            flat = model.flat().astype(np.float64)
+            flat = model.flat()
             for i, x in summed:
                 x = np.frombuffer(x)
                 flat[i::_SLICES] = x[:-1] / x[-1]
@@ -123,79 +165,97 @@ def _train(texts: DataFrame, model: Gru, single: dict[bytes, int], rates: tuple[
     return model
 
 
-def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table: int = 1 << 18, singles: int = 96, hidden: int = 32, rates: tuple[float, ...] = (0.01, 0.006, 0.003), share: int = 3) -> DataFrame:
+def score(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table: int = 1 << 18, singles: int = 512, hidden: int = 32,
+    rates: tuple[float, ...] = (0.01, 0.006, 0.003, 0.0015), shard_tokens: int = 1 << 20, updates: int = 300,
+) -> DataFrame:
     """Columns `keep` (default: the id) with held_out boolean, n_tokens, n_known, train_tokens long, base_score and score double (log10).
+    Kept columns named like these are replaced.
 
-    Passes over the texts: counting, one for each rate (a share-th of the training documents each), scoring. The driver holds `table` words and the network."""
+    Two passes over the texts, counting and coding; then one over the training documents' codes for learning, in rounds, and one over all for scoring. The driver
+    holds `table` words and the network; small tables have fewer streams, for `updates` steps a shard."""
     spark = df.sparkSession
     tables = Tables(spark, "lm")
     new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], held_out(F.col(f"`{id_col}`")).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    training = source.where(~F.col("held_out")).select("__text")
-    counts = tables.put(count_words(training), "counts")
+    text, known_, base_, own_, rest_, ids_, row_, more_, logs_ = unused([*keep, *new, "n", "word"], "text", "known", "base", "own", "rest", "ids", "row", "more", "logs")
+    source = df.select(*[F.col(f"`{c}`") for c in keep], held_out(F.col(f"`{id_col}`")).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
+    counts = tables.put(count_words(source.where(~F.col("held_out")).select(text)), "counts")
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least, known = most_common(counts, table)
-    single = {w: i for i, w in enumerate(sorted({b"", *sorted(known, key=lambda w: (-known[w], w))[:singles]}))}
-    n_single = len(single)
-    classes, end = n_single + ENDINGS, single[b""]
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((classes, 2), np.int64)
+    frequent = sorted(known, key=lambda w: (-known[w], w))[:singles]
+    if b"" not in frequent:
+        frequent[singles - 1 :] = [b""]
+    single = {w: i for i, w in enumerate(frequent)}
+    n_single, end = len(single), single[b""]
+    units = n_single + ENDINGS
+
+    def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = np.zeros((units, 2), np.int64), Units(single)
         for batch in batches:
-            c = np.array([single[w] if w in single else n_single + ending(w) for w in batch.column(0).to_pylist()], np.int64)
-            held[:, 0] += np.bincount(c, batch.column(1).to_numpy(zero_copy_only=False), classes).astype(np.int64)
-            held[:, 1] += np.bincount(c, minlength=classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(held[:, 0].copy()), pa.array(held[:, 1].copy())], names=["class", "n", "words"])
+            c = np.array([of[w] for w in batch.column(0).to_pylist()], np.int64)
+            held[:, 0] += np.bincount(c, batch.column(1).to_numpy(zero_copy_only=False), units).astype(np.int64)
+            held[:, 1] += np.bincount(c, minlength=units)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(units)), pa.array(held[:, 0].copy()), pa.array(held[:, 1].copy())], names=["unit", "n", "words"])
 
-    held = np.zeros((classes, 2))
-    for c, n, distinct in counts.mapInArrow(by_class, "class long, n long, words long").groupBy("class").agg(F.sum("n"), F.sum("words")).collect():
+    held = np.zeros((units, 2))
+    for c, n, distinct in counts.mapInArrow(by_unit, "unit long, n long, words long").groupBy("unit").agg(F.sum("n"), F.sum("words")).collect():
         held[c] = n, distinct
-    model = _train(training, Gru(classes, hidden, end, frequency=held[:, 0]), single, rates, share)
     below = np.log10(held[:, 0] + 0.1 * (held[:, 1] + 1))
-    shared = spark.sparkContext.broadcast((list(known), np.array(list(known.values()), np.float64), model.flat()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, counts_, flat = shared.value
-        place = {w: i for i, w in enumerate(words_)}
-        class_of = np.array([single[w] if w in single else n_single + ending(w) for w in words_], np.int64)
-        log_count = np.log10(counts_ + 0.1)
-        in_class = np.where(class_of < n_single, 0.0, log_count - below[class_of])
-        net = Gru(classes, hidden, end).load(flat)
-        get = place.get
-        end_count = float(np.log10((counts_[place[b""]] if b"" in place else 0) + 0.1))
-        for batch, found in _texts(batches, 3 << 20):
-            sequences, n_tokens, n_known, base, own, rest = [], [], [], [], [], []
+    words_ = spark.sparkContext.broadcast((list(known), np.array(list(known.values()), np.float64)))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, counted = words_.value
+        of, get = Units(single), {w: i for i, w in enumerate(listed)}.get
+        unit_of = np.array([of[w] for w in listed], np.int64)
+        log_count = np.log10(counted + 0.1)
+        in_class = np.where(unit_of < n_single, 0.0, log_count - below[unit_of])
+        end_count = float(np.log10((counted[get(b"")] if b"" in single and get(b"") is not None else 0) + 0.1))
+        for batch, found in _texts(batches, text):
+            codes, n_tokens, n_known, base, own, rest = [], [], [], [], [], []
             for words in found:
                 at = np.array([get(w, -1) for w in words], np.int64)
                 there = at >= 0
-                c = np.empty(len(words) + 1, np.int64)
+                c = np.empty(len(words) + 1, np.uint16)
                 c[-1] = end
-                c[:-1][there] = class_of[at[there]]
+                c[:-1][there] = unit_of[at[there]]
                 tail = [words[i] for i in np.flatnonzero(~there).tolist()]
-                others = [single[w] if w in single else n_single + ending(w) for w in tail]
+                others = [of[w] for w in tail]
                 c[:-1][~there] = others
-                sequences.append(c)
+                codes.append(c.tobytes())
                 n_tokens.append(len(c))
                 n_known.append(int(there.sum()) + (n_all > 0))
                 base.append(float(log_count[at[there]].sum()) + end_count)
                 own.append(float(in_class[at[there]].sum()) - float(below[others].sum() if others else 0.0))
                 rest.append(tail)
-            own = np.array(own) + net.score(sequences)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rest, pa.list_(pa.binary()))],
-                names=[*keep, "held_out", "n_tokens", "__known", "__base", "__own", "__rest"],
+                [*[batch.column(c) for c in keep], batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.binary()))],
+                names=[*keep, "held_out", "n_tokens", known_, base_, own_, ids_, rest_],
             )
 
-    schema = source.drop("__text").schema.add("n_tokens", "long").add("__known", "long").add("__base", "double").add("__own", "double")
-    first = source.mapInArrow(run, schema.add("__rest", T.ArrayType(T.BinaryType()))).withColumn("__row", F.monotonically_increasing_id())
-    first = tables.put(first, "rows")  # from here on the row numbers are fixed
-    rest = first.select("__row", F.explode("__rest").alias("word")).join(counts.where(F.col("n") < least), "word", "left")
-    rest = rest.groupBy("__row").agg(F.count("n").alias("__more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("__logs"))
-    out = first.drop("__rest").join(rest, "__row", "left")
-    logs = F.coalesce("__logs", F.lit(0.0))
+    schema = source.drop(text).schema.add("n_tokens", "long").add(known_, "long").add(base_, "double").add(own_, "double").add(ids_, "binary")
+    coded = source.mapInArrow(code, schema.add(rest_, T.ArrayType(T.BinaryType()))).withColumn(row_, F.monotonically_increasing_id())
+    coded = tables.put(coded, "coded")  # from here on the row numbers are fixed
+    training = coded.where(~F.col("held_out")).select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(ids_).alias("ids"))
+    model = _train(training, Gru(n_single, ENDINGS, hidden, end, held[:, 0]), n_all, rates, shard_tokens, updates)
+    net_ = spark.sparkContext.broadcast(model)
+    passed = [*keep, "held_out", "n_tokens", known_, base_, own_, row_]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = net_.value
+        for whole in batches:
+            for batch in slices(whole, ids_, 1 << 19):
+                got = net.score([np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in batch.column(ids_)])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(got)], names=[*passed, "score"])
+
+    first = coded.select(*[F.col(f"`{c}`") for c in passed], ids_)
+    first = first.mapInArrow(run, first.drop(ids_).schema.add("score", "double"))
+    rest = coded.select(row_, F.explode(rest_).alias("word")).join(counts.where(F.col("n") < least), "word", "left")
+    rest = rest.groupBy(row_).agg(F.count("n").alias(more_), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias(logs_))
+    out = first.join(rest, row_, "left")
+    logs = F.coalesce(logs_, F.lit(0.0))
     every = float(np.log10(n_all + 0.1 * (n_distinct + 1)))
     return out.select(
-        *[F.col(f"`{c}`") for c in keep], "held_out", "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("__base") + logs - F.col("n_tokens") * every).alias("base_score"), (F.col("__own") + logs).alias("score"),
+        *[F.col(f"`{c}`") for c in keep], "held_out", "n_tokens", (F.col(known_) + F.coalesce(more_, F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col(base_) + logs - F.col("n_tokens") * every).alias("base_score"), (F.col("score") + F.col(own_) + logs).alias("score"),
     )

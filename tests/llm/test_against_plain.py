@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 from codeweave.llm import components, decontaminate, html_text, lm, quality, simhash, substrings, warc
-from codeweave.llm.gru import Gru
+from codeweave.llm.gru import Gru, Trainer
 from pyspark.sql import functions as F
 
 
@@ -178,32 +178,72 @@ def test_lm_counts_and_scores(spark):
 
 
 def test_gru_gradients_and_windows():
-    g = Gru(7, 5, 0)
+    f = np.array([50, 40, 30, 9, 8, 7, 3, 2, 5, 6])
+    g = Gru(8, 2, 5, 0, f, classes=3)
     for name in g.NAMES:
         setattr(g, name, getattr(g, name).astype(np.float64))
     r = np.random.default_rng(0)
-    xs, ys, real = r.integers(0, 7, (6, 3)), r.integers(0, 7, (6, 3)), np.ones((6, 3))
+    xs, ys, weight, h0 = r.integers(0, 10, (6, 3)), r.integers(0, 10, (6, 3)), np.full((6, 3), 1 / 18), r.standard_normal((3, 5))
 
     def loss():
-        h, total = np.zeros((3, 5)), 0.0
+        h, total = h0, 0.0
         for t in range(6):
             h = g.cell(xs[t], h * (xs[t] != 0)[:, None])
-            o = h @ g.wo + g.bo
-            total -= (o[np.arange(3), ys[t]] - np.log(np.exp(o).sum(1))).sum()
+            total -= g.log10_of(h, ys[t]).sum() * np.log(10)
         return total / 18
 
-    grads, _ = g._window(xs, ys, real, np.zeros((3, 5)))
+    grads, _ = g._window(xs, ys, weight, h0)
     for name in g.NAMES:
         w = getattr(g, name)
-        at = tuple(s // 2 for s in w.shape)
-        w[at] += 1e-5
-        up = loss()
-        w[at] -= 2e-5
-        down = loss()
-        w[at] += 1e-5
-        assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-6
-    docs = [np.append(r.integers(1, 7, n), 0) for n in (0, 5, 300, 64)]
+        for at in ((0,) * w.ndim, tuple(s // 2 for s in w.shape), tuple(s - 1 for s in w.shape)):
+            before = w[at]
+            w[at] = before + 1e-5
+            up = loss()
+            w[at] = before - 1e-5
+            down = loss()
+            w[at] = before
+            assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-6
+    assert abs(sum(10 ** g.log10_of(np.repeat(h0[:1], 10, axis=0), np.arange(10))) - 1) < 1e-9
+    docs = [np.append(r.integers(1, 10, n), 0) for n in (0, 5, 300, 64)]
     assert np.allclose(g.score(docs), g.score(docs, window=7), atol=1e-4)
+    plain = []
+    for d in docs:
+        h, total, last = np.zeros((1, 5)), 0.0, 0
+        for u in d:
+            h = g.cell(np.array([last]), h)
+            total += g.log10_of(h, np.array([u]))[0]
+            last = u
+        plain.append(total)
+    assert np.allclose(g.score(docs), plain, atol=1e-3)
+
+
+def test_trainer_reads_every_unit_once():
+    r = np.random.default_rng(1)
+    docs = [np.append(r.integers(1, 10, int(n)), 0) for n in r.integers(0, 300, 60)]
+    t = Trainer(Gru(8, 2, 5, 0, np.ones(10)), 0.01, 4, window=16)
+    for d in docs:
+        t.feed(d)
+    assert t.finish() == sum(map(len, docs))
+
+
+def test_lm_learns_alike_on_any_layout_and_beats_the_counts(spark):
+    rng = random.Random(12)
+    line = lambda: " ".join(f"a{(k := rng.randrange(20))} b{k} c{k % 5}" for _ in range(40))
+    docs, out = [(i, line()) for i in range(300)], []
+    for n in (2, 7):
+        out.append({r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), shard_tokens=4000, updates=20).collect()})
+    assert all(abs(out[0][i].score - out[1][i].score) < 1e-4 * out[0][i].n_tokens for i, _ in docs)
+    held = [r for r in out[0].values() if r.held_out]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+
+
+def test_word_shares_of_a_tail_class_sum_to_one():
+    counts = Counter({f"w{i}".encode(): 1 + i % 7 for i in range(200)})
+    of = lm.Units({})
+    for unit in {of[w] for w in counts}:
+        own = [n for w, n in counts.items() if of[w] == unit]
+        below = sum(own) + 0.1 * (len(own) + 1)
+        assert abs(sum((n + 0.1) / below for n in own) + 0.1 / below - 1) < 1e-12
 
 
 def test_main_text():

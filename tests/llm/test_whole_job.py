@@ -80,14 +80,12 @@ def test_paraphrases_without_the_rare_words(spark):
 
 
 def test_every_training_document_is_learnt_from(spark):
-    import inspect
-
     from codeweave.llm import lm
 
-    given = {k: p.default for k, p in inspect.signature(lm.score).parameters.items()}
-    texts = spark.createDataFrame([(f"word{i} is here {i % 7}",) for i in range(300)], "__text string")
-    parts = lm.turns(texts, len(given["rates"]), given["share"])
-    assert sorted(r[0] for p in parts for r in p.collect()) == sorted(r[0] for r in texts.collect())
+    ids = spark.createDataFrame([(str(i), bytes([i % 250, 0])) for i in range(600)], "id string, ids binary")
+    parts = [p.collect() for p in lm.rounds_of(ids, 4, 3)]
+    assert sorted(bytes(r["ids"]) for p in parts for r in p) == sorted(bytes(r[0]) for r in ids.select("ids").collect())
+    assert all({r["shard"] for r in p} == {0, 1, 2} for p in parts)
 
 
 def test_whole_grids_match_sql(spark):
