@@ -20,7 +20,7 @@ class Gru:
 
     NAMES = ("wx", "wh", "wo", "bo", "wc", "bc")
 
-    def __init__(self, words: int, tails: int, hidden: int, end: int, frequency: np.ndarray, classes: int = 24, seed: int = 1):
+    def __init__(self, words: int, tails: int, hidden: int, end: int, frequency: np.ndarray, classes: int = 8, seed: int = 1):
         r = np.random.default_rng(seed)
         self.words, self.units, self.hidden, self.end = words, words + tails, hidden, end
         f = np.asarray(frequency, np.float64) + 1.0
@@ -199,7 +199,7 @@ class Gru:
 class Trainer:
     """Feeds documents to a network in `lanes` streams, a window of each at a time. What it learns hangs on the documents' order alone."""
 
-    def __init__(self, net: Gru, rate: float, lanes: int, window: int = 32):
+    def __init__(self, net: Gru, rate: float, lanes: int, window: int = 16):
         self.net, self.rate, self.window, self.full = net, rate, window, lanes * window
         self.streams = [np.zeros(0, np.int64) for _ in range(lanes)]
         self.size = np.zeros(lanes, np.int64)
@@ -222,7 +222,9 @@ class Trainer:
         return self.seen
 
     def _go(self) -> None:
-        steps = min(self.window, int(self.size.max()))
+        # the last streams have longer windows, so that a very long document doesn't take very many small steps
+        wide = min(8, self.full // (self.window * len(self.size)))
+        steps = min(self.window * wide, int(self.size.max()))
         y = np.full((steps, len(self.size)), self.net.end, np.int64)
         for i, s in enumerate(self.streams):
             y[: min(steps, len(s)), i] = s[:steps]

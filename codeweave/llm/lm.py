@@ -30,7 +30,7 @@ from .gru import Gru, Trainer
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Tail classes, by the last two bytes.
-ENDINGS = 48
+ENDINGS = 32
 _SLICES = 8
 #: Words that a task remembers the tail class of.
 _REMEMBERED = 1 << 17
@@ -65,6 +65,13 @@ class Units(dict):
         return unit
 
 
+class Places(dict):
+    """Places by word; -1 for other words."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for whole in batches:
         for batch in slices(whole, column, most):
@@ -104,10 +111,13 @@ def most_common(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
     return least, {bytes(r[0]): r[1] for r in counts.where(F.col("n") >= least).collect()}
 
 
-def rounds_of(ids: DataFrame, n_rounds: int, n_shards: int) -> list[DataFrame]:
-    """(shard, place, ids) of each round, from (id, ids): every document is in one round and one of its shards, by the hash of id and units; place orders a shard."""
+def rounds_of(ids: DataFrame, n_rounds: int, n_shards: int, long: int = 4096) -> list[DataFrame]:
+    """(shard, place, ids) of each round, from (id, ids): every document is in one round and one of its shards, by the hash of id and units; place orders a
+    shard, the documents of over `long` bytes first, so that streams end together."""
     place = F.xxhash64("id", "ids", F.lit(5))
-    dealt = ids.select(F.pmod(place, F.lit(n_rounds)).alias("turn"), F.pmod(F.floor(place / n_rounds), F.lit(n_shards)).cast("int").alias("shard"), F.xxhash64("id", "ids", F.lit(6)).alias("place"), "ids")
+    order = F.xxhash64("id", "ids", F.lit(6))
+    order = F.when(F.octet_length("ids") > long, order.bitwiseOR(F.lit(-(1 << 63)))).otherwise(order.bitwiseAND(F.lit((1 << 63) - 1)))
+    dealt = ids.select(F.pmod(place, F.lit(n_rounds)).alias("turn"), F.pmod(F.floor(place / n_rounds), F.lit(n_shards)).cast("int").alias("shard"), order.alias("place"), "ids")
     return [dealt.where(F.col("turn") == turn).drop("turn") for turn in range(n_rounds)]
 
 
@@ -116,7 +126,7 @@ def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...],
     spark = ids.sparkSession
     each = n_tokens / len(rates)
     shards = max(1, round(each / shard_tokens))
-    lanes = int(min(64, max(4, each / shards / updates / 32)))
+    lanes = int(min(192, max(4, each / shards / updates / 16)))
     for part, rate in zip(rounds_of(ids, len(rates), shards), rates, strict=True):
         start = spark.sparkContext.broadcast((model, model.flat()))
 
@@ -166,8 +176,8 @@ def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...],
 
 
 def score(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table: int = 1 << 18, singles: int = 512, hidden: int = 32,
-    rates: tuple[float, ...] = (0.01, 0.006, 0.003, 0.0015), shard_tokens: int = 1 << 20, updates: int = 300,
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table: int = 1 << 18, singles: int = 256, hidden: int = 20,
+    rates: tuple[float, ...] = (0.015, 0.01, 0.005, 0.002), shard_tokens: int = 1 << 20, updates: int = 200,
 ) -> DataFrame:
     """Columns `keep` (default: the id) with held_out boolean, n_tokens, n_known, train_tokens long, base_score and score double (log10).
     Kept columns named like these are replaced.
@@ -206,15 +216,16 @@ def score(
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, counted = words_.value
-        of, get = Units(single), {w: i for i, w in enumerate(listed)}.get
+        of, places = Units(single), Places(zip(listed, range(len(listed)), strict=True))
+        place_of = places.__getitem__
         unit_of = np.array([of[w] for w in listed], np.int64)
         log_count = np.log10(counted + 0.1)
         in_class = np.where(unit_of < n_single, 0.0, log_count - below[unit_of])
-        end_count = float(np.log10((counted[get(b"")] if b"" in single and get(b"") is not None else 0) + 0.1))
+        end_count = float(np.log10((counted[places[b""]] if b"" in places else 0) + 0.1))
         for batch, found in _texts(batches, text):
             codes, n_tokens, n_known, base, own, rest = [], [], [], [], [], []
             for words in found:
-                at = np.array([get(w, -1) for w in words], np.int64)
+                at = np.fromiter(map(place_of, words), np.int64, len(words))
                 there = at >= 0
                 c = np.empty(len(words) + 1, np.uint16)
                 c[-1] = end
