@@ -92,7 +92,7 @@ class Gru:
             out[at : at + 4096] = picked / np.log(10)
         return out
 
-    def score(self, documents: list[np.ndarray], window: int = 64) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], window: int = 32) -> np.ndarray:
         """log10 probability of each whole document's units (which include the end): lanes run in step, the state goes on from window to window."""
         sizes = np.array([len(d) for d in documents], np.int64)
         order = np.argsort(-sizes, kind="stable")

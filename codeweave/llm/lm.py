@@ -255,7 +255,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = net_.value
         for whole in batches:
-            for batch in slices(whole, ids_, 1 << 19):
+            for batch in slices(whole, ids_, 1 << 22):  # many documents at once, so that few steps have few of them
                 got = net.score([np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in batch.column(ids_)])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(got)], names=[*passed, "score"])
 
