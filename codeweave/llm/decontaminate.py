@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of `window` words are TF-IDF vectors over the benchmark's terms (other terms can't meet a query; the weight is 1 / sqrt(document
-frequency), over all documents; very common terms are left out). A distributed randomised SVD (random range finder, then
-Rayleigh-Ritz on one more pass) of the corpus's passages, with the benchmark's own as weighted rows, gives the latent space. Overlapping passages are projected
-and held against all benchmark items by cosine; candidates are verified by the longest common subsequence of words, near-verbatim or, for paraphrases,
-a lower share together with the item's answer (its last words). What the verifier accepts doesn't hang on the cosine: stretches with
-enough of an item's rarer half of words, or with its last words, are candidates too, and no leak is outside those.
+frequency), over all documents, and no term is left out). A distributed randomised SVD (random range finder, then
+Rayleigh-Ritz on one more pass) of the corpus's passages, with the benchmark's own as weighted rows, gives a latent space of `dimensions`, however large the
+benchmark is. Overlapping passages are projected and held against all benchmark items by cosine; candidates are verified by the longest common subsequence of words,
+near-verbatim or, for paraphrases, a lower share together with the item's answer (its last words). What the verifier accepts doesn't hang on the
+cosine alone: stretches with enough of an item's rarer half of words (by an index from terms to items), or with its last words, are candidates too, and no leak
+is outside those.
 
 The benchmark is the query set: it is collected, behind a check of its size, and queried in groups of items whose matrices stay
 under a bound. Items longer than a window are queried in parts. Nulls, empty texts
-and items without words match nothing; an empty benchmark gives an empty result; repeated rows give one row for each document and item.
+and items without words match nothing; an empty benchmark gives an empty result; repeated rows give one row for each document and item. Very long texts are cut
+into windows like any other.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Tables, mix, slices, span_hashes, tasks_for, text_bytes, word_bounds
+from .common import LOWER, Tables, mix, slices, span_hashes, tasks_for, text_bytes, unused, word_bounds
 
 #: Greatest size of the benchmark's texts, in characters; beyond it, call with parts of the benchmark.
 MOST_BENCHMARK = 64 << 20
@@ -48,16 +50,16 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return span_hashes(LOWER[raw], begin, end), first
 
 
-def groups(rows: list[tuple], window: int, most: int) -> list[list[tuple]]:
-    """The items in groups with few enough entries (words, at least the terms, times windows and 64 more); one item at least."""
+def groups(rows: list[tuple], dimensions: int, most: int) -> list[list[tuple]]:
+    """The items in groups with few enough entries (words, at least the terms, times dimensions); one item at least."""
     out: list[list[tuple]] = [[]]
-    n_words = n_parts = 0
+    n_words = 0
     for row in rows:
         n = len((row[1] or "").split())
-        n_words, n_parts = n_words + n, n_parts + -(-n // window)
-        if out[-1] and n_words * (n_parts + 64) > most:
+        n_words += n
+        if out[-1] and n_words * dimensions > most:
             out.append([])
-            n_words, n_parts = n, -(-n // window)
+            n_words = n
         out[-1].append(row)
     return out
 
@@ -98,8 +100,6 @@ def _sums(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def gram(places: np.ndarray, terms: np.ndarray, weight: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
     """Adds A'(A basis) for the passages A given by the sorted passage and the term of each entry."""
-    use = weight[terms] > 0
-    places, terms = places[use], terms[use]
     for at in range(0, len(places), 1 << 16):
         p, t = places[at : at + (1 << 16)], terms[at : at + (1 << 16)]  # a passage cut here counts as two
         w = weight[t][:, None]
@@ -121,19 +121,19 @@ def lcs(masks: dict[int, int], n: int, text: list[int]) -> int:
     return n - v.bit_count()
 
 
-def verify(item: np.ndarray, text: np.ndarray, answer: int) -> tuple[float, bool, int]:
-    """(largest share of the item's words in common with a stretch of 1.5 its length, whether its last words stand there, where)."""
+def verify(item: np.ndarray, text: np.ndarray, answer: int, least: float = 0.5) -> tuple[float, bool, int]:
+    """(largest share of the item's words in common with a stretch of 1.5 its length, whether its last words stand there, where); shares below `least` count as none."""
     n = len(item)
     masks: dict[int, int] = {}
     for i, w in enumerate(item.tolist()):
         masks[w] = masks.get(w, 0) | 1 << i
     span, step = n + n // 2 + 1, max(1, n // 4)
-    every = text.tolist()
+    every, least = text.tolist(), -(-n * least // 1)
     last = item[-answer:].tolist()
     best = (0.0, False, 0)
     for at in range(0, max(1, len(every) - span + step), step):
         part = every[at : at + span]
-        if sum(w in masks for w in part) * 2 < n:
+        if sum(w in masks for w in part) < least:
             continue
         share = lcs(masks, n, part) / n
         if share > best[0]:
@@ -142,55 +142,73 @@ def verify(item: np.ndarray, text: np.ndarray, answer: int) -> tuple[float, bool
     return best
 
 
-def rare_half(items: list[np.ndarray], places: list[np.ndarray], df: np.ndarray, verbatim: float) -> tuple[np.ndarray, np.ndarray]:
-    """(which terms are of each item's rarer half, how many of them a text must hold): a text with a share `verbatim` of an
-    item's words lacks the others at most, so it holds the rest of any half; no leak has fewer."""
-    rare, need = np.zeros((len(df), len(items)), np.int16), np.ones(len(items), np.int64)
-    for i, term in enumerate(places):
-        n = len(items[i])
-        half = np.argsort(df[term], kind="stable")[: n // 2 + 1]
-        rare[term[half], i] = 1
-        need[i] = max(1, len(half) - n + int(np.ceil(verbatim * n - 1e-9)))
-    return rare, need
+@dataclass
+class Index:
+    """From terms to the items in whose rarer half they are."""
 
+    begin: np.ndarray  # of each term's items
+    item: np.ndarray
+    need: np.ndarray  # words of its rarer half that a leak of an item holds at least
+    span: np.ndarray  # words of a stretch
+    last: np.ndarray  # hashes of the items' last words, sorted
+    ends: np.ndarray  # their items
 
-def held(bench: Benchmark, rare: np.ndarray, need: np.ndarray, h: np.ndarray, first: np.ndarray, answer: int, block: int = 32) -> Iterator[tuple[int, int, int, int, bool]]:
+    @classmethod
+    def of(cls, bench: Benchmark, df: np.ndarray, verbatim: float, paraphrase: float, answer: int) -> Index:
+        """A text with a share of an item's words lacks the others at most, so it holds the rest of any half. Of a paraphrase, which has the last words too,
+        those are the candidates."""
+        terms, items, need = [], [], np.ones(len(bench.items), np.int64)
+        for i, words_ in enumerate(bench.items):
+            n, term = len(words_), np.searchsorted(bench.terms, words_)
+            share = verbatim if n >= answer else min(verbatim, paraphrase)
+            half = np.argsort(df[term], kind="stable")[: n // 2 + 1]
+            need[i] = max(1, len(half) - n + int(np.ceil(share * n - 1e-9)))
+            terms.append(np.unique(term[half]))
+            items.append(np.full(len(terms[-1]), i))
+        term, item = np.concatenate(terms), np.concatenate(items)
+        order = np.argsort(term, kind="stable")
+        own = [i for i, x in enumerate(bench.items) if len(x) >= answer]
+        last = np.array([_runs(bench.items[i][-answer:], answer)[0] for i in own], np.uint64)
+        ends = np.argsort(last, kind="stable")
+        spans = np.array([len(x) + len(x) // 2 + 1 for x in bench.items])
+        return cls(np.searchsorted(term[order], np.arange(len(bench.terms) + 1)), item[order], need, spans, last[ends], np.array(own, np.int64)[ends])
+
+
+def held(bench: Benchmark, index: Index, h: np.ndarray, first: np.ndarray, answer: int, block: int = 16) -> Iterator[tuple[int, int, int, int, bool]]:
     """(text, item, begin, end, by the answer): stretches of words outside which no leak can lie: those with enough of an item's
     rarer half, and those around its last words."""
     if not len(h):
         return
     at, term = bench.find(h)
-    use = rare.any(axis=1)[term]
-    at, term = at[use], term[use]
     text = np.searchsorted(first, at, side="right") - 1
-    blocks = np.concatenate([[0], np.cumsum(-(-np.diff(first) // block))])
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(blocks))
-    sums = np.zeros((blocks[-1] + 1, rare.shape[1]), np.int32)
-    if len(at):
-        key, part = _sums(rare[term], blocks[text] + (at - first[text]) // block)
-        sums[key + 1] = part
-    np.cumsum(sums, axis=0, out=sums)
-    spans = np.array([len(x) + len(x) // 2 + 1 for x in bench.items])
-    wide = -(-(spans - 1) // block) + 1
-    for w in np.unique(wide).tolist():
-        own = np.flatnonzero(wide == w)
-        end = np.minimum(np.arange(blocks[-1]) + w, blocks[owner + 1])
-        enough = sums[end][:, own] - sums[:-1][:, own] >= need[own]
-        which, where = np.nonzero(enough.T)
-        new = np.ones(len(where), bool)
-        new[1:] = (which[1:] != which[:-1]) | (where[1:] != where[:-1] + 1) | (owner[where[1:]] != owner[where[:-1]])
-        for a, b in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new)[1:].tolist(), len(where)] if len(where) else [], strict=True):
-            t = int(owner[where[a]])
-            yield t, int(own[which[a]]), int(where[a] - blocks[t]) * block, min(int(first[t + 1] - first[t]), int(where[b - 1] + w - blocks[t]) * block), False
-    last: dict[int, list[int]] = {}
-    for i, item in enumerate(bench.items):
-        if len(item) >= answer:
-            last.setdefault(int(_runs(item[-answer:], answer)[0]), []).append(i)
+    # a number for each block of words, with a gap after each text, so that no stretch goes on into the next one
+    widest = int(index.span.max()) // block + 3
+    blocks = np.concatenate([[0], np.cumsum(-(-np.diff(first) // block) + widest)])
+    many = index.begin[term + 1] - index.begin[term]
+    which = np.repeat(np.arange(len(at)), many)
+    inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+    item = index.item[index.begin[term[which]] + inside]
+    key = item * int(blocks[-1]) + (blocks[text] + (at - first[text]) // block)[which]
+    key, counts = np.unique(key, return_counts=True)
+    total = np.concatenate([[0], np.cumsum(counts)])
+    owner = key // int(blocks[-1])
+    wide = (index.span[owner] - 2) // block + 2
+    enough = np.flatnonzero(total[np.searchsorted(key, key + wide)] - total[:-1] >= index.need[owner])
+    opens = np.ones(len(enough), bool)
+    opens[1:] = key[enough[1:]] > key[enough[:-1]] + wide[enough[:-1]]
+    begins = np.flatnonzero(opens)
+    ends = np.append(begins[1:], len(enough)) - 1 if len(begins) else begins
+    for a, b in zip(enough[begins].tolist(), enough[ends].tolist(), strict=True):
+        i, place = int(owner[a]), int(key[a]) % int(blocks[-1])
+        t = int(np.searchsorted(blocks, place, side="right") - 1)
+        n = int(first[t + 1] - first[t])
+        yield t, i, (place - int(blocks[t])) * block, min(n, (int(key[b]) % int(blocks[-1]) + int(wide[b]) - int(blocks[t])) * block), False
     runs = _runs(h, answer)
-    for p in np.flatnonzero(np.isin(runs, np.array(list(last), np.uint64))).tolist():
+    low, high = (np.searchsorted(index.last, runs, side=side) for side in ("left", "right"))
+    for p in np.flatnonzero(high > low).tolist():
         t = int(np.searchsorted(first, p, side="right") - 1)
         if p + answer <= first[t + 1]:
-            for i in last[int(runs[p])]:
+            for i in index.ends[low[p] : high[p]].tolist():
                 yield t, i, p - int(first[t]), p - int(first[t]) + answer, True
 
 
@@ -215,26 +233,28 @@ def around(item: np.ndarray, text: np.ndarray, begin: int, end: int) -> tuple[fl
 
 
 def contamination(
-    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 64, dimensions: int | None = None,
-    cosine: float = 0.28, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.01, seed: int = 42,
+    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 64, dimensions: int = 64,
+    cosine: float = 0.28, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, seed: int = 42,
 ) -> DataFrame:
     """(columns keep, default the id; item, cosine, lcs_share double, answer_found boolean, word long): the contaminated documents, a row for each
-    benchmark item in them. Four passes over the texts for each group of items; what they gather is bounded by MOST_ENTRIES, but for a single item of more."""
+    benchmark item in them. Kept columns named like these are replaced. Four passes over the texts for each group of items; what they gather is bounded by
+    MOST_ENTRIES (some 5,000 items of 50 words to a group), but for a single item of more."""
     spark = df.sparkSession
-    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep])]
     new = [item_col, "cosine", "lcs_share", "answer_found", "word"]
+    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c == id_col or c not in new]
+    text = unused([*keep, *new], "text")[0]
     size = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
     if size > MOST_BENCHMARK:
         raise ValueError(f"the benchmark has {size} characters, more than {MOST_BENCHMARK}: pass it in parts")
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").schema
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
+    schema = source.drop(text).schema
     for name, kind in zip(new, (benchmark.schema[item_col].dataType, "double", "double", "boolean", "long"), strict=True):
         schema = schema.add(name, kind)
     found, tables = None, Tables(spark, "leaks")
-    for i, rows in enumerate(groups(benchmark.select(item_col, item_text).collect(), window, MOST_ENTRIES)):
+    for i, rows in enumerate(groups(benchmark.select(item_col, item_text).collect(), dimensions, MOST_ENTRIES)):
         bench = Benchmark.of(rows)
         if len(bench.terms):
-            part = tables.put(_against(source, bench, keep, schema, window, dimensions, cosine, verbatim, paraphrase, answer, common, seed), str(i))
+            part = tables.put(_against(source, text, bench, keep, schema, window, dimensions, cosine, verbatim, paraphrase, answer, seed), str(i))
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
@@ -244,17 +264,17 @@ def contamination(
 
 
 def _against(
-    source: DataFrame, bench: Benchmark, keep: list[str], schema: T.StructType, window: int, dimensions: int | None,
-    cosine: float, verbatim: float, paraphrase: float, answer: int, common: float, seed: int,
+    source: DataFrame, text_name: str, bench: Benchmark, keep: list[str], schema: T.StructType, window: int, dimensions: int,
+    cosine: float, verbatim: float, paraphrase: float, answer: int, seed: int,
 ) -> DataFrame:
     """The leaks of a group of items, in four passes over the texts; a document and item may come in several rows."""
     spark, n_terms, new = source.sparkSession, len(bench.terms), schema.names[len(keep) :]
-    texts = source.select("__text")
+    texts = source.select(text_name)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(n_terms, np.int64), 0
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, text_name):
                 h, first = words(*text_bytes(batch.column(0)))
                 at, term = bench.find(h)
                 text = np.searchsorted(first, at, side="right") - 1
@@ -267,24 +287,33 @@ def _against(
     total = counts.pop(-1, 0)
     df_ = np.zeros(n_terms)
     df_[list(counts)] = list(counts.values())
-    weight = np.where(df_ <= max(20.0, common * total), 1 / np.sqrt(np.maximum(df_, 1)), 0).astype(np.float32)
+    weight = (1 / np.sqrt(np.maximum(df_, 1))).astype(np.float32)
 
     parts = [(i, item[a : a + window]) for i, item in enumerate(bench.items) for a in range(0, len(item), window)]
-    queries = np.zeros((len(parts), n_terms), np.float32)
-    for row, (_, part) in enumerate(parts):
-        _, term = bench.find(part)
-        np.add.at(queries[row], term, weight[term])
-    weak = ~queries.any(axis=1)  # all terms very common: those count after all
-    for row in np.flatnonzero(weak).tolist():
-        _, term = bench.find(parts[row][1])
-        weight[term] = 1 / np.sqrt(np.maximum(df_[term], 1))
-    if weak.any():
-        queries[:] = 0
-        for row, (_, part) in enumerate(parts):
-            _, term = bench.find(part)
-            np.add.at(queries[row], term, weight[term])
-    k = min(n_terms, dimensions or len(parts) + 64)
-    own = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+    own_row = np.repeat(np.arange(len(parts)), [len(p) for _, p in parts])
+    own_term = np.searchsorted(bench.terms, np.concatenate([p for _, p in parts]))
+    k = min(n_terms, dimensions)
+    # the parts as rows of unit length: sorted rows and the weights of their words
+    same = own_row * n_terms + own_term
+    _, inverse, repeats = np.unique(same, return_inverse=True, return_counts=True)
+    norm = np.sqrt(np.bincount(own_row, weight[own_term].astype(np.float64) ** 2 * repeats[inverse], len(parts)))
+    own_weight = (weight[own_term] / np.maximum(norm[own_row], 1e-9)).astype(np.float32)
+
+    def own(x: np.ndarray) -> np.ndarray:
+        """The parts' rows times a matrix of the terms."""
+        out = np.zeros((len(parts), x.shape[1]), np.float32)
+        for at in range(0, len(own_row), 1 << 16):
+            row, part = _sums(x[own_term[at : at + (1 << 16)]] * own_weight[at : at + (1 << 16), None], own_row[at : at + (1 << 16)])
+            out[row] += part
+        return out
+
+    def own_back(y: np.ndarray) -> np.ndarray:
+        out, order = np.zeros((n_terms, y.shape[1]), np.float32), np.argsort(own_term, kind="stable")
+        for at in range(0, len(order), 1 << 16):
+            o = order[at : at + (1 << 16)]
+            term, part = _sums(y[own_row[o]] * own_weight[o, None], own_term[o])
+            out[term] += part
+        return out
 
     def spread(basis: np.ndarray) -> np.ndarray:
         """A'(A basis) over all passages, summed by slices of the terms, and the benchmark's rows with the weight of the strongest term."""
@@ -293,7 +322,7 @@ def _against(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(basis_shape, np.float32)
             for whole in batches:
-                for batch in slices(whole, "__text"):
+                for batch in slices(whole, text_name):
                     h, first = words(*text_bytes(batch.column(0)))
                     at, term = bench.find(h)
                     text = np.searchsorted(first, at, side="right") - 1
@@ -321,28 +350,27 @@ def _against(
         for i, _, part in made.collect():
             out[i::_SLICES] += np.frombuffer(part, np.float32).reshape(-1, basis_shape[1])
         held.unpersist()
-        return out + 4 * (own.T @ (own @ basis))
+        return out + 4 * own_back(own(basis))
 
     basis = np.linalg.qr(spread(np.random.default_rng(seed).standard_normal((n_terms, k)).astype(np.float32)))[0].astype(np.float32)
     small = basis.T @ spread(basis)
     _, turn = np.linalg.eigh((small + small.T) / 2)
     latent = (basis @ turn[:, ::-1]).astype(np.float32)
-    targets = own @ latent  # norm of the projection: how much of the query the space holds
+    targets = own(latent)  # norm of the projection: how much of the query the space holds
     targets = targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-9)
-    rare, need = rare_half(bench.items, [bench.find(item)[1] for item in bench.items], df_, verbatim)
-    shared = spark.sparkContext.broadcast((latent * weight[:, None], targets, bench, [i for i, _ in parts], rare, need))
+    index = Index.of(bench, df_, verbatim, paraphrase, answer)
+    shared = spark.sparkContext.broadcast((latent * weight[:, None], targets, bench, np.array([i for i, _ in parts]), index))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project, targets, bench, item_of, rare, need = shared.value
-        queries_of = [np.flatnonzero(np.array(item_of) == i) for i in range(len(bench.items))]
+        project, targets, bench, item_of, index = shared.value
+        floor = min(verbatim, paraphrase)
+        queries_of = [slice(*np.searchsorted(item_of, [i, i + 1])) for i in range(len(bench.items))]
         half = window // 2
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                h, first = words(*text_bytes(batch.column("__text")))
-                sure = list(held(bench, rare, need, h, first, answer))
+            for batch in slices(whole, text_name):
+                h, first = words(*text_bytes(batch.column(text_name)))
+                sure = list(held(bench, index, h, first, answer))
                 at, term = bench.find(h)
-                use = weight[term] > 0
-                at, term = at[use], term[use]
                 text = np.searchsorted(first, at, side="right") - 1
                 block = (at - first[text]) // half + text * (1 << 32)
                 found: dict[tuple[int, int], tuple] = {}
@@ -363,7 +391,7 @@ def _against(
                     key = np.concatenate([key[pair], key[alone]])
                     score = (y @ targets.T) / np.maximum(norm, 1e-9)[:, None]
                     for w, q in zip(*np.nonzero(score >= cosine), strict=True):
-                        i, t = item_of[q], int(key[w] >> 32)
+                        i, t = int(item_of[q]), int(key[w] >> 32)
                         item, begin = bench.items[i], int(key[w] & 0xFFFFFFFF) * half
                         margin = max(half, len(item))
                         lo_w = max(0, begin - margin)
@@ -371,12 +399,12 @@ def _against(
                         if mark in tried:
                             continue
                         tried.add(mark)
-                        share, has, place = verify(item, h[first[t] + lo_w : min(first[t + 1], first[t] + begin + window + margin)], answer)
+                        share, has, place = verify(item, h[first[t] + lo_w : min(first[t + 1], first[t] + begin + window + margin)], answer, floor)
                         if (share >= verbatim or share >= paraphrase and has) and share > found.get((t, i), (0, 0))[1]:
                             found[t, i] = (float(score[w, q]), share, has, lo_w + place)
                 for t, i, begin, end, by_answer in sure:
                     item, whole_text = bench.items[i], h[first[t] : first[t + 1]]
-                    share, has, place = around(item, whole_text, begin, end) if by_answer else verify(item, whole_text[begin:end], answer)
+                    share, has, place = around(item, whole_text, begin, end) if by_answer else verify(item, whole_text[begin:end], answer, floor)
                     place += 0 if by_answer else begin
                     if (share >= verbatim or share >= paraphrase and has) and share > found.get((t, i), (0, 0))[1]:
                         _, near = bench.find(whole_text[place : place + window])
@@ -393,8 +421,9 @@ def _against(
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df without the contaminated documents, all columns as they are."""
-    hashed = df.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
-    found = contamination(hashed, benchmark, id_col=id_col, text_col=text_col, keep=["__hash"], **options)
-    found = found.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__h")).distinct()
-    kept = hashed.join(found, hashed[id_col].eqNullSafe(found["__id"]) & (hashed["__hash"] == found["__h"]), "left_anti")
+    mark, own, of = unused(df.columns, "hash", "id", "of")
+    hashed = df.withColumn(mark, F.xxhash64(F.col(f"`{text_col}`")))
+    found = contamination(hashed, benchmark, id_col=id_col, text_col=text_col, keep=[mark], **options)
+    found = found.select(F.col(id_col).alias(own), F.col(mark).alias(of)).distinct()
+    kept = hashed.join(found, hashed[id_col].eqNullSafe(found[own]) & (hashed[mark] == found[of]), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
