@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of `window` words are TF-IDF vectors over the benchmark's terms (other terms can't meet a query; the weight is 1 / sqrt(document
-frequency), over all documents, and no term is left out). A distributed randomised SVD (random range finder, then
-Rayleigh-Ritz on one more pass) of the corpus's passages, with the benchmark's own as weighted rows, gives a latent space of `dimensions`, however large the
+frequency), over all documents; very common terms are left out of the space, unless an item has no other). A distributed randomised SVD (random range finder, then
+Rayleigh-Ritz on one more pass) of the corpus's passages, with the benchmark's own as weighted rows, gives a latent space of at most `dimensions`, however large the
 benchmark is. Overlapping passages are projected and held against all benchmark items by cosine; candidates are verified by the longest common subsequence of words,
 near-verbatim or, for paraphrases, a lower share together with the item's answer (its last words). What the verifier accepts doesn't hang on the
-cosine alone: stretches with enough of an item's rarer half of words (by an index from terms to items), or with its last words, are candidates too, and no leak
+cosine or on the terms left out: stretches with enough of an item's rarer half of words (by an index from terms to items), or with its last words, are candidates too, and no leak
 is outside those.
 
 The benchmark is the query set: it is collected, behind a check of its size, and queried in groups of items whose matrices stay
@@ -31,7 +31,7 @@ from .common import LOWER, Tables, mix, slices, span_hashes, tasks_for, text_byt
 #: Greatest size of the benchmark's texts, in characters; beyond it, call with parts of the benchmark.
 MOST_BENCHMARK = 64 << 20
 #: Greatest number of entries of a matrix of terms and dimensions; items beyond it are queried in groups.
-MOST_ENTRIES = 1 << 24
+MOST_ENTRIES = 1 << 25
 _EDGE = np.zeros(256, bool)
 _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _SLICES = 16
@@ -51,15 +51,15 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def groups(rows: list[tuple], dimensions: int, most: int) -> list[list[tuple]]:
-    """The items in groups with few enough entries (words, at least the terms, times dimensions); one item at least."""
+    """The items in groups with few enough entries (different words, at least the terms, times dimensions); one item at least."""
     out: list[list[tuple]] = [[]]
-    n_words = 0
+    seen: set[str] = set()
     for row in rows:
-        n = len((row[1] or "").split())
-        n_words += n
-        if out[-1] and n_words * dimensions > most:
+        own = set((row[1] or "").split())
+        if out[-1] and len(seen | own) * dimensions > most:
             out.append([])
-            n_words = n
+            seen = set()
+        seen |= own
         out[-1].append(row)
     return out
 
@@ -100,6 +100,8 @@ def _sums(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def gram(places: np.ndarray, terms: np.ndarray, weight: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
     """Adds A'(A basis) for the passages A given by the sorted passage and the term of each entry."""
+    use = weight[terms] > 0
+    places, terms = places[use], terms[use]
     for at in range(0, len(places), 1 << 16):
         p, t = places[at : at + (1 << 16)], terms[at : at + (1 << 16)]  # a passage cut here counts as two
         w = weight[t][:, None]
@@ -233,12 +235,12 @@ def around(item: np.ndarray, text: np.ndarray, begin: int, end: int) -> tuple[fl
 
 
 def contamination(
-    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 64, dimensions: int = 64,
-    cosine: float = 0.28, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, seed: int = 42,
+    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 64, dimensions: int = 256,
+    cosine: float = 0.28, verbatim: float = 0.75, paraphrase: float = 0.5, answer: int = 5, common: float = 0.01, seed: int = 42,
 ) -> DataFrame:
     """(columns keep, default the id; item, cosine, lcs_share double, answer_found boolean, word long): the contaminated documents, a row for each
     benchmark item in them. Kept columns named like these are replaced. Four passes over the texts for each group of items; what they gather is bounded by
-    MOST_ENTRIES (some 5,000 items of 50 words to a group), but for a single item of more."""
+    MOST_ENTRIES (130,000 different words to a group), but for a single item of more."""
     spark = df.sparkSession
     new = [item_col, "cosine", "lcs_share", "answer_found", "word"]
     keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c == id_col or c not in new]
@@ -254,7 +256,7 @@ def contamination(
     for i, rows in enumerate(groups(benchmark.select(item_col, item_text).collect(), dimensions, MOST_ENTRIES)):
         bench = Benchmark.of(rows)
         if len(bench.terms):
-            part = tables.put(_against(source, text, bench, keep, schema, window, dimensions, cosine, verbatim, paraphrase, answer, seed), str(i))
+            part = tables.put(_against(source, text, bench, keep, schema, window, dimensions, cosine, verbatim, paraphrase, answer, common, seed), str(i))
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema)
@@ -265,7 +267,7 @@ def contamination(
 
 def _against(
     source: DataFrame, text_name: str, bench: Benchmark, keep: list[str], schema: T.StructType, window: int, dimensions: int,
-    cosine: float, verbatim: float, paraphrase: float, answer: int, seed: int,
+    cosine: float, verbatim: float, paraphrase: float, answer: int, common: float, seed: int,
 ) -> DataFrame:
     """The leaks of a group of items, in four passes over the texts; a document and item may come in several rows."""
     spark, n_terms, new = source.sparkSession, len(bench.terms), schema.names[len(keep) :]
@@ -287,12 +289,16 @@ def _against(
     total = counts.pop(-1, 0)
     df_ = np.zeros(n_terms)
     df_[list(counts)] = list(counts.values())
-    weight = (1 / np.sqrt(np.maximum(df_, 1))).astype(np.float32)
+    full = (1 / np.sqrt(np.maximum(df_, 1))).astype(np.float32)
+    weight = np.where(df_ <= max(20.0, common * total), full, np.float32(0))
 
     parts = [(i, item[a : a + window]) for i, item in enumerate(bench.items) for a in range(0, len(item), window)]
     own_row = np.repeat(np.arange(len(parts)), [len(p) for _, p in parts])
     own_term = np.searchsorted(bench.terms, np.concatenate([p for _, p in parts]))
-    k = min(n_terms, dimensions)
+    k = min(n_terms, dimensions, len(parts) + 64)
+    poor = np.bincount(own_row, weight[own_term] > 0, len(parts)) == 0  # all terms very common: those count after all
+    often = own_term[poor[own_row]]
+    weight[often] = full[often]
     # the parts as rows of unit length: sorted rows and the weights of their words
     same = own_row * n_terms + own_term
     _, inverse, repeats = np.unique(same, return_inverse=True, return_counts=True)
@@ -371,6 +377,8 @@ def _against(
                 h, first = words(*text_bytes(batch.column(text_name)))
                 sure = list(held(bench, index, h, first, answer))
                 at, term = bench.find(h)
+                use = weight[term] > 0
+                at, term = at[use], term[use]
                 text = np.searchsorted(first, at, side="right") - 1
                 block = (at - first[text]) // half + text * (1 << 32)
                 found: dict[tuple[int, int], tuple] = {}
