@@ -31,7 +31,7 @@ def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of documents that repeat what stands elsewhere, and where it stays."""
     out = substrings.repeated_spans(_docs(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), F.col("first_id").alias("first_doc_id"), "begin", "end", "n_chunks")
+    return out.select(F.col("id").alias("doc_id"), F.col("first_id").alias("first_doc_id"), "begin", "end", "n_chunks", "n_words")
 
 
 def op4_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
