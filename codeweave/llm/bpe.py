@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 #: Characters after which a long text is cut at the next safe boundary.
 CUT = 1 << 16
@@ -57,24 +57,27 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, text_col: str = "text
     """Columns `keep` (default: all but the text) with n_tokens long, token_ids binary (little-endian unsigned 32-bit) and,
     if `decode`, decoded binary: the bytes that the ids stand for. Kept columns named like these are replaced.
 
+    Texts of over `cut` characters are cut before a lone space between two other characters, which is safe for patterns like the
+    public one, in which such a space begins a match; for another kind of pattern give a `cut` beyond the longest text.
     rank_file must be at the same path on every executor. One narrow pass; memory is bounded by one text and BATCH_BYTES."""
     new = ["n_tokens", "token_ids", *["decoded"] * decode]
     keep = [c for c in (df.columns if keep is None else keep) if c != text_col and c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    text = unused(keep, "text")[0]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         table = [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)] if decode else []
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                ids = [encode_text(enc, t or "", cut) for t in batch.column("__text").to_pylist()]
+            for batch in slices(whole, text):
+                ids = [encode_text(enc, t or "", cut) for t in batch.column(text).to_pylist()]
                 out = [batch.column(c) for c in keep]
                 out += [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 if decode:
                     out.append(pa.array([b"".join(map(table.__getitem__, x.tolist())) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, *new])
 
-    schema = source.drop("__text").schema.add("n_tokens", "long").add("token_ids", "binary")
+    schema = source.drop(text).schema.add("n_tokens", "long").add("token_ids", "binary")
     return source.mapInArrow(run, schema.add("decoded", "binary") if decode else schema)
 
 

@@ -7,7 +7,7 @@ undecided block inherit the label of the nearest decided neighbour, of its own
 section first; on equal distance text wins. A page that marks its article keeps
 all of it, whatever its language or style. Nulls, empty pages and pages of
 boilerplate only give an empty text. Unclosed elements end with what holds them,
-unclosed comments and scripts with the page.
+unclosed comments and scripts with the page. Very long pages are read in one pass, in linear time.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -32,6 +32,8 @@ STOP_WORDS = frozenset(
 )
 #: Elements whose text is never shown or never prose.
 RAW = frozenset("script style template noscript textarea title svg math iframe object canvas audio video select option datalist".split())
+#: Those whose content runs to the page's end if they aren't closed.
+TO_END = frozenset("script style template textarea title".split())
 #: Elements that hold boilerplate.
 OUTSIDE = frozenset("nav footer aside form dialog menu button fieldset".split())
 #: Words in class, id or role that mark boilerplate.
@@ -118,7 +120,7 @@ def blocks(page: str) -> Iterator[Block]:
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                at = end.end() if end else size if tag in TO_END else at
             continue
         if tag == "a":
             in_link = not closing
@@ -226,13 +228,14 @@ def extract(df: DataFrame, *, html_col: str = "html", keep: list[str] | None = N
     """Columns `keep` (default: all but the page) with main_text string, n_main_blocks and n_blocks int; one narrow pass."""
     new = ["main_text", "n_main_blocks", "n_blocks"]
     keep = [c for c in (df.columns if keep is None else keep) if c != html_col and c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html"))
+    page = unused(keep, "html")[0]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias(page))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__html"):
-                got = [main_text(x) for x in batch.column("__html").to_pylist()]
+            for batch in slices(whole, page):
+                got = [main_text(x) for x in batch.column(page).to_pylist()]
                 cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], names=[*keep, *new])
 
-    return source.mapInArrow(run, source.drop("__html").schema.add("main_text", "string").add("n_main_blocks", "integer").add("n_blocks", "integer"))
+    return source.mapInArrow(run, source.drop(page).schema.add("main_text", "string").add("n_main_blocks", "integer").add("n_blocks", "integer"))

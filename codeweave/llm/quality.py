@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, Tables, mix, slices, span_hashes, text_bytes
+from .common import LOWER, SPACE, Tables, mix, slices, span_hashes, text_bytes, unused
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 24
@@ -135,19 +135,20 @@ def weigh(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         fit = able.where((F.col("rejected") >= least) & (F.col("target") * n_rejected * ratio < F.col("rejected") * n_target)).toLocalIterator(prefetchPartitions=True)
         telling = {r["bucket"]: r["target"] for r in fit if _log_tail(r["target"], r["target"] + r["rejected"], share) < log(error / tests)}
     known = np.array(sorted(telling), np.int64)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    text_, found_ = unused([*keep, "log_weight", "n_telling"], "text", "found")
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text_))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                text, bucket = ngrams(*text_bytes(batch.column("__text")), buckets)
+            for batch in slices(whole, text_):
+                text, bucket = ngrams(*text_bytes(batch.column(text_)), buckets)
                 hit = np.isin(bucket, known)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[hit], np.arange(batch.num_rows + 1)).astype(np.int32)), pa.array(np.searchsorted(known, bucket[hit])))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, "__found"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, found_])
 
-    found = tables.put(source.mapInArrow(find, source.drop("__text").schema.add("__found", T.ArrayType(T.LongType()))), "found")
+    found = tables.put(source.mapInArrow(find, source.drop(text_).schema.add(found_, T.ArrayType(T.LongType()))), "found")
     n_raw = found.count()
-    raw = dict(found.select(F.explode("__found").alias("i")).groupBy("i").count().collect())
+    raw = dict(found.select(F.explode(found_).alias("i")).groupBy("i").count().collect())
     ratio = [min(0.0, log((telling[b] + 0.5) / (n_target + 1)) - log((raw.get(i, 0) + 0.5) / (n_raw + 1))) for i, b in enumerate(known.tolist())]
 
     @F.arrow_udf(T.DoubleType())
@@ -155,7 +156,7 @@ def weigh(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         r = np.array([*ratio, 0.0])
         return pa.array([float(r[np.array(x, np.int64)].sum()) if x else 0.0 for x in lists.to_pylist()])
 
-    return found.select(*[F.col(f"`{c}`") for c in keep], weight("__found").alias("log_weight"), F.size("__found").alias("n_telling"))
+    return found.select(*[F.col(f"`{c}`") for c in keep], weight(found_).alias("log_weight"), F.size(found_).alias("n_telling"))
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], chosen: np.ndarray, good: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -206,22 +207,24 @@ def resample(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """The sample: columns `keep` (default: the id) with log_weight, n_telling and gumbel_key, top k by the key log_weight / temperature + noise.
     k: by default the sum of the weights min(1, w). The noise hangs on id, text and seed only."""
     tables = Tables(df.sparkSession, "resample")
-    hashed = df.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
+    mark = unused([*df.columns, "log_weight", "n_telling", "gumbel_key"], "hash")[0]
+    hashed = df.withColumn(mark, F.xxhash64(F.col(f"`{text_col}`")))
     kept = [id_col] if keep is None else [c for c in dict.fromkeys([id_col, *keep])]
-    rows = weigh(hashed, labels, id_col=id_col, text_col=text_col, keep=[*kept, "__hash"], table=tables, **fit)
-    u = (F.xxhash64(F.col(f"`{id_col}`"), "__hash", F.lit(seed)).cast("double") + 2.0**63 + 1024) / (2.0**64 + 4096)
+    rows = weigh(hashed, labels, id_col=id_col, text_col=text_col, keep=[*kept, mark], table=tables, **fit)
+    u = (F.xxhash64(F.col(f"`{id_col}`"), mark, F.lit(seed)).cast("double") + 2.0**63 + 1024) / (2.0**64 + 4096)
     rows = rows.withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(u)))
     rows = tables.put(rows, "keys")
     if k is None:
         k = round(rows.agg(F.coalesce(F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight") / temperature))), F.lit(0.0))).first()[0])
     last = kth_largest(rows, "gumbel_key", k)
     rows = rows.where(F.col("gumbel_key") >= last) if last is not None else rows.limit(0)
-    return rows.drop(*({"__hash"} - set(kept)))
+    return rows.drop(mark)
 
 
 def keep_sample(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df that the sample holds, all columns as they are."""
-    sample = resample(df, labels, id_col=id_col, text_col=text_col, keep=["__hash"], **options).select(F.col(id_col).alias("__id"), F.col("__hash").alias("__h")).distinct()
-    hashed = df.withColumn("__hash", F.xxhash64(F.col(f"`{text_col}`")))
-    kept = hashed.join(sample, hashed[id_col].eqNullSafe(sample["__id"]) & (hashed["__hash"] == sample["__h"]), "left_semi")
+    mark, own, of = unused([*df.columns, "log_weight", "n_telling", "gumbel_key"], "mark", "id", "of")
+    hashed = df.withColumn(mark, F.xxhash64(F.col(f"`{text_col}`")))
+    sample = resample(hashed, labels, id_col=id_col, text_col=text_col, keep=[mark], **options).select(F.col(id_col).alias(own), F.col(mark).alias(of)).distinct()
+    kept = hashed.join(sample, hashed[id_col].eqNullSafe(sample[own]) & (hashed[mark] == sample[of]), "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])

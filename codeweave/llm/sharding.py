@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Tables
+from .common import Tables, unused
 
 
 def _entry(key, salt: int) -> tuple:
@@ -58,34 +58,37 @@ def _piece(cuts: list[tuple]):
     return piece
 
 
-def shard(df: DataFrame, n_shards: int, *, key: Column, size: Column, pieces_per_shard: int = 32, samples_per_piece: int = 8, rounds: int = 2, seed: int = 42) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, *, key: Column, size: Column, pieces_per_shard: int = 32, samples_per_piece: int = 8, rounds: int = 8, seed: int = 42) -> DataFrame:
     """df with shard int (0 to n_shards - 1), slot long (gapless from 0 within a shard) and piece int.
 
+    Pieces of over twice their share of the bytes are subdivided until none is left (but single rows), in `rounds` rounds at most.
+
     The driver holds n_shards * pieces_per_shard * samples_per_piece sampled keys, about, and a few numbers for each piece,
     whatever the input's size. The rows are written once to the shared folder with their salt, then shuffled once, by piece."""
     spark, new = df.sparkSession, ["shard", "slot", "piece"]
     kept = [c for c in df.columns if c not in new]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], key.alias("__key"), F.coalesce(size, F.lit(0)).cast("long").alias("__size"), F.xxhash64(F.rand(seed), F.lit(seed)).alias("__salt"))
+    key_, size_, salt_, n_ = unused([*kept, *new], "key", "size", "salt", "n")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], key.alias(key_), F.coalesce(size, F.lit(0)).cast("long").alias(size_), F.xxhash64(F.rand(seed), F.lit(seed)).alias(salt_))
     rows = Tables(spark, "shard").put(rows, "rows")
-    total, count = rows.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*")).first()
+    total, count = rows.agg(F.coalesce(F.sum(size_), F.lit(0)), F.count("*")).first()
     pieces = max(1, min(n_shards * pieces_per_shard, count))
     wanted = pieces * samples_per_piece
-    chance = (F.xxhash64("__salt", F.lit(seed + 1)).cast("double") + 2.0**63) / 2.0**64
+    chance = (F.xxhash64(salt_, F.lit(seed + 1)).cast("double") + 2.0**63) / 2.0**64
 
     def sample(where: Column, bytes_there: int, n: int, turn: int) -> tuple[list[tuple], list[float]]:
         step = max(1.0, bytes_there / max(1, n))
         u = F.pmod(chance + F.lit(turn * 0.6180339887), F.lit(1.0))
-        got = rows.where(where & (u < (F.col("__size") + 1) / F.lit(step))).select("__key", "__salt", "__size").collect()
+        got = rows.where(where & (u < (F.col(size_) + 1) / F.lit(step))).select(key_, salt_, size_).collect()
         return [_entry(r[0], r[1]) for r in got], [max(step, r[2]) for r in got]
 
     cuts = boundaries(*sample(F.lit(True), total, wanted, 0), pieces)
     for turn in range(1, rounds + 1):
-        placed = rows.withColumn("piece", _piece(cuts)("__key", "__salt"))
-        held = {r[0]: (r[1], r[2]) for r in placed.groupBy("piece").agg(F.sum("__size"), F.count("*")).collect()}
+        placed = rows.withColumn("piece", _piece(cuts)(key_, salt_))
+        held = {r[0]: (r[1], r[2]) for r in placed.groupBy("piece").agg(F.sum(size_), F.count("*")).collect()}
         full = {p: b for p, (b, n) in held.items() if n > 1 and b > 2 * total / pieces}
         if not full or turn == rounds:
             break
-        at = _piece(cuts)("__key", "__salt")
+        at = _piece(cuts)(key_, salt_)
         got, sizes = sample(at.isin(list(full)), sum(full.values()), samples_per_piece * sum(1 + int(b * pieces / total) for b in full.values()), turn)
         inside: dict[int, list[int]] = {}
         for i, entry in enumerate(got):
@@ -98,6 +101,6 @@ def shard(df: DataFrame, n_shards: int, *, key: Column, size: Column, pieces_per
         filled[to[p]] += held[p][1]
     last = max(held, default=0) + 1
     shard_of, slot_of = (F.lit([d.get(p, 0) for p in range(last)]).cast(f"array<{k}>") for d, k in ((to, "int"), (first, "bigint")))
-    in_piece = F.row_number().over(W.partitionBy("piece").orderBy("__key", "__salt")).cast("long") - 1
-    out = placed.withColumn("__n", in_piece)
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.get(shard_of, F.col("piece")).alias("shard"), (F.get(slot_of, F.col("piece")) + F.col("__n")).alias("slot"), "piece")
+    in_piece = F.row_number().over(W.partitionBy("piece").orderBy(key_, salt_)).cast("long") - 1
+    out = placed.withColumn(n_, in_piece)
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.get(shard_of, F.col("piece")).alias("shard"), (F.get(slot_of, F.col("piece")) + F.col(n_)).alias("slot"), "piece")

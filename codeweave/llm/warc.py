@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, unused
 from .html_text import visible_text
 
 #: Name space of the record ids.
@@ -77,13 +77,14 @@ def derive_one(rid: str | None, uri: str | None, date: str | None, http: str | N
 def derive(responses: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     """The derived records of responses (columns of RESPONSE; missing ones count as null), after columns `keep` (default: none). One narrow pass."""
     keep = [c for c in keep or [] if c not in DERIVED.names]
-    source = responses.select(*[F.col(f"`{c}`") for c in keep], *[(F.col(f"`{f.name}`") if f.name in responses.columns else F.lit(None)).cast(f.dataType).alias(f"__{f.name}") for f in RESPONSE])
-    kept = T.StructType([f for f in source.schema if f.name in keep])
+    own = dict(zip(RESPONSE.names, unused(keep, *RESPONSE.names), strict=True))
+    source = responses.select(*[F.col(f"`{c}`") for c in keep], *[(F.col(f"`{f.name}`") if f.name in responses.columns else F.lit(None)).cast(f.dataType).alias(own[f.name]) for f in RESPONSE])
+    kept = T.StructType(source.schema.fields[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__payload", 4 << 20):
-                rows = [r for x in zip(*[batch.column(f"__{n}").to_pylist() for n in RESPONSE.names], strict=True) for r in derive_one(*x)]
+            for batch in slices(whole, own["payload"], 4 << 20):
+                rows = [r for x in zip(*[batch.column(own[n]).to_pylist() for n in RESPONSE.names], strict=True) for r in derive_one(*x)]
                 twice = pa.array([i for i in range(batch.num_rows) for _ in range(2)], pa.int64())
                 kinds = [pa.bool_() if f.dataType == T.BooleanType() else pa.int64() if f.dataType == T.LongType() else pa.string() for f in DERIVED]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(twice) for c in keep], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[*keep, *DERIVED.names])

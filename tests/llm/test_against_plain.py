@@ -269,6 +269,7 @@ def test_main_text():
         "<article><h1>Head &amp; line</h1><p>The first<b>bold</b>\n paragraph &eacute;.</p><form>Sign up</form><p>Short</p><!-- hidden --></article><aside>More of the same that you may like in the week</aside><section id=comments><article class=comment><p>I like it very much and so will you in the end</p></article></section><footer>(c)</footer>"
     )
     assert html_text.main_text(page)[0] == "Head & line The firstbold paragraph é. Short"
+    assert html_text.main_text("<article><p>First</p><video src=a.mp4><p>Second</p></article>")[0] == "First Second"
     assert html_text.main_text(None)[0] == "" and html_text.main_text("<nav>x</nav>")[0] == ""
     plain = "<div>Menu</div><p>" + "It is the one that was in the house for all of us and not for them. " * 4 + "</p><p>End.</p><ul><li><a href=1>one</a></li></ul>"
     assert html_text.main_text(plain)[0].endswith("End.") and "one" not in html_text.main_text(plain)[0].split()[-1]

@@ -53,6 +53,20 @@ def test_each_runs(spark, odd, empty, labels, benchmark):
         assert f(empty).count() == 0, name
 
 
+def test_own_names_may_clash(spark, labels, benchmark):
+    names = ["__text", "__hash", "__key", "__html", "__spans", "__payload", "__id", "__n", "__found", "__mark"]
+    docs = spark.createDataFrame([(i, f"some words of text number {i} cat sat on the mat and looked at the dog", *["mine"] * len(names)) for i in range(6)], ["doc_id", "text", *names])
+    as_pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *names)
+    rank = P.path("byte_bpe_50k.tiktoken")
+    runs = {
+        "shard": sharding.shard(docs, 2, key=F.col("text"), size=F.octet_length("text")), "quality": quality.keep_sample(docs, labels), "weigh": quality.weigh(docs, labels, keep=names), "chunks": substrings.remove_repeats(docs),
+        "simhash": simhash.keep_first(docs), "shingles": simhash.keep_first(docs, words=5, similarity=0.8), "near": simhash.near_duplicates(docs, keep=names), "html": html_text.extract(as_pages), "bpe": bpe.encode(docs, rank, P.PATTERN),
+        "leaks": decontaminate.contamination(docs, benchmark, keep=names), "clean": decontaminate.drop_contaminated(docs, benchmark), "lm": lm.score(docs, keep=names), "warc": warc.derive(warc.from_pages(as_pages), keep=names), "lz": lz.fingerprint(docs),
+    }
+    for name, out in runs.items():
+        assert all(r[c] == "mine" for r in out.collect() for c in names), name
+
+
 def test_stages(spark, odd, empty, labels, benchmark, tmp_path):
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
     import corpus_pipeline
