@@ -14,7 +14,7 @@ def cosine_pairs(sources: DataFrame, targets: DataFrame, models: dict[str, slice
     """(source, target, a double column for each model): cosines of slices of (id, vec), rounded.
 
     All pairs are the result by definition. Vectors are gathered in blocks of `block`; pairs of blocks, (n / block)^2 of them, are dealt
-    evenly and each is one matrix product, so neither side is broadcast and a task holds two blocks. Zero vectors have cosine 0."""
+    evenly and each is one matrix product; a task holds two blocks. Zero vectors have cosine 0."""
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         rows = df.where("id is not null and vec is not null").select("id", "vec", F.floor(F.col("id") / (2 * block)).alias(f"{name}_block"))

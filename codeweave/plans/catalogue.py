@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 #: Trees small enough for a query; the operators' defaults are the full setting.
 SMALL = rerank.Trees(depth=3, rounds=5)
-GRID_THRESHOLDS, GRID_TOPS = [0.95, 0.9, 0.8, 0.7], [3, 5, 10]
+GRID_THRESHOLDS, GRID_TOPS = [0.95, 0.9, 0.8, 0.7], [3, 5, 10, 15, 20, 25, 30]
 TAU, RHO = 0.6, 0.95
 
 
@@ -524,7 +524,7 @@ def emit_rule(d: Data) -> DataFrame:
     return rerank.emit(d.scored.select("source", "target", "score", "y"), TAU, RHO)
 
 
-_TAUS, _RHOS = [0.3, 0.5, 0.6, 0.7, 0.8, 0.9], [0.7, 0.85, 0.95, 1.0]
+_TAUS, _RHOS = ALL_TAUS, ALL_RHOS
 
 
 @query(f"""SELECT tau, rho, CAST(sum(y) AS BIGINT) AS tp, count(*) AS n_emitted, round(sum(y)/CAST(count(*) AS DOUBLE), 6) AS precision, round(CAST(sum(y) AS DOUBLE)/(SELECT sum(y) FROM scored), 6) AS recall FROM (SELECT *, max(score) OVER (PARTITION BY source) AS mx FROM scored) q,
