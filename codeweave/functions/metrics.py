@@ -40,3 +40,9 @@ def exact(tp: Column, emitted: Column, truth: Column, digits: int = 6) -> dict[s
     """The rerank path's metrics, without rounding in between."""
     p, r = ratio(tp, emitted), ratio(tp, truth)
     return {"precision": F.round(p, digits), "recall": F.round(r, digits), "f1": F.round(f1(p, r), digits), "accuracy": F.round(ratio(tp, emitted + truth - tp), digits)}
+
+
+def compact(columns: list[str], names: list[str]) -> list[Column]:
+    """The values of `columns` that aren't null, in their order, under as many `names`; null beyond the last."""
+    kept = F.array_compact(F.array(*[F.col(c) for c in columns]))
+    return [F.get(kept, F.lit(i)).alias(n) for i, n in enumerate(names)]

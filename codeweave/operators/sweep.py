@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -12,11 +12,11 @@ from .evaluate import without
 from .rules import RULES, flag
 
 
-def rule_grid(sims: DataFrame, cooc: DataFrame, truth: DataFrame, excluded: DataFrame, chapters: tuple[Column, Column], align: Alignment, thresholds: list[float], top_ns: list[int]) -> DataFrame:
-    """A row for each (threshold, top_n, rule) with counts and rounded metrics.
+def _judged(sims: DataFrame, cooc: DataFrame, known: DataFrame, excluded: DataFrame, chapters: tuple[Column, Column], align: Alignment, thresholds: list[float], top_ns: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(threshold, top_n, rule, source, hit) of all pairs that a rule emits, and the broadcast table of all settings.
 
     Similarities are filtered once for each threshold and counts once for each top_n by cross joins with broadcast grids of a few
-    rows; flags are windows over (threshold, top_n, source), and the four rules are four conditional sums of one aggregation."""
+    rows; flags are windows over (threshold, top_n, source)."""
     spark = sims.sparkSession
     thr = F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
     tops = F.broadcast(spark.createDataFrame([(int(n),) for n in top_ns], "top_n int"))
@@ -26,17 +26,63 @@ def rule_grid(sims: DataFrame, cooc: DataFrame, truth: DataFrame, excluded: Data
     c = c.join(tops, F.col("rk") <= F.col("top_n")).crossJoin(thr).select("threshold", "top_n", "source", "target", "freq")
     pool = s.join(c, ["threshold", "top_n", "source", "target"], "full")
     flagged = without(flag(pool, *chapters, align, groups=["threshold", "top_n"]), excluded)
-    known = without(truth.select("source", "target").distinct(), excluded)
     hits = flagged.join(known.withColumn("hit", F.lit(1)), ["source", "target"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), (F.greatest(*[F.col(x) for x in cols]) == 1).alias("on")) for n, cols in RULES.items()]))
-    sums = hits.select("threshold", "top_n", "hit", rules.alias("r")).where("r.on").groupBy("threshold", "top_n", F.col("r.rule").alias("rule")).agg(F.sum("hit").cast("long").alias("tp"), F.count("*").alias("n_auto"))
+    rows = hits.select("threshold", "top_n", "source", "hit", rules.alias("r")).where("r.on").select("threshold", "top_n", F.col("r.rule").alias("rule"), "source", "hit")
+    return rows, thr.crossJoin(tops).crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in RULES], "rule int")))
+
+
+def rule_grid(sims: DataFrame, cooc: DataFrame, truth: DataFrame, excluded: DataFrame, chapters: tuple[Column, Column], align: Alignment, thresholds: list[float], top_ns: list[int]) -> DataFrame:
+    """A row for each (threshold, top_n, rule) with counts and rounded metrics; the four rules are four rows of one aggregation."""
+    known = without(truth.select("source", "target").distinct(), excluded)
+    rows, every = _judged(sims, cooc, known, excluded, chapters, align, thresholds, top_ns)
+    sums = rows.groupBy("threshold", "top_n", "rule").agg(F.sum("hit").cast("long").alias("tp"), F.count("*").alias("n_auto"))
     n = known.agg(F.count("*").alias("n_true"))
-    every = thr.crossJoin(tops).crossJoin(F.broadcast(spark.createDataFrame([(n_,) for n_ in RULES], "rule int")))
     out = every.join(sums, ["threshold", "top_n", "rule"], "left").fillna(0, subset=["tp", "n_auto"]).crossJoin(F.broadcast(n))
     tp, fp, fn = F.col("tp"), F.col("n_auto") - F.col("tp"), F.col("n_true") - F.col("tp")
     return out.select("threshold", "top_n", "rule", "tp", fp.alias("fp"), fn.alias("fn"), "n_auto").withColumns(metrics.rounded(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def fold_grid(sims: DataFrame, cooc: DataFrame, truth: DataFrame, excluded: DataFrame, folds: DataFrame, chapters: tuple[Column, Column], align: Alignment, thresholds: list[float], top_ns: list[int]) -> DataFrame:
+    """The grid's counts by fold of the sources: (threshold, top_n, rule, fold, tp, n_emitted, n_true); folds: (source, fold)."""
+    known = without(truth.select("source", "target").distinct(), excluded)
+    rows, every = _judged(sims, cooc, known, excluded, chapters, align, thresholds, top_ns)
+    sums = rows.join(folds, "source").groupBy("threshold", "top_n", "rule", "fold").agg(F.sum("hit").cast("long").alias("tp"), F.count("*").alias("n_emitted"))
+    n = known.join(folds, "source").groupBy("fold").agg(F.count("*").alias("n_true"))
+    return every.crossJoin(F.broadcast(n)).join(sums, ["threshold", "top_n", "rule", "fold"], "left").fillna(0, subset=["tp", "n_emitted"])
+
+
+def choose_by_fold(counts: DataFrame, setting: list[str]) -> DataFrame:
+    """For each fold the setting with the best F1 on all other folds (`train_f1`; the first in order of `setting` on ties), with the fold's own counts
+    and metrics, so no source decides about its own setting. counts: setting columns, fold, tp, n_emitted, n_true."""
+    w = W.partitionBy(*setting)
+    rest = {c: F.sum(c).over(w) - F.col(c) for c in ("tp", "n_emitted", "n_true")}
+    both = rest["n_emitted"] + rest["n_true"]
+    out = counts.withColumn("train_f1", F.round(F.when(both > 0, 2 * rest["tp"] / both).otherwise(0.0), 6))
+    out = best(out, ["fold"], "train_f1", tuple(setting))
+    return out.withColumns(metrics.exact(F.col("tp"), F.col("n_emitted"), F.col("n_true")))
+
+
+def setting(grid: DataFrame, **keys) -> Row:
+    """The only row whose columns have these values; LookupError if there is none or more than one."""
+    rows = grid
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == value)
+    found = rows.limit(2).collect()
+    if len(found) != 1:
+        raise LookupError(f"{'no row' if not found else 'more than one row'} with {keys}")
+    return found[0]
+
+
+def unique_tags(tags: list[str]) -> list[str]:
+    """The tags as they are; ValueError if two differ in case at most, since they name folders and columns."""
+    lower = [t.lower() for t in tags]
+    twice = sorted({t for t in tags if lower.count(t.lower()) > 1})
+    if twice:
+        raise ValueError(f"tags that are alike: {twice}")
+    return tags
+
+
 def best(grid: DataFrame, by: list[str], value: str = "f1", order: tuple[str, ...] = ("threshold", "top_n", "rule")) -> DataFrame:
     """The best row of each group, the first in grid order on ties."""
     first = F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last(value), *order))

@@ -669,6 +669,125 @@ def score_pairs_by_rule(d: Data) -> DataFrame:
     return evaluate.score_pairs(emitted, d.truth, ["rule"])
 
 
+# --- choices by fold, lookups and report rows ----------------------------------------------------------------------------------
+
+_FOLDS = 5
+_CHOSEN = f"""{_GRID}, fd AS (SELECT source, CAST((row_number() OVER (ORDER BY md5(source || ':20260819'), source) - 1) % {_FOLDS} AS INTEGER) AS fold FROM ccs),
+    fr AS ({' UNION ALL '.join(f"SELECT model, threshold, top_n, {n} AS rule, source, hit FROM gh WHERE {w}" for n, w in ((1, 'ts OR tf'), (2, 'ts OR ib'), (3, 'tf OR ib'), (4, 'ts OR tf OR ib')))}),
+    fs AS (SELECT model, threshold, top_n, rule, fold, sum(CAST(hit AS INTEGER)) AS tp, count(*) AS n_emitted FROM fr JOIN fd USING (source) GROUP BY ALL),
+    fk AS (SELECT fold, count(*) AS n_true FROM known JOIN fd USING (source) GROUP BY fold),
+    fe AS (SELECT model, threshold, top_n, rule, fold, CAST(coalesce(tp, 0) AS BIGINT) AS tp, coalesce(n_emitted, 0) AS n_emitted, n_true FROM (SELECT * FROM models, cfg, (VALUES (1),(2),(3),(4)) r(rule), fk WHERE model IN ('a', 'b')) g LEFT JOIN fs USING (model, threshold, top_n, rule, fold)),
+    ft AS (SELECT *, sum(tp) OVER w - tp AS t, sum(n_emitted + n_true) OVER w - n_emitted - n_true AS b FROM fe WINDOW w AS (PARTITION BY model, threshold, top_n, rule)),
+    fc AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_f1 DESC, model, threshold, top_n, rule) AS rn FROM (SELECT * EXCLUDE (t, b), round(CASE WHEN b > 0 THEN CAST(2*t AS DOUBLE)/CAST(b AS DOUBLE) ELSE 0 END, 6) AS train_f1 FROM ft) q) q WHERE rn = 1)"""
+
+
+def _exact(relation: str, keys: str) -> str:
+    p, r = _ratio("tp", "n_emitted"), _ratio("tp", "n_true")
+    return f"SELECT {keys}, tp, n_emitted, n_true, round({p}, 6) AS precision, round({r}, 6) AS recall, round({_ratio('2*tp', 'n_emitted+n_true')}, 6) AS f1, round({_ratio('tp', 'n_emitted+n_true-tp')}, 6) AS accuracy FROM {relation}"
+
+
+def _chosen(d: Data) -> DataFrame:
+    folds = rerank.folds(d.sources, _FOLDS).withColumn("fold", F.col("fold").cast("int"))
+    parts = [sweep.fold_grid(d.sim(m), d.cooc, d.truth, d.excluded, folds, chapters(), ALIGN, GRID_THRESHOLDS, GRID_TOPS).withColumn("model", F.lit(m[-1])) for m in ("sim_a", "sim_b")]
+    return sweep.choose_by_fold(parts[0].unionByName(parts[1]), ["model", "threshold", "top_n", "rule"])
+
+
+@query(f"{_CHOSEN} {_exact('fc', 'model, threshold, CAST(top_n AS INTEGER) AS top_n, CAST(rule AS INTEGER) AS rule, fold, train_f1')}")
+def grid_cv_folds(d: Data) -> DataFrame:
+    """The baseline under the rerankers' cross-validation: 112 settings of two models, chosen on the other folds."""
+    return _chosen(d)
+
+
+@query(f"{_CHOSEN}, fp AS (SELECT CAST(count(*) AS BIGINT) AS folds, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_emitted) AS BIGINT) AS n_emitted, CAST(sum(n_true) AS BIGINT) AS n_true FROM fc) {_exact('fp', 'folds')}")
+def grid_cv_pooled(d: Data) -> DataFrame:
+    sums = _chosen(d).agg(F.count("*").alias("folds"), *[F.sum(c).alias(c) for c in ("tp", "n_emitted", "n_true")])
+    return sums.withColumns(metrics.exact(F.col("tp"), F.col("n_emitted"), F.col("n_true")))
+
+
+@query(f"""{_GRID}, s AS (SELECT model, min(f1) AS min_f1, round(median(f1), 6) AS median_f1, max(f1) AS max_f1 FROM grid GROUP BY 1), b AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold, top_n, rule) AS rn FROM grid) q WHERE rn=1)
+    SELECT b.model, threshold, top_n, rule, f1, min_f1, median_f1, max_f1, rank() OVER (ORDER BY max_f1 DESC) <> rank() OVER (ORDER BY median_f1 DESC) AS rank_changed FROM b LEFT JOIN s USING (model)""")
+def grid_best_sensitivity(d: Data) -> DataFrame:
+    """The best row of each model beside the summary of its grid."""
+    grids = _grids(d).withColumn("all", F.lit(1))
+    summary = sweep.sensitivity(grids, ["all", "model"], ["all"]).select("model", "min_f1", "median_f1", "max_f1", "rank_changed")
+    return sweep.best(grids, ["model"]).select("model", "threshold", "top_n", "rule", "f1").join(F.broadcast(summary), "model", "left")
+
+
+@query(f"{_GRID}, b AS (SELECT * FROM grid WHERE model='b' ORDER BY f1 DESC, threshold, top_n, rule LIMIT 1) SELECT g.model, g.threshold, g.top_n, g.rule, g.f1 FROM grid g JOIN b USING (threshold, top_n, rule)")
+def grid_setting_lookup(d: Data) -> DataFrame:
+    """One model's best setting, looked up and applied to all models."""
+    grids = _grids(d)
+    row = sweep.setting(sweep.best(grids, ["model"]), model="b")
+    return grids.where((F.col("threshold") == row["threshold"]) & (F.col("top_n") == row["top_n"]) & (F.col("rule") == row["rule"])).select("model", "threshold", "top_n", "rule", "f1")
+
+
+@query(f"{_STUDY} SELECT * EXCLUDE rn FROM (SELECT mode, chapter, parameter, n_emitted, tp, round({_REC}, 6) AS recall, row_number() OVER (PARTITION BY mode, chapter ORDER BY round({_REC}, 6) DESC, parameter) AS rn FROM st) q WHERE rn = 1")
+def candidate_best(d: Data) -> DataFrame:
+    """The best recall ceiling of each mode with and without the chapter filter."""
+    scores = evaluate.oracle(_study(d, False).unionByName(_study(d, True)), d.truth, ["mode", "parameter", "chapter"])
+    return sweep.best(scores.drop("oracle_f1"), ["mode", "chapter"], "recall", ("parameter",))
+
+
+_GAIN = f"{_CATS}, g AS (SELECT fa.ccs_id, CAST(fa.ccs_id % 2 AS INTEGER) AS track, round(fb.f1-fa.f1, 6) AS gain FROM fa JOIN fb USING (ccs_id))"
+
+
+def _gains(d: Data) -> DataFrame:
+    wide = _by_category(d).groupBy("ccs_id").pivot("arm", ["rule", "top"]).agg(F.first("f1")).dropna(subset=["rule", "top"])
+    return wide.select("ccs_id", (F.col("ccs_id") % 2).cast("int").alias("track"), F.round(F.col("top") - F.col("rule"), 6).alias("gain"))
+
+
+@query(f"{_GAIN} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY track ORDER BY gain DESC, ccs_id) AS INTEGER) AS place FROM g) q WHERE place <= 3")
+def gain_first(d: Data) -> DataFrame:
+    return triage.first_by(_gains(d), ["track"], F.col("gain"), ["ccs_id"], 3)
+
+
+@query(f"{_GAIN} SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY track ORDER BY gain DESC) AS INTEGER) AS place FROM g) q WHERE place <= 8")
+def gain_first_ties(d: Data) -> DataFrame:
+    return triage.first_by(_gains(d), ["track"], F.col("gain"), ["ccs_id"], 8, ties=True)
+
+
+@query("SELECT count(*) AS codes, round(avg(n), 6) AS mean, round(median(n), 6) AS median, max(n) AS most, round(avg(CAST(n > 1 AS INTEGER)), 6) AS many, round(avg(same), 6) AS identity FROM (SELECT source, count(DISTINCT target) AS n, max(CAST(target = source + 1 AS INTEGER)) AS same FROM scored WHERE y = 1 GROUP BY source) q")
+def target_counts(d: Data) -> DataFrame:
+    """Targets of a source; the code after a source's stands for the same code."""
+    return triage.target_counts(d.scored.where("y = 1").withColumn("same", F.col("target") == F.col("source") + 1))
+
+
+_FLOORS, _SPANS = [0.0, 0.8, 0.9, 0.95], [2, 4, 8]
+
+
+@query(f"""SELECT floor, span, count(*) AS n_emitted, count(y) AS tp, round(CAST(count(y) AS DOUBLE)/count(*), 6) AS precision FROM (SELECT DISTINCT CAST(f AS DOUBLE) AS floor, CAST(s AS INTEGER) AS span, a.source, c.vec_id AS target FROM (SELECT source, target, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rn FROM scored) q WHERE rn=1) a, v c, (VALUES {', '.join(f'({f})' for f in _FLOORS)}) fl(f), (VALUES {', '.join(f'({s})' for s in _SPANS)}) sp(s) WHERE c.vec_id % 2 = 1 AND c.vec_id//100 = a.target//100 AND abs(c.vec_id - a.target) <= s AND a.score >= CAST(f AS DOUBLE)) e
+    LEFT JOIN (SELECT source, target, 1 AS y FROM truth) t ON e.source=t.source AND e.target=t.target GROUP BY floor, span""")
+def neighbour_grid(d: Data) -> DataFrame:
+    prefix = F.floor(F.col("target") / 100)
+    anchors = retrieve.top(d.scored, 1, "score").select("source", prefix.alias("prefix"), F.col("target").alias("num"), "score")
+    codes = d.targets.select("target", prefix.alias("prefix"), F.col("target").alias("num"))
+    s = evaluate.score_pairs(triage.neighbour_grid(anchors, codes, _FLOORS, _SPANS), d.truth, ["floor", "span"])
+    return s.select("floor", "span", "n_emitted", "tp", "precision")
+
+
+@query("SELECT count(*) AS points, round(regr_slope(f, n), 6) AS slope FROM (SELECT cooc_rank AS n, avg(cooc_rel) AS f FROM coocr GROUP BY cooc_rank ORDER BY n DESC LIMIT 3) q")
+def trend_last(d: Data) -> DataFrame:
+    """The slope at the curve's tail."""
+    points = features.cooccurrence_windows(d.cooc).groupBy(F.col("cooc_rank").alias("n")).agg(F.avg("cooc_rel").alias("f"))
+    return triage.last_slope(points, "n", "f")
+
+
+@query(f"{_CATS} SELECT 'rule' AS arm, ccs_id, precision AS first, recall AS second, f1 AS third, accuracy AS fourth FROM fa UNION ALL SELECT 'top', ccs_id, precision, recall, f1, accuracy FROM fb")
+def compact_metrics(d: Data) -> DataFrame:
+    """Sparse metric columns of two arms as four named ones."""
+    names, both = ("precision", "recall", "f1", "accuracy"), _by_category(d)
+    blocks = {f"{m}_{arm}": F.when(F.col("arm") == arm, F.col(m)) for arm in ("rule", "top") for m in names}
+    wide = both.select("arm", "ccs_id", *[c.alias(n) for n, c in blocks.items()])
+    return wide.select("arm", "ccs_id", *metrics.compact(list(blocks), ["first", "second", "third", "fourth"]))
+
+
+@query("SELECT source, target, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS INTEGER) AS lex_idf_rank FROM scored")
+def lexical_rank(d: Data) -> DataFrame:
+    """The rank of a source's candidates by a text score; the fixed score stands for it."""
+    rows = d.scored.select("source", "target", F.col("score").alias("lex_idf_overlap"), F.col("score").alias("ens_mean_rel"), F.col("score").alias("ens_rrf"))
+    return features.context(rows).select("source", "target", "lex_idf_rank")
+
+
 # --- learning (rows only) ------------------------------------------------------------------------------------------------------
 
 _COLS = ["ens_rrf", "ens_mean_rel", "ens_max_rel", "ens_min_rel", "ens_best_rank", "ens_rrf_rev", "ens_mutual_rel", "ens_mutual_rank", "ens_direction_gap", "cooc_rank", "cooc_rel", "has_cooc", "ens_margin", "target_n_suitors", "target_rank_here"]

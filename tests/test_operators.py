@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from codeweave.functions import metrics
 from codeweave.operators import evaluate, features, rerank, retrieve, rules, sweep, triage
 from codeweave.operators.vectors import cosine_pairs
 from codeweave.sources import files
@@ -134,3 +136,51 @@ def test_files(spark, tmp_path):
     assert files.read_wide(spark, str(tmp_path / "wide.csv"), "m").count() == 3
     (tmp_path / "words.json").write_text('{"filler_words": ["and", "due to"]}')
     assert files.read_words(spark, str(tmp_path / "words.json")) == ["and", "due to"]
+
+
+def test_setting_is_one_row(spark):
+    grid = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.6), ("b", 3, 0.4)], "model string, n int, f1 double")
+    assert sweep.setting(grid, model="a")["n"] == 1
+    with pytest.raises(LookupError, match="no row"):
+        sweep.setting(grid, model="c")
+    with pytest.raises(LookupError, match="more than one"):
+        sweep.setting(grid, model="b")
+
+
+def test_tags_alike_but_for_case():
+    assert sweep.unique_tags(["A", "b"]) == ["A", "b"]
+    with pytest.raises(ValueError, match="alike"):
+        sweep.unique_tags(["A", "b", "a"])
+
+
+def test_settings_are_chosen_on_the_other_folds(spark):
+    # setting 1 is best in fold 0 alone, so fold 0 itself must not get it
+    rows = [(1, 0, 10, 10, 10), (1, 1, 0, 10, 10), (2, 0, 5, 10, 10), (2, 1, 5, 10, 10)]
+    out = sweep.choose_by_fold(spark.createDataFrame(rows, "n int, fold int, tp long, n_emitted long, n_true long"), ["n"])
+    assert {(r["fold"], r["n"], r["train_f1"]) for r in out.collect()} == {(0, 2, 0.5), (1, 1, 1.0)}
+    empty = sweep.choose_by_fold(spark.createDataFrame([(1, 0, 0, 0, 0)], "n int, fold int, tp long, n_emitted long, n_true long"), ["n"]).first()
+    assert (empty["train_f1"], empty["f1"]) == (0.0, 0.0)
+
+
+def test_first_rows_with_and_without_ties(spark):
+    df = spark.createDataFrame([("x", i, v) for i, v in enumerate([3.0, 2.0, 2.0, None])], "g string, id int, v double")
+    assert sorted(r["id"] for r in triage.first_by(df, ["g"], F.col("v"), ["id"], 2).collect()) == [0, 1]
+    assert sorted(r["id"] for r in triage.first_by(df, ["g"], F.col("v"), ["id"], 2, ties=True).collect()) == [0, 1, 2]
+
+
+def test_compacted_values_keep_their_order(spark):
+    df = spark.createDataFrame([(None, 1.0, None, 2.0), (None, None, None, None)], "a double, b double, c double, d double")
+    assert [tuple(r) for r in df.select(*metrics.compact(["a", "b", "c", "d"], ["x", "y", "z"])).collect()] == [(1.0, 2.0, None), (None, None, None)]
+
+
+def test_neighbours_over_floors_and_spans(spark):
+    anchors = spark.createDataFrame([(1, "A", 10, 0.9), (2, "A", 50, 0.4)], "source int, prefix string, num long, score double")
+    codes = spark.createDataFrame([(n, "A", n) for n in (5, 8, 10, 12, 50, 58)], "target long, prefix string, num long")
+    got = {tuple(r) for r in triage.neighbour_grid(anchors, codes, [0.0, 0.5], [2, 8]).collect()}
+    plain = {(f, s, a, t) for f in (0.0, 0.5) for s in (2, 8) for a, n, v in ((1, 10, 0.9), (2, 50, 0.4)) for t in (5, 8, 10, 12, 50, 58) if v >= f and abs(t - n) <= s}
+    assert got == plain
+
+
+def test_slope_of_the_last_points(spark):
+    points = spark.createDataFrame([(float(x), 100.0 if x < 4 else 2.0 * x) for x in range(1, 7)], "x double, y double")
+    assert tuple(triage.last_slope(points, "x", "y").first()) == (3, 2.0)
