@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL; thin: rows come from the operators, digest columns are derived here."""
+"""The queries op1 to op13 and their SQL; thin: rows come from the operators, digest columns are derived here."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lm, lz, quality, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, fim, html_text, lm, lz, quality, sharding, simhash, substrings, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,13 @@ def op9_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_docs(spark, sf_dir))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as prefix, suffix and middle, or plain, and the way back."""
+    out = fim.transform(_docs(spark, sf_dir), keep=["doc_id"])
+    back = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_splitters": op1_splitters,
     "op2_resampling": op2_resampling,
@@ -84,6 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent": op8_latent,
     "op9_gru": op9_gru,
     "op10_warc": op10_warc,
+    "op11_fim": op11_fim,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_fim": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+      h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM t),
+      c AS (SELECT *, least(h1 % (n+1), h2 % (n+1)) AS a, greatest(h1 % (n+1), h2 % (n+1)) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+      p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a+1:b], '') AS mid, array_to_string(u[b+1:], '') AS suf FROM c)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+}
