@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fim, html_text, lm, lz, quality, sharding, simhash, substrings, warc
+from . import bpe, decontaminate, fim, html_text, lm, lz, quality, sharding, simhash, substrings, trie, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    return trie.rebuilt_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_splitters": op1_splitters,
     "op2_resampling": op2_resampling,
@@ -92,8 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gru": op9_gru,
     "op10_warc": op10_warc,
     "op11_fim": op11_fim,
+    "op12_trie": op12_trie,
 }
 
+#: crc32 of the decimal c, bit by bit.
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"
+
 ORACLES: dict[str, str] = {
     "op11_fim": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
       h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM t),
@@ -101,4 +110,16 @@ ORACLES: dict[str, str] = {
       p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a+1:b], '') AS mid, array_to_string(u[b+1:], '') AS suf FROM c)
       SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
         sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_trie": f"""WITH r AS (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS bytes, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+      t AS (SELECT c, bytes, k, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) - 1 AS i FROM r),
+      o AS (SELECT c, count(*) AS own, {_CRC} % 9 AS h, c - c % 5 AS base FROM t GROUP BY c),
+      b AS (SELECT o.*, least(o.h, coalesce(p.own, 0)) AS taken FROM o LEFT JOIN o p ON o.base = p.c),
+      x AS (SELECT b.c, i, k, bytes FROM b JOIN t ON t.c = b.base AND i < h UNION ALL SELECT b.c, taken + i - h, k, bytes FROM b JOIN t ON t.c = b.c AND i >= h),
+      m AS (SELECT c, i + 1 AS d, bytes, array_to_string(list(k) OVER (PARTITION BY c ORDER BY i ROWS UNBOUNDED PRECEDING), ',') AS k FROM x UNION ALL SELECT c, 0, 0, '' FROM o),
+      n AS (SELECT *, min(c) OVER w AS rep, count(*) OVER w AS n, max(d) OVER (PARTITION BY c) AS l FROM m WINDOW w AS (PARTITION BY d, k)),
+      u AS (SELECT a.rep, a.d, a.n, (a.n - 1) * a.bytes AS saved, p.rep AS parent FROM n a LEFT JOIN n p ON a.c = p.c AND a.d = p.d + 1 WHERE a.c = a.rep),
+      v AS (SELECT u.*, (SELECT count(*) FROM u w WHERE w.parent = u.rep AND w.d = u.d + 1) AS n_children FROM u),
+      s AS (SELECT n.rep, n.d, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM v JOIN n ON n.c = v.rep AND n.d <= v.d GROUP BY 1, 2),
+      e AS (SELECT rep, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM n WHERE d = l GROUP BY 1, 2)
+      SELECT v.rep AS conv_id, CAST(v.d AS BIGINT) AS depth, parent AS parent_conv_id, v.n AS n_convs, n_children, leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM v JOIN s USING (rep, d) LEFT JOIN e USING (rep, d)""",
 }
