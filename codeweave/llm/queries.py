@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fim, html_text, lm, lz, quality, sharding, simhash, substrings, trie, warc
+from . import bpe, decontaminate, fim, html_text, langid, lm, lz, quality, sharding, simhash, substrings, trie, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from four fifths of them."""
+    out = langid.identify(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_splitters": op1_splitters,
     "op2_resampling": op2_resampling,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_fim": op11_fim,
     "op12_trie": op12_trie,
+    "op13_pieces": op13_pieces,
 }
 
 #: crc32 of the decimal c, bit by bit.
