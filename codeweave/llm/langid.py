@@ -34,6 +34,10 @@ BLOCK = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Powers of e that a plain sum may fall to.
 _RANGE = 600
+#: More than any place in a stretch; a place and a length fit in 16 bits.
+_SPAN = 128
+#: Words whose segmentations are in memory at once.
+CHUNK = 1 << 16
 
 
 class Pieces:
@@ -122,25 +126,24 @@ class Lattice:
         self.begin, self.end = begin - first[self.word], end - first[self.word]
         self.slots = len(raw) + len(words)
 
-    def _steps(self, by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(place, arcs in the words' order) for each place."""
-        order = np.argsort(by * len(self.size) + self.word, kind="stable")
-        cuts = np.searchsorted(by[order], np.arange(int(by.max(initial=0)) + 2))
-        for place in range(len(cuts) - 1):
-            if cuts[place] < cuts[place + 1]:
-                yield place, order[cuts[place] : cuts[place + 1]]
+    def _steps(self, forward: bool) -> list[np.ndarray]:
+        """Arcs in parts by place, from the begin or from the end, and length; those of a part have different targets, as pieces of one length are found in the words' order."""
+        place, length = (self.end if forward else self.begin), self.end - self.begin
+        key = (place * _SPAN + length).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
+        return parts if forward else parts[::-1]
 
     def _sums(self, weight: np.ndarray, forward: bool) -> np.ndarray:
         """Sums over all ways from the begin to each place, or from each place to the end; weight: of each arc."""
         out = np.zeros(self.slots)
         out[self.base if forward else self.base + self.size] = 1
         source, target = (self.begin, self.end) if forward else (self.end, self.begin)
-        source, target = self.base[self.word] + source, self.base[self.word] + target
-        steps = self._steps(self.end if forward else self.begin)
-        for _, arcs in steps if forward else reversed(list(steps)):
-            into = target[arcs]
-            heads = np.flatnonzero(np.diff(into, prepend=-1))
-            out[into[heads]] = np.add.reduceat(out[source[arcs]] * weight[arcs], heads)
+        base = self.base[self.word]
+        source, target = base + source, base + target
+        for arcs in self._steps(forward):
+            into = target.take(arcs)
+            out[into] = out.take(into) + out.take(source.take(arcs)) * weight.take(arcs)
         return out
 
     def expected(self) -> np.ndarray:
@@ -156,17 +159,12 @@ class Lattice:
         p = p if plain else np.log(p)
         sums = np.full((self.slots, p.shape[1]), 0.0 if plain else -np.inf)
         sums[self.base] = 1 if plain else 0
-        source, target = self.base[self.word] + self.begin, self.base[self.word] + self.end
-        for _, arcs in self._steps(self.end):
-            into = target[arcs]
-            first = np.diff(into, prepend=-1) != 0
-            heads = np.flatnonzero(first)
-            if plain:
-                sums[into[heads]] = np.add.reduceat(sums[source[arcs]] * p[self.piece[arcs]], heads)
-            else:
-                ways = sums[source[arcs]] + p[self.piece[arcs]]
-                most = np.maximum.reduceat(ways, heads)
-                sums[into[heads]] = most + np.log(np.add.reduceat(np.exp(ways - most[np.cumsum(first) - 1]), heads))
+        base = self.base[self.word]
+        source, target = base + self.begin, base + self.end
+        for arcs in self._steps(True):
+            into = target.take(arcs)
+            before, ways, here = sums.take(source.take(arcs), 0), p.take(self.piece.take(arcs), 0), sums.take(into, 0)
+            sums[into] = here + before * ways if plain else np.logaddexp(here, before + ways)
         out = sums[self.base + self.size]
         return np.log(out) if plain else out
 
@@ -176,9 +174,10 @@ def log_likelihood(pieces: Pieces, found: list[bytes], p: np.ndarray) -> np.ndar
     size = np.fromiter(map(len, found), np.int64, len(found))
     short = size * -np.log(p.min()) < _RANGE
     out = np.zeros((len(found), p.shape[1]))
-    for some in (short, ~short):
-        if some.any():
-            out[some] = Lattice(pieces, [found[i] for i in np.flatnonzero(some)]).log_likelihood(p)
+    for some in (np.flatnonzero(short), np.flatnonzero(~short)):
+        for i in range(0, len(some), CHUNK):
+            part = some[i : i + CHUNK]
+            out[part] = Lattice(pieces, [found[j] for j in part]).log_likelihood(p)
     return out
 
 
@@ -210,7 +209,7 @@ def _places(texts: list[list[bytes]], index: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((index.setdefault(w, len(index)) for t in texts for w in t), np.int64, sum(map(len, texts)))
 
 
-def learn(df: DataFrame, model_file: str, *, lang: str, text: str, held: int = 1 << 17, tokens: int = 1 << 21) -> DataFrame:
+def learn(df: DataFrame, model_file: str, *, lang: str, text: str, held: int = 1 << 19, tokens: int = 1 << 23) -> DataFrame:
     """(lang, piece, n long: expected count times UNIT) over all rows with a language; piece -1 counts the rows. A task's words are pooled up to `held` distinct or `tokens` in all."""
     rows = df.where(F.col(lang).isNotNull()).select(lang, text)
 
@@ -222,23 +221,26 @@ def learn(df: DataFrame, model_file: str, *, lang: str, text: str, held: int = 1
         docs: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            lattice = Lattice(pieces, list(index))
-            share = np.rint(lattice.expected() * UNIT).astype(np.int64)
-            order = np.argsort(lattice.word, kind="stable")
-            n_arcs = np.bincount(lattice.word, minlength=len(index))
-            first = np.cumsum(n_arcs) - n_arcs
+            found, langs = list(index), list(names)
             pair, times = np.unique(np.concatenate([*seen, np.zeros(0, np.int64)]), return_counts=True)
-            word = pair & 0xFFFFFFFF
-            arcs = np.arange(n_arcs[word].sum()) - np.repeat(np.cumsum(n_arcs[word]) - n_arcs[word], n_arcs[word])
-            arcs = order[arcs + np.repeat(first[word], n_arcs[word])]
-            key = np.repeat(pair >> 32, n_arcs[word]) * pieces.n + lattice.piece[arcs]
-            keys, inverse = np.unique(key, return_inverse=True)
-            sums = np.bincount(inverse, share[arcs] * np.repeat(times, n_arcs[word]), len(keys)).astype(np.int64)
-            langs = list(names)
+            lang, word = pair >> 32, pair & 0xFFFFFFFF
+            sums: dict[int, np.ndarray] = {}
+            for begin in range(0, len(found), CHUNK):
+                lattice = Lattice(pieces, found[begin : begin + CHUNK])
+                share = np.rint(lattice.expected() * UNIT)
+                inside = (word >= begin) & (word < begin + CHUNK)
+                for i in np.unique(lang[inside]).tolist():
+                    mine = inside & (lang == i)
+                    count = np.zeros(len(lattice.size))
+                    count[word[mine] - begin] = times[mine]
+                    sums[i] = sums.get(i, 0) + np.bincount(lattice.piece, share * count[lattice.word], pieces.n)
             n_docs = np.bincount(docs, minlength=len(langs))
-            out = [langs[i] for i in (keys // pieces.n).tolist()] + langs
+            parts = [(langs[i], np.flatnonzero(x), x[np.flatnonzero(x)]) for i, x in sums.items()]
+            lang_out = [x[0] for x in parts for _ in range(len(x[1]))] + langs
+            piece = np.concatenate([*[x[1] for x in parts], np.full(len(langs), -1)])
+            n = np.concatenate([*[x[2] for x in parts], n_docs]).astype(np.int64)
             index.clear(), names.clear(), seen.clear(), docs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(np.append(keys % pieces.n, np.full(len(langs), -1)), pa.int32()), pa.array(np.append(sums, n_docs), pa.int64())], names=["lang", "piece", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(lang_out, pa.string()), pa.array(piece, pa.int32()), pa.array(n, pa.int64())], names=["lang", "piece", "n"])
 
         pooled = 0
         for whole in batches:
@@ -248,7 +250,7 @@ def learn(df: DataFrame, model_file: str, *, lang: str, text: str, held: int = 1
                 seen.append(np.repeat(codes, [len(t) for t in texts]) << 32 | _places(texts, index))
                 docs.extend(codes.tolist())
                 pooled += len(seen[-1])
-                if len(index) > held or pooled > tokens:
+                if len(index) > held or pooled > tokens or len(names) > BLOCK:
                     yield flush()
                     pooled = 0
         if docs:
@@ -295,7 +297,7 @@ def held_out(id_column: Column) -> Column:
 
 def identify(
     df: DataFrame, model_file: str, *, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None,
-    smoothing: float = 0.1, block: int = BLOCK, held: int = 1 << 17,
+    smoothing: float = 0.1, block: int = BLOCK, held: int = 1 << 19,
 ) -> DataFrame:
     """Columns `keep` (default: all but the text) with lang_pred string and score double, learnt from the rows where `train` holds (default: by `held_out` of the id)
     and the language isn't null; `smoothing` is added to each piece's expected count. Kept columns named like these are replaced, in whatever case."""
