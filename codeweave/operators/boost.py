@@ -262,7 +262,8 @@ def _plain(feature: str) -> Column:
 
 def binned(df: DataFrame, features: list[str], *, bins: int = Boost.bins, keep: list[str]) -> DataFrame:
     """Columns `keep` with column bins: a byte for each feature, the number of bounds below its value."""
-    bounds = [edges(df, features, bins)[f] for f in features] if features else []
+    known = edges(df, features, bins)
+    bounds = [known[f] for f in features]
     names = [f"__f{i}" for i in range(len(features))]
     rows = df.select(*keep, *[_plain(f).alias(n) for f, n in zip(features, names, strict=True)])
 

@@ -28,6 +28,18 @@ def similarity_windows(sims: DataFrame, model: str, value: str) -> DataFrame:
     )
 
 
+def all_windows(sims: DataFrame, models: dict[str, str]) -> DataFrame:
+    """The windows of several models (name: value column) over one table: a shuffle by source and one by target for all."""
+    s, t, forward, back = W.partitionBy("source"), W.partitionBy("target"), {}, {}
+    for m, value in models.items():
+        v = F.col(value)
+        sd = F.coalesce(F.stddev_samp(v).over(s), F.lit(0.0))
+        forward |= {f"simrank_{m}": _rank(v, "source", "target"), f"simrel_{m}": v / F.max(v).over(s), f"simz_{m}": F.when(F.count(v).over(s) > 1, (v - F.avg(v).over(s)) / (sd + 1e-9)).otherwise(0.0)}
+        back |= {f"simrankrev_{m}": _rank(v, "target", "source"), f"simrelrev_{m}": v / F.max(v).over(t)}
+    out = sims.select("source", "target", *[F.col(v).alias(f"sim_{m}") for m, v in models.items()], *models.values()) if any(f"sim_{m}" != v for m, v in models.items()) else sims
+    return out.withColumns(forward).withColumns(back)
+
+
 def cooccurrence_windows(cooc: DataFrame) -> DataFrame:
     s = W.partitionBy("source")
     return cooc.select("source", "target", F.col("freq").alias("cooc_freq"), _rank(F.col("freq"), "source", "target").alias("cooc_rank"), (F.col("freq") / F.sum("freq").over(s)).alias("cooc_share"), (F.col("freq") / F.max("freq").over(s)).alias("cooc_rel"))

@@ -1,24 +1,33 @@
-"""Folds, target encoding, emission, and boosted-tree reranking under nested cross-validation."""
+"""Folds, target encoding and emission; `boost` has the trees, `nested` the cross-validation."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+SEED = 20260819
+
+
+def ranks(df: DataFrame, order: Column, tie: str, by: list[str] | None = None) -> DataFrame:
+    """df with `rank` from 1 by a hexadecimal hash, ties by a column, within each group of `by`. The hash's first three digits deal rows to 4096 ranges; a row's rank
+    is its place in its range after the rows of the ranges before, so no task orders more than a range and the counts of ranges are all that is summed in order."""
+    by = by or []
+    rows = df.withColumn("__order", order).withColumn("__range", F.substring("__order", 1, 3))
+    counts = rows.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*by, "__range", before.alias("__start"))
+    inside = F.row_number().over(W.partitionBy(*by, "__range").orderBy("__order", tie))
+    return rows.join(starts, [*by, "__range"]).withColumn("rank", inside + F.col("__start")).drop("__order", "__range", "__start")
 
-def folds(codes: DataFrame, k: int, *, seed: int = 20260819, column: str = "source") -> DataFrame:
-    """(code, fold) with sizes at most one apart: a shuffle by a seeded hash, then in turn. Codes are few; one window orders them."""
-    order = F.md5(F.concat(F.col(column).cast("string"), F.lit(f":{seed}")))
-    return codes.select(column).distinct().select(column, ((F.row_number().over(W.orderBy(order, column)) - 1) % k).alias("fold"))
 
+def folds(codes: DataFrame, k: int, *, seed: int = SEED, column: str = "source") -> DataFrame:
+    """(code, fold) with sizes at most one apart: a shuffle by a seeded hash, then in turn."""
+    ranked = ranks(codes.select(column).distinct(), F.md5(F.concat(F.col(column).cast("string"), F.lit(f":{seed}"))), column)
+    return ranked.select(column, ((F.col("rank") - 1) % k).cast("int").alias("fold"))
 
-def category_folds(codes: DataFrame, k: int, *, category: str = "ccs_id", seed: int = 20260819) -> DataFrame:
+
+def category_folds(codes: DataFrame, k: int, *, category: str = "ccs_id", seed: int = SEED) -> DataFrame:
     """(category, fold): whole categories, largest first into the lightest fold. Only the counts of categories are collected; ties go by a seeded hash."""
     counts = codes.groupBy(category).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.xxhash64(category, F.lit(seed)), category).collect()
     load, out = [0] * k, []
@@ -48,66 +57,3 @@ def emit(scored: DataFrame, tau: float | Column, rho: float | Column, by: list[s
     best = F.max("score").over(W.partitionBy(*(by or []), "source"))
     tau, rho = (x if isinstance(x, Column) else F.lit(x) for x in (tau, rho))
     return scored.withColumn("__best", best).where((F.col("score") >= tau) | (F.col("score") >= rho * F.col("__best")) | (F.col("score") == F.col("__best"))).drop("__best")
-
-
-@dataclass(frozen=True)
-class Trees:
-    """Parameters of the boosted trees; the defaults are the full setting."""
-
-    depth: int = 6
-    rate: float = 0.1
-    rounds: int = 200
-    rows: float = 0.8
-    columns: str = "0.8"
-    least: int = 5
-    seed: int = 20260819
-
-
-def fit(train: DataFrame, features: list[str], trees: Trees, weight: str | None = None):
-    """(assembler, model) of a logistic boosted-tree ranker; NaN and null features count as 0."""
-    assembler = VectorAssembler(inputCols=features, outputCol="__features")
-    gbt = GBTClassifier(featuresCol="__features", labelCol="y", maxDepth=trees.depth, stepSize=trees.rate, maxIter=trees.rounds, subsamplingRate=trees.rows, featureSubsetStrategy=trees.columns, minInstancesPerNode=trees.least, seed=trees.seed)
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return assembler, gbt.fit(assembler.transform(_whole(train, features)))
-
-
-def _whole(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features})
-
-
-def predict(df: DataFrame, fitted, features: list[str]) -> DataFrame:
-    assembler, model = fitted
-    out = model.transform(assembler.transform(_whole(df, features)))
-    return out.withColumn("score", vector_to_array("probability")[1]).drop("__features", "rawPrediction", "probability", "prediction")
-
-
-def cross_validate(features: DataFrame, columns: list[str], k: int, trees: Trees) -> DataFrame:
-    """Out-of-fold scores: features with fold and score; the chapter rate is fitted inside each fold."""
-    dealt = features.join(folds(features, k), "source")
-    out = None
-    for fold in range(k):
-        train = dealt.where(F.col("fold") != fold)
-        own = [*columns, "chapter_rate"] if "chapter_pair" in features.columns else columns
-        enc = (lambda d, t=train: encode(d, t)) if "chapter_pair" in features.columns else (lambda d: d)
-        scored = predict(enc(dealt.where(F.col("fold") == fold)), fit(enc(train), own, trees), own)
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
-def pair_differences(df: DataFrame, features: list[str], ndcg: bool = False) -> DataFrame:
-    """Training rows of a pairwise ranker: differences of features within a source, positive minus negative and the reverse, weighted
-    by the gain of swapping them if ndcg. A source's list is bounded by its candidates."""
-    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("ens_rrf"), "target")) if ndcg else F.lit(1)
-    ranked = df.withColumn("__r", rank)
-    a, b = ranked.where("y = 1").alias("a"), ranked.where("y = 0").alias("b")
-    pairs = a.join(b, F.col("a.source") == F.col("b.source"))
-    gain = F.abs(1 / F.log2(F.col("a.__r") + 1.0) - 1 / F.log2(F.col("b.__r") + 1.0)) if ndcg else F.lit(1.0)
-    up = pairs.select(F.lit(1).alias("y"), gain.alias("weight"), *[(F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in features])
-    down = pairs.select(F.lit(0).alias("y"), gain.alias("weight"), *[(F.col(f"b.{f}") - F.col(f"a.{f}")).alias(f) for f in features])
-    return up.unionByName(down)
-
-
-def importance(fitted, features: list[str], spark) -> DataFrame:
-    _, model = fitted
-    return spark.createDataFrame([(f, float(g)) for f, g in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, gain double")

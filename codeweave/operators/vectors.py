@@ -1,4 +1,4 @@
-"""Cosine similarity of all source and target vectors."""
+"""Cosine similarity of source and target vectors: all pairs, or each source's (or target's) best ones."""
 
 from __future__ import annotations
 
@@ -8,33 +8,105 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+#: Vectors of one side in a cell, and rows of one product.
+CELL, STRIPE = 4096, 512
 
-def cosine_pairs(sources: DataFrame, targets: DataFrame, models: dict[str, slice], *, block: int = 512, digits: int = 6) -> DataFrame:
-    """(source, target, a double column for each model): cosines of slices of (id, vec), rounded.
 
-    All pairs are the result by definition. Vectors are gathered in blocks of `block`; pairs of blocks, (n / block)^2 of them, are dealt
-    evenly and each is one matrix product; a task holds two blocks. Zero vectors have cosine 0."""
+def _groups(df: DataFrame, size: int) -> int:
+    return max(1, -(-df.count() // size))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        rows = df.where("id is not null and vec is not null").select("id", "vec", F.floor(F.col("id") / (2 * block)).alias(f"{name}_block"))
-        return rows.groupBy(f"{name}_block").agg(F.sort_array(F.collect_list(F.struct("id", F.col("vec").cast("array<float>").alias("vec")))).alias(name))
 
-    pairs = blocks(sources, "s").crossJoin(blocks(targets, "t")).repartition("s_block", "t_block").select("s", "t")
-    names = list(models)
+def _cells(sources: DataFrame, targets: DataFrame, cell: int) -> DataFrame:
+    """(s_group, t_group, side, id, vec): every cell of the grid of groups of sources by groups of targets, with the vectors of both. Vectors are copied to the cells of
+    their row or column, so cells are found by a key, not by a join; a task holds one cell at a time."""
+    side = lambda df: df.where("id is not null and vec is not null").select("id", F.col("vec").cast("array<float>").alias("vec"))
+    s, t = side(sources), side(targets)
+    n_s, n_t = _groups(s, cell), _groups(t, cell)
+    group = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    s = s.select(group(n_s).alias("s_group"), every(n_t).alias("t_group"), F.lit(0).alias("side"), "id", "vec")
+    t = t.select(every(n_s).alias("s_group"), group(n_t).alias("t_group"), F.lit(1).alias("side"), "id", "vec")
+    return s.unionByName(t).repartition("s_group", "t_group").sortWithinPartitions("s_group", "t_group", "side", "id")
+
+
+def _stack(batch: pa.RecordBatch) -> np.ndarray:
+    vec = batch.column("vec")
+    return vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1).astype(np.float64)
+
+
+def _products(batches: Iterator[pa.RecordBatch], cuts: list[slice], digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(source ids, target ids, a matrix for each cut) of stripes of sources against all targets of their cell, from rows in the cells' order."""
+    at, held = None, ([], [])
+
+    def done() -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        if at is None or not held[0] or not held[1]:
+            return
+        (si, sv), (ti, tv) = ((np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])) for part in held)
+        unit = lambda v, cut: v[:, cut] / np.maximum(np.linalg.norm(v[:, cut], axis=1, keepdims=True), 1e-300)
+        sides = [(unit(sv, cut), unit(tv, cut)) for cut in cuts]
+        for i in range(0, len(si), STRIPE):
+            yield si[i : i + STRIPE], ti, [np.round(a[i : i + STRIPE] @ b.T, digits) for a, b in sides]
+
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("s_group", "t_group", "side")], 1)
+        ids, vectors = batch.column("id").to_numpy(zero_copy_only=False), _stack(batch)
+        for begin, end in _runs(key):
+            cell = tuple(key[begin, :2])
+            if cell != at:
+                yield from done()
+                at, held = cell, ([], [])
+            held[key[begin, 2]].append((ids[begin:end], vectors[begin:end]))
+    yield from done()
+
+
+def _runs(key: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1
+    ends = [0, *cuts.tolist(), len(key)]
+    return [(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a]
+
+
+def cosine_pairs(sources: DataFrame, targets: DataFrame, models: dict[str, slice], *, cell: int = CELL, digits: int = 6) -> DataFrame:
+    """(source, target, a double column for each model): cosines of slices of (id, vec), rounded, of all pairs. Zero vectors have cosine 0."""
+    names, cuts = list(models), list(models.values())
     schema = "source long, target long, " + ", ".join(f"`{m}` double" for m in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
-                (si, sv), (ti, tv) = ((x.values.field("id").to_numpy(), np.stack(x.values.field("vec").to_numpy(zero_copy_only=False)).astype(np.float64)) for x in (s, t))
-                out = []
-                for cut in models.values():
-                    a, b = (v[:, cut] / np.maximum(np.linalg.norm(v[:, cut], axis=1, keepdims=True), 1e-300) for v in (sv, tv))
-                    out.append(pa.array(np.round(a @ b.T, digits).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(si, len(ti))), pa.array(np.tile(ti, len(si))), *out], names=["source", "target", *names])
-
-    return pairs.mapInArrow(run, schema)
+        for si, ti, values in _products(batches, cuts, digits):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(si, len(ti))), pa.array(np.tile(ti, len(si))), *[pa.array(v.ravel()) for v in values]], names=["source", "target", *names])
+
+    return _cells(sources, targets, cell).mapInArrow(run, schema)
+
+
+def cosine_best(sources: DataFrame, targets: DataFrame, cut: slice, *, k: int = 0, threshold: float | None = None, side: str = "source", name: str = "sim", cell: int = CELL, digits: int = 6) -> DataFrame:
+    """(source, target, name, rank, best): the pairs that are among the k best of their source (or target: `side`), or reach threshold times its best cosine.
+
+    A cell only lets through what is among its own best or reaches the threshold of its own largest cosine, so all pairs never leave the product; the
+    rest is cut after the cells' lists of a source meet. rank is by cosine, then by the other side's id; best is the largest cosine."""
+    along = 1 if side == "source" else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for si, ti, (v,) in _products(batches, [cut], digits):
+            # a stripe is a part of a target's cosines, so its own bounds are only lower
+            best = v.max(along, keepdims=True)
+            keep = v == best
+            if k:
+                n = v.shape[along]
+                keep |= v >= np.partition(v, n - min(k, n), axis=along).take([n - min(k, n)], axis=along)
+            if threshold is not None:
+                keep |= v >= threshold * best
+            i, j = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(si[i]), pa.array(ti[j]), pa.array(v[i, j])], names=["source", "target", name])
+
+    other = {"source": "target", "target": "source"}[side]
+    found = _cells(sources, targets, cell).mapInArrow(run, f"source long, target long, `{name}` double")
+    w = W.partitionBy(side)
+    found = found.withColumns({"rank": F.row_number().over(w.orderBy(F.desc(name), other)), "best": F.max(name).over(w)})
+    keep = F.col("rank") <= k
+    if threshold is not None:
+        keep = keep | (F.col(name) >= F.lit(threshold) * F.col("best"))
+    return found.where(keep)
 
 
 def unpivot(wide: DataFrame, keys: list[str], columns: list[str], name: str = "model", value: str = "sim") -> DataFrame:

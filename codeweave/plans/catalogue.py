@@ -10,7 +10,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import chapters as ch
 from ..functions import metrics, text
-from ..operators import evaluate, features, rerank, retrieve, rules, sweep, triage
+from ..operators import evaluate, features, nested, rerank, retrieve, rules, sweep, triage
+from ..operators.boost import Boost, Fit, fit_all
 from ..operators.vectors import unpivot
 from . import standins
 from .standins import ALIGN, K, THRESHOLD, TOP_N, Data, chapters, code_chapter
@@ -18,8 +19,6 @@ from .standins import ALIGN, K, THRESHOLD, TOP_N, Data, chapters, code_chapter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Trees small enough for a query; the operators' defaults are the full setting.
-SMALL = rerank.Trees(depth=3, rounds=5)
 GRID_THRESHOLDS, GRID_TOPS = [0.95, 0.9, 0.8, 0.7], [3, 5, 10, 15, 20, 25, 30]
 TAU, RHO = 0.6, 0.95
 
@@ -88,17 +87,17 @@ BASE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embe
 
 @query("SELECT source, target, sim, CAST(rank_true AS INTEGER) AS rank FROM ranked WHERE rank_true <= 10")
 def cosine_pairs_topk(d: Data) -> DataFrame:
-    return retrieve.ranked(d.similarities("sim"), "sim").where("rank <= 10")
+    return d.best("sim", k=10).where("rank <= 10").drop("best")
 
 
 @query(f", {_flags(THRESHOLD, TOP_N)} SELECT * FROM thrsim")
 def relative_threshold(d: Data) -> DataFrame:
-    return retrieve.relative_threshold(d.sim(), THRESHOLD)
+    return retrieve.relative_threshold(d.near(), THRESHOLD)
 
 
 @query(f", {_flags(THRESHOLD, TOP_N, 'target')} SELECT * FROM thrsim")
 def relative_threshold_reverse(d: Data) -> DataFrame:
-    return retrieve.relative_threshold(d.sim(), THRESHOLD, side="target")
+    return retrieve.relative_threshold(d.near(side="target"), THRESHOLD, side="target")
 
 
 @query("SELECT source, count(*) AS n, max(sim_a) AS best FROM sims WHERE sim_a >= 0 GROUP BY source")
@@ -144,18 +143,11 @@ def chapter_distance(d: Data) -> DataFrame:
     return d.cooc.groupBy(s.alias("s"), t.alias("t")).agg(F.count("*").alias("n")).select("s", "t", ch.distance(F.col("s"), F.col("t"), ALIGN).alias("distance"), "n")
 
 
-@query("SELECT CAST(t AS INTEGER) AS tgt_chapter, CASE WHEN t % 2 = 0 THEN (t-1) || ',' || t ELSE '' || t END AS sources FROM range(1, 22) r(t) WHERE t <= 20")
-def alignment_inverse(d: Data) -> DataFrame:
-    rows = [(s, t) for s, targets in ALIGN.items() for t in targets]
-    pairs = d.spark.createDataFrame(rows, "src int, tgt_chapter int")
-    return pairs.groupBy("tgt_chapter").agg(F.array_join(F.transform(F.array_sort(F.collect_list("src")), lambda x: x.cast("string")), ",").alias("sources"))
-
-
 # --- rules and evaluation ------------------------------------------------------------------------------------------------------
 
 
 def _flagged(d: Data, side: str = "source") -> DataFrame:
-    merged = rules.merge(retrieve.relative_threshold(d.sim(), THRESHOLD, side=side), retrieve.top(d.cooc, TOP_N, "freq", side=side))
+    merged = rules.merge(retrieve.relative_threshold(d.near(side=side), THRESHOLD, side=side), retrieve.top(d.cooc, TOP_N, "freq", side=side))
     return rules.flag(merged, *chapters(), ALIGN, side=side)
 
 
@@ -177,7 +169,7 @@ for _n in rules.RULES:
 
 
 def _emitted(d: Data, side: str = "source") -> DataFrame:
-    return rules.rule_pipeline(d.sim(), d.cooc, chapters(), ALIGN, threshold=THRESHOLD, top_n=TOP_N, number=4, side=side)
+    return rules.rule_pipeline(d.near(side=side), d.cooc, chapters(), ALIGN, threshold=THRESHOLD, top_n=TOP_N, number=4, side=side)
 
 
 _JUDGED = f""", {_flags(THRESHOLD, TOP_N)}, auto AS (SELECT source, target FROM flagged WHERE {_RULE_SQL[4]}),
@@ -217,8 +209,8 @@ def roundtrip(d: Data) -> DataFrame:
 # --- grids ---------------------------------------------------------------------------------------------------------------------
 
 
-def _grid(d: Data, model: str = "sim_a", tops: list[int] = GRID_TOPS) -> DataFrame:
-    return sweep.rule_grid(d.sim(model), d.cooc, d.truth, d.excluded, chapters(), ALIGN, GRID_THRESHOLDS, tops)
+def _grid(d: Data, model: str = "sim_a") -> DataFrame:
+    return sweep.rule_grid(d.near(min(GRID_THRESHOLDS), model=model), d.cooc, d.truth, d.excluded, chapters(), ALIGN, GRID_THRESHOLDS, GRID_TOPS)
 
 
 def _grids(d: Data) -> DataFrame:
@@ -246,20 +238,10 @@ def rule_grid(d: Data) -> DataFrame:
     return _grid(d)
 
 
-#: The reference's whole grids.
-ALL_TOPS = [3, 5, 10, 15, 20, 25, 30]
-ALL_TAUS, ALL_RHOS = [round(0.05 * i, 2) for i in range(1, 20)], [0.3, 0.5, 0.7, 0.85, 1.0]
-
-
 def _values(numbers: list) -> str:
     return ", ".join(f"({n})" for n in numbers)
 
 
-@query(f"{_GRID.replace(f'(VALUES {_values(GRID_TOPS)}) b', f'(VALUES {_values(ALL_TOPS)}) b')} SELECT * EXCLUDE (model, family) FROM grid WHERE model='a'")
-def rule_grid_full(d: Data) -> DataFrame:
-    return _grid(d, tops=ALL_TOPS)
-
-
 @query(f"{_GRID} SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold, top_n, rule) AS rn FROM grid) q WHERE rn=1")
 def grid_best_by_model(d: Data) -> DataFrame:
     return sweep.best(_grids(d), ["model"])
@@ -299,7 +281,7 @@ _CATS = f"""{_JUDGED}, jb AS (SELECT coalesce(m.source, a.source) AS source, ccs
 
 def _by_category(d: Data) -> DataFrame:
     a = evaluate.performance(evaluate.validate(d.truth, _emitted(d), d.sources, d.excluded), ["ccs_id"])
-    b = evaluate.performance(evaluate.validate(d.truth, retrieve.top(d.sim(), 2, "sim"), d.sources, d.excluded), ["ccs_id"])
+    b = evaluate.performance(evaluate.validate(d.truth, d.best(k=2), d.sources, d.excluded), ["ccs_id"])
     return a.withColumn("arm", F.lit("rule")).unionByName(b.withColumn("arm", F.lit("top")))
 
 
@@ -352,41 +334,35 @@ def oracle_ceiling(d: Data) -> DataFrame:
     return evaluate.oracle(_flagged(d), d.truth)
 
 
-_DESIGNS = [("relative", 0.9), ("relative", 0.7), ("topk", 5), ("topk", 20)]
+_RELATIVE, _FIRST, _COUNTS = [0.999, 0.995, 0.99, 0.95, 0.90, 0.85, 0.80], [1, 3, 5, 10, 20, 30, 50], [3, 5, 10, 20, 30, 50]
 
 
-def _study(d: Data, with_chapter: bool) -> DataFrame:
-    sims, cooc, out = d.sim(), retrieve.top(d.cooc, TOP_N, "freq"), None
-    for mode, p in _DESIGNS:
-        pairs = retrieve.pool(retrieve.candidates(sims, mode, p), cooc)
-        if with_chapter:
-            pairs = pairs.where(ch.distance(*chapters(), ALIGN) < 1)
-        pairs = pairs.select(F.lit(mode).alias("mode"), F.lit(float(p)).alias("parameter"), F.lit(with_chapter).alias("chapter"), "source", "target")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+def _study(d: Data) -> DataFrame:
+    """All 14 x 6 x 2 designs from one product."""
+    sims = d.best(k=max(_FIRST), threshold=min(_RELATIVE))
+    out = sweep.candidate_study(sims, d.cooc, d.truth, ch.distance(*chapters(), ALIGN) < 1, _RELATIVE, _FIRST, _COUNTS)
+    recall = F.col("tp") / F.col("n_true")
+    return out.withColumns({"recall": F.round(recall, 6), "oracle_f1": F.round(2 * recall / (1 + recall), 6), "pairs_per_code": F.round(F.col("n_emitted") / F.col("codes"), 6)})
 
 
-_STUDY = f""", ds AS ({' UNION ALL '.join(f"SELECT '{m}' AS mode, CAST({p} AS DOUBLE) AS parameter, source, target FROM (SELECT source, target, sim_a, row_number() OVER (PARTITION BY source ORDER BY sim_a DESC, target) AS rk, max(sim_a) OVER (PARTITION BY source) AS mx FROM sims) q WHERE " + (f"sim_a >= CAST({p} AS DOUBLE)*mx" if m == 'relative' else f"rk <= {p}") for m, p in _DESIGNS)}),
-    dp AS (SELECT * FROM ds UNION SELECT DISTINCT mode, parameter, c.source, c.target FROM ds, (SELECT source, target FROM coocr WHERE cooc_rank <= {TOP_N}) c),
+_STUDY = f""", ds(mode, parameter) AS (SELECT 'relative', CAST(p AS DOUBLE) FROM (VALUES {_values(_RELATIVE)}) a(p) UNION ALL SELECT 'topk', CAST(p AS DOUBLE) FROM (VALUES {_values(_FIRST)}) b(p)), tn(top_n) AS (VALUES {_values(_COUNTS)}),
+    sx AS (SELECT source, target, sim_a, rank_a, max(sim_a) OVER (PARTITION BY source) AS mx FROM ranked),
+    sp AS (SELECT mode, parameter, source, target FROM sx, ds WHERE CASE WHEN mode = 'relative' THEN sim_a >= parameter*mx ELSE rank_a <= parameter END),
+    dp AS (SELECT mode, parameter, top_n, source, target FROM sp, tn UNION SELECT mode, parameter, top_n, source, target FROM ds, tn, coocr WHERE cooc_rank <= top_n),
     dc AS (SELECT *, false AS chapter FROM dp UNION ALL SELECT *, true FROM dp WHERE {_dist(_chap('source'), _chap('target'))} < 1),
-    st AS (SELECT mode, parameter, chapter, count(*) AS n_emitted, count(t.source) AS tp FROM dc LEFT JOIN truth t ON dc.source=t.source AND dc.target=t.target GROUP BY 1, 2, 3)"""
+    st AS (SELECT mode, parameter, CAST(top_n AS INTEGER) AS top_n, chapter, count(*) AS n_emitted, count(t.source) AS tp, count(DISTINCT dc.source) AS codes FROM dc LEFT JOIN truth t ON dc.source=t.source AND dc.target=t.target GROUP BY 1, 2, 3, 4)"""
 _REC = "CAST(tp AS DOUBLE)/(SELECT count(*) FROM truth)"
 
 
-@query(f"{_STUDY}, c AS (SELECT mode, parameter, chapter, count(DISTINCT source) AS codes FROM dc GROUP BY 1, 2, 3) SELECT mode, parameter, chapter, n_emitted, tp, round({_REC}, 6) AS recall, round(2*({_REC})/(1+{_REC}), 6) AS oracle_f1, round(CAST(n_emitted AS DOUBLE)/codes, 6) AS pairs_per_code FROM st JOIN c USING (mode, parameter, chapter)")
+@query(f"{_STUDY} SELECT mode, parameter, top_n, chapter, n_emitted, tp, round({_REC}, 6) AS recall, round(2*({_REC})/(1+{_REC}), 6) AS oracle_f1, round(CAST(n_emitted AS DOUBLE)/codes, 6) AS pairs_per_code FROM st")
 def candidate_study(d: Data) -> DataFrame:
-    by = ["mode", "parameter", "chapter"]
-    pairs = _study(d, False).unionByName(_study(d, True))
-    codes = pairs.groupBy(*by).agg(F.countDistinct("source").alias("codes"))
-    return evaluate.oracle(pairs, d.truth, by).join(codes, by).withColumn("pairs_per_code", F.round(F.col("n_emitted") / F.col("codes"), 6)).drop("codes")
+    return _study(d).drop("codes", "n_true")
 
 
-@query(f"{_STUDY} SELECT a.mode, a.parameter, a.tp AS tp_without, b.tp AS tp_with, round((a.tp-b.tp)/CAST((SELECT count(*) FROM truth) AS DOUBLE), 6) AS recall_cost, a.n_emitted - b.n_emitted AS pairs_saved FROM st a JOIN st b USING (mode, parameter) WHERE NOT a.chapter AND b.chapter")
+@query(f"{_STUDY} SELECT a.mode, a.parameter, a.top_n, a.tp AS tp_without, b.tp AS tp_with, round((a.tp-b.tp)/CAST((SELECT count(*) FROM truth) AS DOUBLE), 6) AS recall_cost, a.n_emitted - b.n_emitted AS pairs_saved FROM st a JOIN st b USING (mode, parameter, top_n) WHERE NOT a.chapter AND b.chapter")
 def chapter_filter_cost(d: Data) -> DataFrame:
-    by = ["mode", "parameter", "chapter"]
-    scores = evaluate.score_pairs(_study(d, False).unionByName(_study(d, True)), d.truth, by)
-    wide = sweep.pivot_many(scores, ["mode", "parameter", "n_true"], "chapter", ["false", "true"], {"tp": F.first("tp"), "pairs": F.first("n_emitted")})
-    return wide.select("mode", "parameter", F.col("tp_false").alias("tp_without"), F.col("tp_true").alias("tp_with"), F.round((F.col("tp_false") - F.col("tp_true")) / F.col("n_true"), 6).alias("recall_cost"), (F.col("pairs_false") - F.col("pairs_true")).alias("pairs_saved"))
+    wide = sweep.pivot_many(_study(d), ["mode", "parameter", "top_n", "n_true"], "chapter", ["false", "true"], {"tp": F.first("tp"), "pairs": F.first("n_emitted")}).dropna(subset=["tp_false", "tp_true"])
+    return wide.select("mode", "parameter", "top_n", F.col("tp_false").alias("tp_without"), F.col("tp_true").alias("tp_with"), F.round((F.col("tp_false") - F.col("tp_true")) / F.col("n_true"), 6).alias("recall_cost"), (F.col("pairs_false") - F.col("pairs_true")).alias("pairs_saved"))
 
 
 @query(f"SELECT * FROM (SELECT source, target, {_chap('source')} AS chapter_source, {_chap('target')} AS chapter_target, CASE WHEN {_chap('source')} % 2 = 1 THEN {_chap('source')} || ',' || ({_chap('source')}+1) ELSE '' || {_chap('source')} END AS allowed FROM truth) q WHERE {_dist('chapter_source', 'chapter_target')} >= 1")
@@ -524,29 +500,18 @@ def emit_rule(d: Data) -> DataFrame:
     return rerank.emit(d.scored.select("source", "target", "score", "y"), TAU, RHO)
 
 
-_TAUS, _RHOS = ALL_TAUS, ALL_RHOS
+_TAUS, _RHOS = nested.TAUS, nested.RHOS
 
 
 @query(f"""SELECT tau, rho, CAST(sum(y) AS BIGINT) AS tp, count(*) AS n_emitted, round(sum(y)/CAST(count(*) AS DOUBLE), 6) AS precision, round(CAST(sum(y) AS DOUBLE)/(SELECT sum(y) FROM scored), 6) AS recall FROM (SELECT *, max(score) OVER (PARTITION BY source) AS mx FROM scored) q,
     (SELECT CAST(tau AS DOUBLE) AS tau, CAST(rho AS DOUBLE) AS rho FROM (VALUES {', '.join(f'({t})' for t in _TAUS)}) a(tau), (VALUES {', '.join(f'({r})' for r in _RHOS)}) b(rho)) g WHERE score >= tau OR score >= rho*mx OR score = mx GROUP BY tau, rho""")
-def tau_rho_sweep(d: Data, taus: list[float] = _TAUS, rhos: list[float] = _RHOS) -> DataFrame:
-    grid = F.broadcast(d.spark.createDataFrame([(t, r) for t in taus for r in rhos], "tau double, rho double"))
-    best = d.scored.withColumn("mx", F.max("score").over(W.partitionBy("source")))
-    kept = best.join(grid, (F.col("score") >= F.col("tau")) | (F.col("score") >= F.col("rho") * F.col("mx")) | (F.col("score") == F.col("mx")))
-    sums = kept.groupBy("tau", "rho").agg(F.sum("y").alias("tp"), F.count("*").alias("n_emitted")).crossJoin(F.broadcast(d.scored.agg(F.sum("y").alias("n"))))
-    return sums.select("tau", "rho", "tp", "n_emitted", F.round(F.col("tp") / F.col("n_emitted"), 6).alias("precision"), F.round(F.col("tp") / F.col("n"), 6).alias("recall"))
-
-
-_FULL_SWEEP = ORACLES["tau_rho_sweep"].replace(f"(VALUES {_values(_TAUS)}) a", f"(VALUES {_values(ALL_TAUS)}) a").replace(f"(VALUES {_values(_RHOS)}) b", f"(VALUES {_values(ALL_RHOS)}) b")
+def tau_rho_sweep(d: Data) -> DataFrame:
+    grid = nested.emission_grid(d.scored, [], _RHOS, taus=_TAUS)
+    sums = grid.crossJoin(F.broadcast(d.scored.agg(F.sum("y").alias("n"))))
+    at = lambda numbers, i: F.array(*map(F.lit, numbers))[F.col(i)]
+    return sums.select(at(_TAUS, "tau_at").alias("tau"), at(_RHOS, "rho_at").alias("rho"), "tp", "n_emitted", F.round(F.col("tp") / F.col("n_emitted"), 6).alias("precision"), F.round(F.col("tp") / F.col("n"), 6).alias("recall"))
 
 
-@query()
-def tau_rho_sweep_full(d: Data) -> DataFrame:
-    return tau_rho_sweep(d, ALL_TAUS, ALL_RHOS)
-
-
-ORACLES["tau_rho_sweep_full"] = _FULL_SWEEP
-
 _PAIRED = f"SELECT *, coalesce('' || {_chap('source')}, 'NA') || '_' || coalesce('' || {_chap('target')}, 'NA') AS chapter_pair FROM scored"
 
 
@@ -599,17 +564,32 @@ def block_structure(d: Data) -> DataFrame:
     return per.agg(F.count("*").alias("codes"), share(F.col("n") > 1, "many"), share((block("lo") == block("hi")) & (F.col("n") > 1), "same_block"), share(F.col("hi") - F.col("lo") <= 50, "within_50"), F.round(F.median(F.col("hi") - F.col("lo")), 6).alias("median_span"))
 
 
-@query("""SELECT CAST(span AS INTEGER) AS span, count(*) AS n_emitted, count(y) AS tp, round(CAST(count(y) AS DOUBLE)/count(*), 6) AS precision FROM (SELECT DISTINCT span, a.source, c.vec_id AS target FROM (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rn FROM scored) q WHERE rn=1) a, v c, (VALUES (2), (4)) s(span) WHERE c.vec_id % 2 = 1 AND c.vec_id//100 = a.target//100 AND abs(c.vec_id - a.target) <= span) e
-    LEFT JOIN (SELECT source, target, 1 AS y FROM truth) t ON e.source=t.source AND e.target=t.target GROUP BY span""")
+#: Codes with a letter part for their block of a hundred, and a number.
+def _lettered(code: str) -> F.Column:
+    c = F.col(code)
+    return F.concat(F.char(65 + F.floor(c / 100) % 26), (c % 100).cast("string"))
+
+
+def _expansion(d: Data, floors: list[float], spans: list[int]) -> DataFrame:
+    return triage.expand(d.scored.withColumn("code", _lettered("target")), _ACCEPT, floors, spans)
+
+
+_ACCEPT = 0.9
+
+
+def _expansion_sql(floors: list[float], spans: list[int]) -> str:
+    """Accepted pairs, and candidates from a floor up to the acceptance near an accepted one of their source."""
+    return f""", co AS (SELECT *, chr(CAST(65 + (target // 100) % 26 AS INTEGER)) AS letter, target % 100 AS num FROM scored), ac AS (SELECT * FROM co WHERE score >= {_ACCEPT}), ba AS (SELECT count(*) AS n, CAST(coalesce(sum(y), 0) AS BIGINT) AS tp FROM ac),
+    gr AS (SELECT CAST(f AS DOUBLE) AS floor, CAST(s AS INTEGER) AS span FROM (VALUES {_values(floors)}) a(f), (VALUES {_values(spans)}) b(s)),
+    ad AS (SELECT floor, span, count(*) AS n, CAST(sum(y) AS BIGINT) AS tp FROM (SELECT DISTINCT floor, span, c.source, c.target, c.y FROM gr, co c, ac a WHERE c.score >= floor AND c.score < {_ACCEPT} AND a.source = c.source AND a.letter = c.letter AND abs(a.num - c.num) <= span) q GROUP BY 1, 2),
+    ex AS (SELECT floor, span, ba.n + coalesce(ad.n, 0) AS n_emitted, ba.tp + coalesce(ad.tp, 0) AS tp FROM gr CROSS JOIN ba LEFT JOIN ad USING (floor, span) UNION ALL SELECT NULL, NULL, n, tp FROM ba)
+    SELECT floor, span, n_emitted, tp, round(CAST(tp AS DOUBLE)/nullif(n_emitted, 0), 6) AS precision, round(CAST(tp AS DOUBLE)/(SELECT sum(y) FROM scored), 6) AS recall FROM ex"""
+
+
+@query(_expansion_sql(triage.EXPAND_FLOORS, triage.EXPAND_SPANS))
 def neighbour_expansion(d: Data) -> DataFrame:
-    prefix = F.floor(F.col("target") / 100)
-    anchors = retrieve.top(d.scored, 1, "score").select("source", prefix.alias("prefix"), F.col("target").alias("num"))
-    codes, out = d.targets.select("target", prefix.alias("prefix"), F.col("target").alias("num")), None
-    for span in (2, 4):
-        part = triage.neighbours(anchors, codes, span).select(F.lit(span).alias("span"), "source", "target")
-        out = part if out is None else out.unionByName(part)
-    s = evaluate.score_pairs(out, d.truth, ["span"])
-    return s.select("span", "n_emitted", "tp", "precision")
+    """Accepted pairs, alone (floor null) and with near candidates, at the published floors and spans."""
+    return _expansion(d, triage.EXPAND_FLOORS, triage.EXPAND_SPANS)
 
 
 @query("""SELECT a.k, a.recall AS recall_a, b.recall AS recall_b, round(b.recall-a.recall, 6) AS gain FROM (SELECT k, round(avg(CAST(rank_a <= k AS INTEGER)), 6) AS recall FROM ranked, (VALUES (1), (10), (25), (50)) g(k) WHERE rank_true <= 2 GROUP BY k) a JOIN (SELECT k, round(avg(CAST(rank_b <= k AS INTEGER)), 6) AS recall FROM ranked, (VALUES (1), (10), (25), (50)) g(k) WHERE rank_true <= 2 GROUP BY k) b USING (k)""")
@@ -688,7 +668,7 @@ def _exact(relation: str, keys: str) -> str:
 
 def _chosen(d: Data) -> DataFrame:
     folds = rerank.folds(d.sources, _FOLDS).withColumn("fold", F.col("fold").cast("int"))
-    parts = [sweep.fold_grid(d.sim(m), d.cooc, d.truth, d.excluded, folds, chapters(), ALIGN, GRID_THRESHOLDS, GRID_TOPS).withColumn("model", F.lit(m[-1])) for m in ("sim_a", "sim_b")]
+    parts = [sweep.fold_grid(d.near(min(GRID_THRESHOLDS), model=m), d.cooc, d.truth, d.excluded, folds, chapters(), ALIGN, GRID_THRESHOLDS, GRID_TOPS).withColumn("model", F.lit(m[-1])) for m in ("sim_a", "sim_b")]
     return sweep.choose_by_fold(parts[0].unionByName(parts[1]), ["model", "threshold", "top_n", "rule"])
 
 
@@ -721,11 +701,10 @@ def grid_setting_lookup(d: Data) -> DataFrame:
     return grids.where((F.col("threshold") == row["threshold"]) & (F.col("top_n") == row["top_n"]) & (F.col("rule") == row["rule"])).select("model", "threshold", "top_n", "rule", "f1")
 
 
-@query(f"{_STUDY} SELECT * EXCLUDE rn FROM (SELECT mode, chapter, parameter, n_emitted, tp, round({_REC}, 6) AS recall, row_number() OVER (PARTITION BY mode, chapter ORDER BY round({_REC}, 6) DESC, parameter) AS rn FROM st) q WHERE rn = 1")
+@query(f"{_STUDY} SELECT * EXCLUDE rn FROM (SELECT mode, chapter, parameter, top_n, n_emitted, tp, round({_REC}, 6) AS recall, row_number() OVER (PARTITION BY mode, chapter ORDER BY round({_REC}, 6) DESC, parameter, top_n) AS rn FROM st) q WHERE rn = 1")
 def candidate_best(d: Data) -> DataFrame:
     """The best recall ceiling of each mode with and without the chapter filter."""
-    scores = evaluate.oracle(_study(d, False).unionByName(_study(d, True)), d.truth, ["mode", "parameter", "chapter"])
-    return sweep.best(scores.drop("oracle_f1"), ["mode", "chapter"], "recall", ("parameter",))
+    return sweep.best(_study(d).select("mode", "chapter", "parameter", "top_n", "n_emitted", "tp", "recall"), ["mode", "chapter"], "recall", ("parameter", "top_n"))
 
 
 _GAIN = f"{_CATS}, g AS (SELECT fa.ccs_id, CAST(fa.ccs_id % 2 AS INTEGER) AS track, round(fb.f1-fa.f1, 6) AS gain FROM fa JOIN fb USING (ccs_id))"
@@ -752,17 +731,13 @@ def target_counts(d: Data) -> DataFrame:
     return triage.target_counts(d.scored.where("y = 1").withColumn("same", F.col("target") == F.col("source") + 1))
 
 
-_FLOORS, _SPANS = [0.0, 0.8, 0.9, 0.95], [2, 4, 8]
+_FLOORS, _SPANS = [0.0, 0.5, 0.6, 0.7, 0.8], [2, 4, 8, 16]
 
 
-@query(f"""SELECT floor, span, count(*) AS n_emitted, count(y) AS tp, round(CAST(count(y) AS DOUBLE)/count(*), 6) AS precision FROM (SELECT DISTINCT CAST(f AS DOUBLE) AS floor, CAST(s AS INTEGER) AS span, a.source, c.vec_id AS target FROM (SELECT source, target, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rn FROM scored) q WHERE rn=1) a, v c, (VALUES {', '.join(f'({f})' for f in _FLOORS)}) fl(f), (VALUES {', '.join(f'({s})' for s in _SPANS)}) sp(s) WHERE c.vec_id % 2 = 1 AND c.vec_id//100 = a.target//100 AND abs(c.vec_id - a.target) <= s AND a.score >= CAST(f AS DOUBLE)) e
-    LEFT JOIN (SELECT source, target, 1 AS y FROM truth) t ON e.source=t.source AND e.target=t.target GROUP BY floor, span""")
+@query(_expansion_sql(_FLOORS, _SPANS))
 def neighbour_grid(d: Data) -> DataFrame:
-    prefix = F.floor(F.col("target") / 100)
-    anchors = retrieve.top(d.scored, 1, "score").select("source", prefix.alias("prefix"), F.col("target").alias("num"), "score")
-    codes = d.targets.select("target", prefix.alias("prefix"), F.col("target").alias("num"))
-    s = evaluate.score_pairs(triage.neighbour_grid(anchors, codes, _FLOORS, _SPANS), d.truth, ["floor", "span"])
-    return s.select("floor", "span", "n_emitted", "tp", "precision")
+    """The expansion over a wider grid, where scores are high."""
+    return _expansion(d, _FLOORS, _SPANS)
 
 
 @query("SELECT count(*) AS points, round(regr_slope(f, n), 6) AS slope FROM (SELECT cooc_rank AS n, avg(cooc_rel) AS f FROM coocr GROUP BY cooc_rank ORDER BY n DESC LIMIT 3) q")
@@ -788,9 +763,14 @@ def lexical_rank(d: Data) -> DataFrame:
     return features.context(rows).select("source", "target", "lex_idf_rank")
 
 
-# --- learning (rows only) ------------------------------------------------------------------------------------------------------
+# --- learning ------------------------------------------------------------------------------------------------------------------
 
-_COLS = ["ens_rrf", "ens_mean_rel", "ens_max_rel", "ens_min_rel", "ens_best_rank", "ens_rrf_rev", "ens_mutual_rel", "ens_mutual_rank", "ens_direction_gap", "cooc_rank", "cooc_rel", "has_cooc", "ens_margin", "target_n_suitors", "target_rank_here"]
+#: A fixed decision of retrieval, tau and rho, where a study doesn't choose.
+FIXED, FIXED_TAU, FIXED_RHO = nested.Retrieval(10, 50, False), 0.35, 0.85
+_MUTUAL = ("simrankrev_", "simrelrev_", "ens_mean_relrev", "ens_best_rankrev", "ens_rrf_rev", "ens_mutual", "is_mutual_top1", "ens_direction_gap", "target_")
+#: Groups of features by the beginnings (or ends) of their names.
+GROUPS = {"mutual": lambda f: f.startswith(_MUTUAL), "lexical": lambda f: f.startswith("lex_"), "cooccurrence": lambda f: f.startswith(("cooc_", "has_cooc")), "chapter": lambda f: f.startswith("chapter_"), "ensemble": lambda f: f.startswith("ens_"), "b": lambda f: f.endswith("_b"), "c": lambda f: f.endswith("_c")}
+_SETTING_COLUMNS = ["k", "n", "chapter", "tau", "rho", "inner_f1", "tp", "n_emitted", "n_true", "precision", "recall", "f1", "accuracy"]
 
 
 @query()
@@ -798,73 +778,100 @@ def greedy_folds(d: Data) -> DataFrame:
     return rerank.category_folds(d.sources, 3)
 
 
+_RETRIEVAL_SQL = ", ".join(f"({i}, {r.k}, {r.n}, {r.chapter})" for i, r in enumerate(nested.RETRIEVALS))
+
+
+@query(f"""{", sw AS (SELECT r.source, r.target, least(rank_a, rank_b) AS best_rank, coalesce(cooc_rank, 999) AS cooc_rank, round(0.5::DOUBLE*rel_a + 0.3::DOUBLE*rel_b + 0.2::DOUBLE*coalesce(cooc_rel, 0), 4) AS score, CAST(rank_true <= 2 AS INTEGER) AS y, "}
+    coalesce({_dist(_chap('r.source'), _chap('r.target'))} < 1, false) AS ok FROM ranked r LEFT JOIN coocr c ON r.source=c.source AND r.target=c.target WHERE rank_a <= 50 OR rank_b <= 50 OR coalesce(cooc_rank, 999) <= 50),
+    fd AS (SELECT source, CAST((row_number() OVER (ORDER BY md5(source || ':20260819'), source) - 1) % 5 AS INTEGER) AS fold FROM ccs), cf(ci, k, n, chapter) AS (VALUES {_RETRIEVAL_SQL}),
+    ta AS (SELECT CAST(t AS DOUBLE) AS tau, row_number() OVER (ORDER BY t) AS ti FROM (VALUES {_values(nested.TAUS)}) x(t)), ra AS (SELECT CAST(r AS DOUBLE) AS rho, row_number() OVER (ORDER BY r) AS ri FROM (VALUES {_values(nested.RHOS)}) x(r)),
+    el AS (SELECT ci, fold, score, y, max(score) OVER (PARTITION BY ci, s.source) AS mx FROM sw s JOIN fd USING (source) JOIN cf ON (best_rank <= k OR cooc_rank <= n) AND (NOT chapter OR ok)),
+    em AS (SELECT ci, ti, ri, fold, sum(y) AS tp, count(*) AS n FROM el, ta, ra WHERE score >= tau OR score >= rho*mx OR score = mx GROUP BY ALL),
+    kn AS (SELECT fold, count(*) AS n_true FROM sw JOIN fd USING (source) WHERE y = 1 GROUP BY fold), ev AS (SELECT ci, ti, ri, fold, n_true, coalesce(tp, 0) AS tp, coalesce(em.n, 0) AS n FROM cf CROSS JOIN ta CROSS JOIN ra CROSS JOIN kn LEFT JOIN em USING (ci, ti, ri, fold)),
+    tr AS (SELECT *, sum(tp) OVER w - tp AS a, sum(n + n_true) OVER w - n - n_true AS b FROM ev WINDOW w AS (PARTITION BY ci, ti, ri)),
+    ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY inner_f1 DESC, ci, ti, ri) AS rn FROM (SELECT *, round(CAST(2*a AS DOUBLE)/CAST(b AS DOUBLE), 9) AS inner_f1 FROM tr) q) q WHERE rn = 1),
+    re AS (SELECT fold AS outer_fold, k, cf.n AS n_rank, chapter, tau, rho, inner_f1, CAST(tp AS BIGINT) AS tp, CAST(ch.n AS BIGINT) AS n_emitted, n_true FROM ch JOIN cf USING (ci) JOIN ta USING (ti) JOIN ra USING (ri))
+    {_exact('re', 'outer_fold, k, n_rank, chapter, tau, rho, inner_f1')}""")
+def nested_choice(d: Data) -> DataFrame:
+    """The inner choice among 1,710 settings and its outer result, on fixed scores."""
+    ok = F.coalesce(ch.distance(*chapters(), ALIGN) < 1, F.lit(False)).cast("int")
+    folds = rerank.folds(d.sources, _FOLDS)
+    rows = d.scored_within(standins.STUDY_K, standins.STUDY_N).withColumns({"best_rank": F.least("rank_a", "rank_b"), "chapter_ok": ok}).drop("rank_a", "rank_b").join(folds, "source").persist()
+    inside = rows.withColumn("outer", F.explode(F.array(*map(F.lit, range(_FOLDS))))).where("outer <> fold")
+    known = rows.where("y = 1").select("source", "target")
+    chosen = nested.choose_setting(inside, nested.inner_totals(known, folds), nested.RETRIEVALS)
+    chosen = nested.spelled_out(nested.with_taus(chosen), nested.RETRIEVALS, nested.RHOS)
+    _, _, by_fold = nested.judge(rows.withColumnRenamed("fold", "outer"), chosen, known, folds)
+    return by_fold.withColumnsRenamed({"outer": "outer_fold", "n": "n_rank"})
+
+
 @query()
 def gbt_cv(d: Data) -> DataFrame:
-    """Out-of-fold scores, then the configuration that a sweep over tau and rho likes best, scored on the pooled folds."""
-    scored = rerank.cross_validate(d.learning, _COLS, 3, SMALL)
-    grid = F.broadcast(d.spark.createDataFrame([(t, r, i) for i, (t, r) in enumerate((t, r) for t in (0.2, 0.4, 0.6) for r in (0.7, 1.0))], "tau double, rho double, ord int"))
-    every = scored.select("source", "target", "y", "score").crossJoin(grid)
-    sums = rerank.emit(every, F.col("tau"), F.col("rho"), ["ord"]).groupBy("ord", "tau", "rho").agg(F.sum("y").alias("tp"), F.count("*").alias("n_emitted")).crossJoin(F.broadcast(d.truth.agg(F.count("*").alias("n_true"))))
-    return sums.withColumns(metrics.exact(F.col("tp"), F.col("n_emitted"), F.col("n_true"))).orderBy(F.desc("f1"), "ord").limit(1)
+    """Nested cross-validation with full trees: each outer fold's choice of its inner folds and its result, and all folds pooled (fold null)."""
+    run = nested.validate(d.candidates, standins.STUDY, d.known)
+    return run.folds.select(F.col("outer").alias("fold"), *_SETTING_COLUMNS).unionByName(run.pooled(), allowMissingColumns=True)
 
 
 @query()
 def gbt_ablation(d: Data) -> DataFrame:
-    """F1 of leaving out groups of features against the full set; one model also by pairwise differences."""
-    groups = {"full": [], "no_mutual": ["ens_mutual_rel", "ens_mutual_rank"], "no_cooccurrence": ["cooc_rank", "cooc_rel", "has_cooc"]}
-    data = d.learning.where("ens_rrf is not null")
-    train, test = data.where("source % 3 != 0"), data.where("source % 3 = 0")
-    out = None
-    for name, dropped in groups.items():
-        cols = [c for c in _COLS if c not in dropped]
-        emitted = rerank.emit(rerank.predict(test, rerank.fit(train, cols, SMALL), cols), 0.5, 1.0)
-        part = evaluate.score_pairs(emitted, d.truth.where("source % 3 = 0")).select(F.lit(name).alias("variant"), F.lit(len(cols)).alias("n_features"), "f1")
-        out = part if out is None else out.unionByName(part)
-    full = F.max(F.when(F.col("variant") == "full", F.col("f1"))).over(W.partitionBy(F.lit(1)))
-    return out.withColumn("delta", F.round(F.col("f1") - full, 6))
+    """Ten variants under nested cross-validation: all features, seven groups left out, and two ranking objectives; delta of F1 against all features."""
+    variants = {"full": (lambda f: True, "logistic", True)}
+    variants |= {f"no_{name}": (lambda f, group=group: not group(f), "logistic", name != "chapter") for name, group in GROUPS.items()}
+    variants |= {f"rank_{o}": (lambda f: True, o, True) for o in ("pairwise", "ndcg")}
+    out = nested.ablation(d.candidates, standins.STUDY, d.known, variants, FIXED)
+    full = out.where("variant = 'full'").select(F.col("f1").alias("full"))
+    return out.crossJoin(F.broadcast(full)).withColumn("delta", F.round(F.col("f1") - F.col("full"), 6)).drop("full")
+
+
+@query()
+def gbt_sweep(d: Data) -> DataFrame:
+    """Every retrieval of 24 refitted under nested cross-validation."""
+    return nested.retrieval_sweep(d.candidates, standins.STUDY, d.known)
 
 
 @query()
 def gbt_pairwise(d: Data) -> DataFrame:
-    """A ranker on differences within a source, weighted by the gain of swapping, scored against zero differences."""
-    data = d.learning
-    fitted = rerank.fit(rerank.pair_differences(data.where("source % 3 != 0"), _COLS, ndcg=True), _COLS, SMALL, weight="weight")
-    return triage.hit_at(rerank.predict(data.where("source % 3 = 0"), fitted, _COLS))
+    """Share of held-out sources whose first candidates hold a true one, by the objective."""
+    fits = [Fit(o, F.col("fold") != 0, F.col("fold") == 0, standins.STUDY, setting=Boost(objective=o)) for o in ("logistic", "pairwise", "ndcg")]
+    scored, out = fit_all(d.candidates, standins.STUDY, fits, category="pair").scores(), None
+    for i, f in enumerate(fits):
+        part = triage.hit_at(scored.where(F.col("fit") == i)).select(F.lit(f.name).alias("objective"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query()
 def gbt_crosswalk(d: Data) -> DataFrame:
-    """Final fit on sources with known truth, predictions and triage for the rest, with rows for codes without candidates."""
-    data = d.learning
-    fitted = rerank.fit(data.where("source % 4 != 0"), _COLS, SMALL)
-    kept = rerank.emit(rerank.predict(data.where("source % 4 = 0"), fitted, _COLS), 0.5, 0.85).select("source", "target", F.round("score", 6).alias("confidence"))
-    kept = kept.withColumn("triage", F.when(F.col("confidence") >= 0.5, "auto-accept").otherwise("review"))
-    missing = d.sources.where("source % 4 = 0").select("source").join(kept, "source", "left_anti").withColumn("triage", F.lit("no candidate"))
+    """Final fit on sources with known truth; retrieval and rho are medians over the folds of their cross-validation, tau is its 95 % precision point (0.9 if there is none).
+    Predictions and triage for the rest, with rows for codes without candidates."""
+    data = d.candidates
+    run = nested.validate(data.where("source % 4 <> 0"), standins.STUDY, d.known.where("source % 4 <> 0"))
+    picked = run.chosen.agg(F.median("k").alias("k"), F.median("n").alias("n"), F.avg(F.col("chapter").cast("int")).alias("chapter"), F.median("rho").alias("rho")).first()
+    at = nested.Retrieval(round(picked["k"]), round(picked["n"]), picked["chapter"] > 0.5)
+    point = triage.operating_points(triage.curve(run.scored.select("source", "target", "y", "score")), [0.95]).first()
+    tau = point["tau"] if point else 0.9
+    fitted = fit_all(data, standins.STUDY, [Fit("final", F.col("source") % 4 != 0, (F.col("source") % 4 == 0) & at.eligible(), standins.STUDY)], category="pair")
+    kept = rerank.emit(fitted.scores(), tau, picked["rho"]).select("source", "target", F.round("score", 4).alias("confidence"))
+    kept = kept.withColumn("triage", F.when(F.col("confidence") >= tau, "auto-accept").otherwise("review"))
+    missing = d.sources.where("source % 4 = 0").select("source").join(kept, "source", "left_anti").withColumn("triage", F.lit("no-candidate"))
     return kept.unionByName(missing, allowMissingColumns=True)
 
 
 @query()
 def gbt_importance(d: Data) -> DataFrame:
-    parts, data = None, d.learning
-    for fold in range(2):
-        part = rerank.importance(rerank.fit(data.where(f"source % 4 != {2 * fold}"), _COLS, SMALL), _COLS, d.spark)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("feature").agg(F.round(F.avg("gain"), 6).alias("gain"))
+    """Mean share of gain of each feature over the outer folds' fits."""
+    fits = [Fit(str(o), F.col("fold") != o, F.lit(False), standins.STUDY) for o in range(_FOLDS)]
+    gains = fit_all(d.candidates, standins.STUDY, fits, category="pair").importance()
+    return gains.groupBy("feature").agg(F.round(F.sum("gain") / _FOLDS, 6).alias("gain"), F.count("*").alias("folds"), F.sum("splits").alias("splits"))
 
 
 @query()
 def learning_curve(d: Data) -> DataFrame:
-    """F1 on held-out sources by the number of training sources; sizes beyond those available give null."""
-    data = d.learning
-    train, test = data.where("source % 3 != 0"), data.where("source % 3 = 0")
-    order = train.select("source").distinct().withColumn("rn", F.row_number().over(W.orderBy(F.xxhash64("source", F.lit(1)))))
-    n = order.count()
-    out = d.spark.createDataFrame([], "n int, f1 double")
-    for size in (40, 100, 100_000):
-        if size > n:
-            part = d.spark.createDataFrame([(size, None)], "n int, f1 double")
-        else:
-            fitted = rerank.fit(train.join(order.where(F.col("rn") <= size), "source", "left_semi"), _COLS, SMALL)
-            part = evaluate.score_pairs(rerank.emit(rerank.predict(test, fitted, _COLS), 0.5, 1.0), d.truth.where("source % 3 = 0")).select(F.lit(size).alias("n"), "f1")
-        out = out.unionByName(part)
-    return out
+    """F1 by the number of training sources, seven sizes with four repeats; null where there are fewer sources."""
+    return nested.learning_curve(d.candidates, standins.STUDY, d.known, [40, 70, 100, 140, 180, 220, 260], 4, FIXED, FIXED_TAU, FIXED_RHO)
+
+
+@query()
+def gbt_holdout(d: Data) -> DataFrame:
+    """The cost of holding out whole categories: folds of sources against folds of categories, three repeats."""
+    return nested.holdout_cost(d.candidates, standins.STUDY, d.known, d.sources, 3, FIXED, FIXED_TAU, FIXED_RHO)

@@ -7,10 +7,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chapters import chapter
-from ..operators.features import similarity_windows
-from ..operators.retrieve import pool, ranked, top
-from ..operators.vectors import cosine_pairs
+from ..functions.chapters import chapter, distance
+from ..operators.retrieve import ranked
+from ..operators.vectors import cosine_best, cosine_pairs
 
 #: Ranges of four-digit codes with gaps, and an alignment by which odd chapters also allow the next one.
 RANGES = [(c, f"{(c - 1) * 100:04d}", f"{(c - 1) * 100 + 95:04d}") for c in range(1, 21)]
@@ -19,6 +18,13 @@ ALIGN = {c: [c, c + 1] if c % 2 else [c] for c in range(1, 21)}
 MODELS = {"sim": slice(0, 64), "sim_a": slice(0, 32), "sim_b": slice(32, 64), "sim_c": slice(16, 48)}
 #: Setting of the single-point queries.
 THRESHOLD, TOP_N, K = 0.8, 10, 10
+#: The learners' pool, and the 51 features beside the fitted rate of the chapter pair.
+STUDY_K, STUDY_N = 50, 50
+STUDY = [f"{c}_{m}" for m in "abc" for c in ("sim", "simrank", "simrel", "simz", "simrankrev", "simrelrev")] + [
+    "cooc_freq", "cooc_rank", "cooc_share", "cooc_rel", "has_cooc", "ens_rrf", "ens_mean_rel", "ens_max_rel", "ens_min_rel", "ens_best_rank", "ens_rel_sd", "ens_mean_relrev", "ens_best_rankrev", "ens_rrf_rev",
+    "ens_mutual_rel", "ens_mutual_rank", "is_mutual_top1", "ens_direction_gap", "chapter_distance", "chapter_ok", "lex_jaccard", "lex_overlap", "lex_idf_overlap", "lex_first_token", "lex_editdist",
+    "n_candidates", "ens_rrf_rank", "ens_rrf_rel", "lex_idf_rank", "ens_margin", "target_n_suitors", "target_rank_here", "target_is_best_here",
+]
 
 
 def code_chapter(code: str) -> Column:
@@ -54,6 +60,14 @@ class Data:
         side = lambda odd: self.vectors.where(f"vec_id % 2 = {odd}").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
         return cosine_pairs(side(0), side(1), {m: MODELS[m] for m in models or MODELS})
 
+    def best(self, model: str = "sim_a", *, k: int = 0, threshold: float | None = None, side: str = "source") -> DataFrame:
+        """(source, target, sim, rank, best): the k best, and those of at least threshold times the best, of each code of a side; other pairs never leave the product."""
+        part = lambda odd: self.vectors.where(f"vec_id % 2 = {odd}").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+        return cosine_best(part(0), part(1), MODELS[model], k=k, threshold=threshold, side=side)
+
+    def near(self, threshold: float = THRESHOLD, side: str = "source", model: str = "sim_a") -> DataFrame:
+        return self.best(model, threshold=threshold, side=side).select("source", "target", "sim")
+
     def sim(self, model: str = "sim_a") -> DataFrame:
         return self.similarities(model).withColumnRenamed(model, "sim")
 
@@ -64,7 +78,7 @@ class Data:
 
     @cached_property
     def truth(self) -> DataFrame:
-        return top(self.similarities("sim"), 2, "sim").select("source", "target")
+        return self.best("sim", k=2).select("source", "target")
 
     @cached_property
     def excluded(self) -> DataFrame:
@@ -75,9 +89,8 @@ class Data:
         """Codes with two-word labels: p_name by part key."""
         return self.table("part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("label"))
 
-    @cached_property
-    def scored(self) -> DataFrame:
-        """Candidates of two models and counts with a fixed score formula and truth: source, target, score, y, ranks."""
+    def scored_within(self, k: int, n: int) -> DataFrame:
+        """Candidates of two models within rank k or counts within rank n, with a fixed score formula and truth: source, target, score, y, ranks."""
         from pyspark.sql.window import Window as W
 
         s = W.partitionBy("source")
@@ -85,26 +98,61 @@ class Data:
         sims = ranked(sims, "sim", name="rank_true").withColumns({"rel_a": F.col("sim_a") / F.max("sim_a").over(s), "rel_b": F.col("sim_b") / F.max("sim_b").over(s)})
         cooc = ranked(self.cooc, "freq", name="cooc_rank").withColumn("cooc_rel", F.col("freq") / F.max("freq").over(s)).select("source", "target", "cooc_rank", "cooc_rel")
         both = sims.join(cooc, ["source", "target"], "left").fillna({"cooc_rank": 999, "cooc_rel": 0.0})
-        kept = both.where((F.col("rank_a") <= K) | (F.col("rank_b") <= K) | (F.col("cooc_rank") <= TOP_N))
+        kept = both.where((F.col("rank_a") <= k) | (F.col("rank_b") <= k) | (F.col("cooc_rank") <= n))
         score = F.round(0.5 * F.col("rel_a") + 0.3 * F.col("rel_b") + 0.2 * F.col("cooc_rel"), 4)
         return kept.select("source", "target", "rank_a", "rank_b", "cooc_rank", score.alias("score"), (F.col("rank_true") <= 2).cast("int").alias("y"))
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        return self.scored_within(K, TOP_N)
+
+    def pool_features(self, k: int, n: int) -> DataFrame:
+        """Ensemble features of three models on the pairs within rank k of a model or counts within rank n, from one product of the vectors: the pool is a filter over
+        the ranks, whose windows share a shuffle by source and one by target."""
+        from ..operators import features as fe
+
+        sims = fe.all_windows(self.similarities("sim_a", "sim_b", "sim_c"), {m: f"sim_{m}" for m in "abc"})
+        both = sims.join(fe.cooccurrence_windows(self.cooc), ["source", "target"], "left")
+        kept = both.where((F.least(*[F.col(f"simrank_{m}") for m in "abc"]) <= k) | F.coalesce(F.col("cooc_rank") <= n, F.lit(False)))
+        return fe.ensemble(fe.fill(kept, list("abc")), list("abc"))
+
     @cached_property
     def features(self) -> DataFrame:
-        """Ensemble features over three models on the top-K pool, with y, chapter pair and category."""
+        """The pool's features with context, y, chapter pair and category."""
         from ..operators import features as fe
 
-        sims = self.similarities("sim_a", "sim_b", "sim_c")
-        windows = {m: similarity_windows(sims, m, f"sim_{m}") for m in "abc"}
-        wide = windows["a"].join(windows["b"], ["source", "target"]).join(windows["c"], ["source", "target"])
-        pairs = pool(*[top(sims, K, f"sim_{m}") for m in "abc"], top(self.cooc, TOP_N, "freq"))
-        out = pairs.join(wide, ["source", "target"], "left").join(fe.cooccurrence_windows(self.cooc), ["source", "target"], "left")
-        out = fe.context(fe.ensemble(fe.fill(out, list("abc")), list("abc")))
-        out = out.join(self.truth.withColumn("y", F.lit(1)), ["source", "target"], "left").fillna(0, subset=["y"])
+        out = fe.context(self.pool_features(K, TOP_N)).join(self.truth.withColumn("y", F.lit(1)), ["source", "target"], "left").fillna(0, subset=["y"])
         pair = F.concat_ws("_", *[F.coalesce(c.cast("string"), F.lit("NA")) for c in chapters()])
         return out.withColumn("chapter_pair", pair).join(self.sources, "source", "left")
 
     @cached_property
-    def learning(self) -> DataFrame:
-        """The features, kept in memory or on disk for the many passes of a fit; lost parts are computed again."""
-        return self.features.persist()
+    def study(self) -> DataFrame:
+        """The learners' rows: all features of STUDY on the wide pool, y, the chapter pair as a number, and what retrieval looks at. A code's label is the part's of the next number."""
+        from ..operators import features as fe
+
+        out = self.pool_features(STUDY_K, STUDY_N).join(self.truth.withColumn("y", F.lit(1)), ["source", "target"], "left").fillna(0, subset=["y"])
+        label = lambda side: self.labels.select((F.col("code") - 1).alias(side), F.col("label").alias(f"{side}_label"))
+        out = out.join(label("source"), "source", "left").join(label("target"), "target", "left")
+        lexical = fe.lexical(out.where("source_label is not null and target_label is not null"), fe.token_idf(self.labels.select("label")))
+        out = out.join(lexical, ["source_label", "target_label"], "left").fillna(0, subset=[c for c in STUDY if c.startswith("lex_") and c != "lex_idf_rank"])
+        apart = distance(*chapters(), ALIGN)
+        out = fe.context(out).withColumns({"chapter_distance": F.coalesce(apart, F.lit(3)), "chapter_ok": F.coalesce(apart < 1, F.lit(False)).cast("int")})
+        s, t = (F.coalesce(c, F.lit(0)) for c in chapters())
+        return out.withColumns({"best_rank": F.least(*[F.col(f"simrank_{m}") for m in "abc"]), "pair": (s * 32 + t).cast("int")})
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """The study's rows binned, with outer and inner folds, kept for the many passes of the fits."""
+        from ..operators import boost, nested
+
+        rows = self.study.select("source", "target", "y", "pair", "best_rank", *STUDY).persist()
+        table = boost.binned(rows, STUDY, keep=["source", "target", "y", "pair", "best_rank", "cooc_rank", "chapter_ok"])
+        out = table.join(nested.deal(self.sources, 5, 3), "source").persist()
+        out.count()
+        rows.unpersist()
+        return out
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """True pairs in the study's pool: what the learners' recall counts."""
+        return self.candidates.where("y = 1").select("source", "target")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SIMILARITY = "model string, source string, target string, sim double"
@@ -55,8 +58,94 @@ def write_parts(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """The stored table, which is built first if it isn't there."""
-    if not exists(spark, path):
-        build().write.parquet(path)
+def fingerprint(spark: SparkSession, inputs: list[str], parameters: dict | None = None) -> str:
+    """Digest of the inputs' files (path, size, time of change) and of the parameters a table was built with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in inputs:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(conf).globStatus(p)
+        for top in files or []:
+            todo = [top]
+            while todo:
+                status = todo.pop()
+                if status.isDirectory():
+                    todo += list(status.getPath().getFileSystem(conf).listStatus(status.getPath()))
+                else:
+                    found.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+    return hashlib.sha256(json.dumps([sorted(found), parameters or {}], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    name = f"{path}/_manifest.json"
+    if not exists(spark, name):
+        return None
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(name)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
+        return None
+    finally:
+        stream.close()
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, inputs: list[str] | None = None, parameters: dict | None = None) -> DataFrame:
+    """The stored table, which is built first if it isn't there whole, or if its inputs or parameters have changed since.
+
+    A build writes to a folder of its own, then its manifest, and takes its place by a rename; a folder without a manifest is no table, so a build that broke, or
+    half of one, is never read. Builds at the same time each write their own; the last one to finish stays."""
+    key = fingerprint(spark, inputs or [], parameters)
+    known = _manifest(spark, path)
+    if known is None or known.get("key") != key:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        place = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+        own = f"{path.rstrip('/')}.building-{uuid.uuid4().hex}"
+        fs = place(path).getFileSystem(conf)
+        try:
+            df = build()
+            df.write.parquet(own)
+            out = fs.create(place(f"{own}/_manifest.json"), True)
+            out.write(bytearray(json.dumps({"key": key, "schema": json.loads(df.schema.json()), "parameters": parameters or {}}, default=str).encode()))
+            out.close()
+            if fs.exists(place(path)):
+                fs.delete(place(path), True)
+            if not fs.rename(place(own), place(path)):
+                raise OSError(f"{own} could not take the place of {path}")
+        finally:
+            if fs.exists(place(own)):
+                fs.delete(place(own), True)
     return spark.read.parquet(path)
+
+
+class CheckFailed(Exception):
+    """Rows that a write watched didn't pass."""
+
+    def __init__(self, failed: list[str], metrics: dict):
+        super().__init__(f"failed: {', '.join(failed)}; {metrics}")
+        self.failed, self.metrics = failed, metrics
+
+
+def write_checked(df: DataFrame, path: str, metrics: dict[str, Column], checks: dict[str, Callable[[dict], bool]]) -> dict:
+    """Writes the table and watches metrics of its rows in the same pass; the table takes its place only if all checks of the metrics pass, else CheckFailed. Returns
+    the metrics with outcome PASS."""
+    spark = df.sparkSession
+    watched = Observation()
+    own = f"{path.rstrip('/')}.checking-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.observe(watched, *[c.alias(n) for n, c in metrics.items()]).write.parquet(own)
+        found = watched.get
+        failed = [name for name, ok in checks.items() if not ok(found)]
+        if failed:
+            raise CheckFailed(failed, found)
+        if fs.exists(place(path)):
+            fs.delete(place(path), True)
+        fs.rename(place(own), place(path))
+    finally:
+        if fs.exists(place(own)):
+            fs.delete(place(own), True)
+    return {**found, "outcome": "PASS"}

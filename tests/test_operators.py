@@ -96,10 +96,20 @@ def test_folds(spark):
     assert max(r["count"] for r in dealt) - min(r["count"] for r in dealt) <= 1
 
 
-def test_neighbours(spark):
-    anchors = spark.createDataFrame([("a", "E", 10)], "source string, prefix string, num int")
-    codes = spark.createDataFrame([("E11", "E", 11), ("E13", "E", 13), ("E16", "E", 16), ("F10", "F", 10)], "target string, prefix string, num int")
-    assert rows(triage.neighbours(anchors, codes, 5), "target") == [("E11",), ("E13",)]
+def test_expansion_takes_near_candidates_of_accepted_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    pairs = [(s, t, rng.choice([0.02, 0.06, 0.15, 0.5, 0.95]), rng.randrange(2), f"{rng.choice('AB')}{rng.randrange(30)}") for s in range(12) for t in range(15)]
+    df = spark.createDataFrame(pairs, "source int, target int, score double, y int, code string").repartition(3)
+    got = {(r.floor, r.span): tuple(r)[2:] for r in triage.expand(df, 0.9).collect()}
+    n_true = sum(p[3] for p in pairs)
+    for floor, span in [(None, None), *[(f, s) for f in (0.05, 0.1, 0.2) for s in (2, 5)]]:
+        out = [p for p in pairs if p[2] >= 0.9]
+        if floor is not None:
+            out += [p for p in pairs if floor <= p[2] < 0.9 and any(a[0] == p[0] and a[2] >= 0.9 and a[4][0] == p[4][0] and abs(int(a[4][1:]) - int(p[4][1:])) <= span for a in pairs)]
+        tp = sum(p[3] for p in out)
+        assert got[floor, span] == (len(out), tp, round(tp / len(out), 6), round(tp / n_true, 6))
 
 
 def test_operating_point_prefers_smaller_tau(spark):
@@ -173,14 +183,6 @@ def test_compacted_values_keep_their_order(spark):
     assert [tuple(r) for r in df.select(*metrics.compact(["a", "b", "c", "d"], ["x", "y", "z"])).collect()] == [(1.0, 2.0, None), (None, None, None)]
 
 
-def test_neighbours_over_floors_and_spans(spark):
-    anchors = spark.createDataFrame([(1, "A", 10, 0.9), (2, "A", 50, 0.4)], "source int, prefix string, num long, score double")
-    codes = spark.createDataFrame([(n, "A", n) for n in (5, 8, 10, 12, 50, 58)], "target long, prefix string, num long")
-    got = {tuple(r) for r in triage.neighbour_grid(anchors, codes, [0.0, 0.5], [2, 8]).collect()}
-    plain = {(f, s, a, t) for f in (0.0, 0.5) for s in (2, 8) for a, n, v in ((1, 10, 0.9), (2, 50, 0.4)) for t in (5, 8, 10, 12, 50, 58) if v >= f and abs(t - n) <= s}
-    assert got == plain
-
-
 def test_slope_of_the_last_points(spark):
     points = spark.createDataFrame([(float(x), 100.0 if x < 4 else 2.0 * x) for x in range(1, 7)], "x double, y double")
     assert tuple(triage.last_slope(points, "x", "y").first()) == (3, 2.0)
