@@ -2,18 +2,26 @@
 
 Pass one looks at each block alone: its place (article, or menus, footers,
 adverts, forms, comments and the like), its length, link density and stop-word
-density make it text, boilerplate or, if short, undecided. Pass two lets an
+density make it text, boilerplate or, if short, undecided. Where the page's words
+are hardly any of the stop words, its language isn't listed, and the ends of sentences
+stand for them; characters of scripts without spaces count as three. Pass two lets an
 undecided block inherit the label of the nearest decided neighbour, of its own
-section first; on equal distance text wins. A page that marks its article keeps
-all of it, whatever its language or style. Nulls, empty pages and pages of
-boilerplate only give an empty text. Unclosed elements end with what holds them,
-unclosed comments and scripts with the page. Very long pages are read in one pass, in linear time.
+section first; on equal distance text wins. If no block of a page is decided to be text,
+undecided ones that aren't short or end a sentence are.
+
+A page that marks its article keeps all of it. Names in class, id or role mark boilerplate only as a whole: each of a name's words
+is one of boilerplate or of place; and most of them only outside the article. Text is hidden by the attribute, by a class of just that name or by
+its style. A form outside a marked article may hold the whole page, so its blocks are judged by pass one.
+
+Nulls, empty pages and pages of boilerplate only give an empty text. Unclosed elements end with what holds them,
+unclosed comments and scripts with the page. Very long pages are read in one pass, in linear time. Repeated rows are extracted each.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,31 +43,46 @@ RAW = frozenset("script style template noscript textarea title svg math iframe o
 #: Those whose content runs to the page's end if they aren't closed.
 TO_END = frozenset("script style template textarea title".split())
 #: Elements that hold boilerplate.
-OUTSIDE = frozenset("nav footer aside form dialog menu button fieldset".split())
-#: Words in class, id or role that mark boilerplate.
-OUTSIDE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe subscription sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer "
-    "masthead comment comments reply replies respond disqus share sharing social related recommended widget widgets toolbar legal login "
-    "signup search pagination pager skip contentinfo complementary".split()
+OUTSIDE = frozenset("nav footer aside dialog menu button fieldset".split())
+#: Words of names that mark boilerplate anywhere, readers' and related items among them.
+STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promos promotion cookie cookies consent gdpr notice notices newsletter newsletters "
+    "subscribe subscription sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments reply replies disqus share sharing related recommended".split()
+)
+HARD_WORDS = frozenset("comment comments related recommended reply replies disqus sidebar sidebars".split())
+#: Words that mark boilerplate outside the article.
+WEAK_WORDS = frozenset(
+    "banner banners alert alerts popup modal overlay footer masthead respond social widget widgets toolbar legal login signup search pagination pager skip contentinfo complementary".split()
+)
+#: Words of place or kind, which names of boilerplate also hold.
+PLACE_WORDS = frozenset(
+    "site page main top bottom left right upper lower primary secondary global inner outer box bar area block section container wrapper wrap list items item group panel slot unit "
+    "text message form buttons button links link posts post articles stories thread body content header head title icons bar1 bar2 col column row".split()
 )
 #: Marks that stand for boilerplate only outside the article.
 PAGE_HEADER = frozenset(["header", "topbar"])
-LAYOUT_WORDS = frozenset("has with wrapper wrap container layout page site root app".split())
 MAIN_WORDS = frozenset(["article", "main"])
+_KNOWN = STRONG_WORDS | WEAK_WORDS | PLACE_WORDS | PAGE_HEADER | MAIN_WORDS
+#: Words of place that say something if they are the whole name.
+_ALONE = MAIN_WORDS | PAGE_HEADER
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OPENS_NOTHING = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li tr td th thead tbody tfoot pre address".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<(/?)([a-zA-Z][^\s/<>]*)[^<>]*>|<[!?/][^>]*>", re.S)
-_MARKS = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b|(display\s*:\s*none)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: Characters of scripts that write no spaces, and ends of sentences.
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+_END = re.compile(r"[.!?…]+(?=[\s\"'»”’)\]]|$)|[。！？।؟۔]")
 _WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    zone: str  # main, out or open
+    zone: str  # main, out, form or open
     link_chars: int
     heading: bool = False
 
@@ -72,14 +95,25 @@ class _Open:
     marks: frozenset = field(default_factory=frozenset)
 
 
-def _marks(attributes: str) -> set[str]:
+def _marks(attributes: str) -> tuple[set[str], bool, bool]:
+    """(whole names of boilerplate as their words, whether it is hidden, whether it is hidden from readers' aids)."""
     words: set[str] = set()
-    if "=" in attributes or "hidden" in attributes:
-        for _, value, hidden, none in _MARKS.findall(attributes):
-            if hidden or none:
-                words.add("hidden")
-            words.update(w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w)
-    return words
+    hidden = unread = False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            unread = value.lower() == "true"
+        elif name == "style":
+            hidden = hidden or bool(_UNSHOWN.search(value))
+        elif name in ("class", "id", "role"):
+            for whole in value.split():
+                parts = {w.lower() for w in _PIECES.findall(whole)}
+                hidden = hidden or name == "class" and parts == {"hidden"}
+                if parts and parts <= _KNOWN:
+                    words |= parts - PLACE_WORDS | (parts & _ALONE if len(parts) == 1 else set())
+    return words, hidden, unread
 
 
 def blocks(page: str) -> Iterator[Block]:
@@ -89,6 +123,8 @@ def blocks(page: str) -> Iterator[Block]:
     linked = 0
     in_link = heading = False
     at, size = 0, len(page)
+    unclosed: set[str] = set()
+    depth: Counter[str] = Counter()
 
     def flush() -> Iterator[Block]:
         nonlocal linked
@@ -119,7 +155,9 @@ def blocks(page: str) -> Iterator[Block]:
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if not end:
+                    unclosed.add(tag)
                 at = end.end() if end else size if tag in TO_END else at
             continue
         if tag == "a":
@@ -139,30 +177,35 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         heading = in_link = False
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
+            while depth[tag]:
+                done = stack.pop().tag
+                depth[done] -= 1
+                if done == tag:
                     break
             continue
         if attributes.endswith("/"):
             continue
         if tag == "body":
             stack[:] = [o for o in stack if o.tag != "head"]
+            depth["head"] = 0
         above = stack[-1]
-        marks = _marks(attributes) if tag not in ("html", "body") else set()
-        if marks & LAYOUT_WORDS:
-            marks = marks & {"hidden"}
+        marks, hidden, unread = _marks(attributes) if tag not in ("html", "body") else (set(), False, False)
         zone, hard = above.zone, above.hard
-        if tag == "head" or "hidden" in marks:
+        main = tag in MAIN_WORDS or bool(marks & MAIN_WORDS) and tag in ("div", "section")
+        outside = marks & STRONG_WORDS or zone != "main" and marks & WEAK_WORDS
+        if tag == "head" or hidden or unread and zone != "main":
             zone, hard = "out", tag != "head"
-        elif tag in OUTSIDE or marks & OUTSIDE_WORDS:
+        elif tag in OUTSIDE or outside and not (tag in MAIN_WORDS and not marks & HARD_WORDS):
             zone = "out"
-            hard = hard or tag in ("aside", "footer", "dialog") or bool(marks & {"comment", "comments", "related", "recommended", "reply", "replies", "disqus", "sidebar"})
-        elif tag in MAIN_WORDS or marks & MAIN_WORDS and tag in ("div", "section"):
+            hard = hard or tag in ("aside", "footer", "dialog") or bool(marks & HARD_WORDS)
+        elif main:
             zone = zone if hard else "main"
+        elif tag == "form" and zone != "out":
+            zone = "form"
         elif zone != "main" and (tag == "header" or marks & PAGE_HEADER):
             zone = "out"
         stack.append(_Open(tag, zone, hard))
+        depth[tag] += 1
     yield from flush()
 
 
@@ -174,20 +217,23 @@ def density(text: str) -> tuple[float, int]:
 def main_blocks(found: list[Block], short: int = 70, long: int = 200, links: float = 0.33, stops: float = 0.3) -> list[Block]:
     """Pass one and pass two over a page's blocks; what is text, in page order."""
     marked = any(b.zone == "main" for b in found)
+    judged = [] if marked else [i for i, b in enumerate(found) if b.zone != "out"]
+    shares = {i: density(found[i].text) for i in judged}
+    words = sum(n for _, n in shares.values())
+    listed = sum(share * n for share, n in shares.values()) >= stops / 3 * words
     labels: list[bool | None] = []
-    for b in found:
+    for i, b in enumerate(found):
         n = len(b.text)
-        if b.zone == "out" or marked and b.zone == "open":
+        if b.zone == "out" or marked and b.zone != "main":
             labels.append(False)
         elif b.zone == "main":
             labels.append(True if n >= short and not b.heading else None)
         elif b.link_chars > links * n:
             labels.append(False)
-        elif n < short or b.heading:
-            labels.append(None)
         else:
-            share, _ = density(b.text)
-            labels.append(True if share >= stops or n >= long and share >= stops / 2 else False if n < long and share < stops / 2 else None)
+            labels.append(_alone(b, shares[i][0], listed, short, long, stops))
+    if judged and True not in labels:
+        labels = [True if label is None and not b.heading and (len(b.text) >= short or _END.search(b.text)) else label for b, label in zip(found, labels, strict=True)]
     near = _nearest(found, labels)
     out = []
     for b, label, n in zip(found, labels, near, strict=True):
@@ -198,6 +244,19 @@ def main_blocks(found: list[Block], short: int = 70, long: int = 200, links: flo
     return out
 
 
+def _alone(b: Block, share: float, listed: bool, short: int, long: int, stops: float) -> bool | None:
+    """A block's label by its own length and density, stop words standing aside for ends of sentences where the language isn't listed."""
+    n = len(b.text) + 2 * len(_WIDE.findall(b.text))
+    if n < short or b.heading:
+        return None
+    ends = len(_END.findall(b.text))
+    if not listed:
+        return True if ends else None
+    if share >= stops or ends and share >= stops / 2 or n >= long and (share >= stops / 2 or ends > 1):
+        return True
+    return False if n < long and not ends else None
+
+
 def _nearest(found: list[Block], labels: list[bool | None]) -> list[list[tuple[int, bool]]]:
     """(distance, whether boilerplate) of each undecided block's decided neighbours of its section, one on either side; two linear passes."""
     near: list[list[tuple[int, bool]]] = [[] for _ in found]
@@ -227,7 +286,7 @@ def visible_text(page: str | None) -> str:
 def extract(df: DataFrame, *, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (default: all but the page) with main_text string, n_main_blocks and n_blocks int; one narrow pass."""
     new = ["main_text", "n_main_blocks", "n_blocks"]
-    keep = [c for c in (df.columns if keep is None else keep) if c != html_col and c not in new]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {html_col.lower(), *new}]
     page = unused(keep, "html")[0]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias(page))
 
