@@ -61,7 +61,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, text_col: str = "text
     public one, in which such a space begins a match; for another kind of pattern give a `cut` beyond the longest text.
     rank_file must be at the same path on every executor. One narrow pass; memory is bounded by one text and BATCH_BYTES."""
     new = ["n_tokens", "token_ids", *["decoded"] * decode]
-    keep = [c for c in (df.columns if keep is None else keep) if c != text_col and c not in new]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {text_col.lower(), *new}]
     text = unused(keep, "text")[0]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
 

@@ -243,7 +243,7 @@ def contamination(
     MOST_ENTRIES (130,000 different words to a group), but for a single item of more."""
     spark = df.sparkSession
     new = [item_col, "cosine", "lcs_share", "answer_found", "word"]
-    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c == id_col or c not in new]
+    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c == id_col or c.lower() not in new]
     text = unused([*keep, *new], "text")[0]
     size = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
     if size > MOST_BENCHMARK:

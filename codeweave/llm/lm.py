@@ -187,7 +187,7 @@ def score(
     spark = df.sparkSession
     tables = Tables(spark, "lm")
     new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c not in new]
+    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c.lower() not in new]
     text, known_, base_, own_, rest_, ids_, row_, more_, logs_ = unused([*keep, *new, "n", "word"], "text", "known", "base", "own", "rest", "ids", "row", "more", "logs")
     source = df.select(*[F.col(f"`{c}`") for c in keep], held_out(F.col(f"`{id_col}`")).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     counts = tables.put(count_words(source.where(~F.col("held_out")).select(text)), "counts")

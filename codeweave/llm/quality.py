@@ -112,7 +112,7 @@ def weigh(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     Two passes over the texts: the sampled labelled documents for the test, all documents for the raw model and the weights. The driver holds
     the hashes of most_labelled ids of either label and the telling n-grams, buckets at most in number."""
     tables = table or Tables(df.sparkSession, "quality")
-    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c not in ("log_weight", "n_telling")]
+    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c.lower() not in ("log_weight", "n_telling")]
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.xxhash64(id_col).alias("h")).agg((F.min(F.coalesce("quality", F.lit(0))) * (1 - F.max(F.coalesce("toxic", F.lit(0))))).cast("int").alias("good"))
     some = {g: np.sort(np.array([r[0] for r in marks.where(F.col("good") == g).select("h").orderBy(F.xxhash64("h")).limit(most_labelled).collect()], np.int64)) for g in (0, 1)}
     chosen = np.concatenate([some[0], some[1]])

@@ -66,7 +66,7 @@ def shard(df: DataFrame, n_shards: int, *, key: Column, size: Column, pieces_per
     The driver holds n_shards * pieces_per_shard * samples_per_piece sampled keys, about, and a few numbers for each piece,
     whatever the input's size. The rows are written once to the shared folder with their salt, then shuffled once, by piece."""
     spark, new = df.sparkSession, ["shard", "slot", "piece"]
-    kept = [c for c in df.columns if c not in new]
+    kept = [c for c in df.columns if c.lower() not in new]
     key_, size_, salt_, n_ = unused([*kept, *new], "key", "size", "salt", "n")
     rows = df.select(*[F.col(f"`{c}`") for c in kept], key.alias(key_), F.coalesce(size, F.lit(0)).cast("long").alias(size_), F.xxhash64(F.rand(seed), F.lit(seed)).alias(salt_))
     rows = Tables(spark, "shard").put(rows, "rows")

@@ -56,7 +56,7 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, words: int = 4) -> DataFrame:
     """Columns `keep` (default: all) with simhash long; one narrow pass."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != "simhash"]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "simhash"]
     text = unused(keep, "text")[0]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
 
@@ -213,7 +213,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Kept columns named like these are replaced.
 
     Texts are read once; afterwards only ids and fingerprints move. Copies are one fingerprint, however many they are."""
-    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c not in ("simhash", "component")]
+    keep = [c for c in dict.fromkeys([id_col] if keep is None else [id_col, *keep]) if c.lower() not in ("simhash", "component")]
     tables = Tables(df.sparkSession, "simhash")
     rows = tables.put(fingerprints(df, text_col=text_col, keep=keep, words=words), "rows")
     least = tables.put(rows.groupBy("simhash").agg(F.min(F.col(f"`{id_col}`")).alias("least")), "least")

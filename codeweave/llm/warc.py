@@ -11,9 +11,10 @@ responses give equal records. A declared payload digest that doesn't fit is kept
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,10 +34,72 @@ DERIVED = (
 )
 
 
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def digest_matches(declared: str | None, payload: bytes, decoded: bytes) -> bool | None:
+    """Whether a declared digest is that of the payload, as stored or without its transfer encoding, by its own algorithm in base 32 or hexadecimal; null if
+    the algorithm isn't known, true if nothing is declared."""
+    if declared is None:
+        return True
+    name, _, value = declared.strip().partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    for data in (payload, decoded):
+        made = hashlib.new(name, data).digest()
+        if value.strip().rstrip("=").lower() in (made.hex(), base64.b32encode(made).decode().rstrip("=").lower()):
+            return True
+    return False
+
+
+def _unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            return data
+        if not n:
+            break
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out)
+
+
+def inflated(data: bytes, kind: int = 47) -> bytes:
+    """What can be read of compressed members (kind: zlib's window bits), as far as they are whole or begun."""
+    out = []
+    while data:
+        z = zlib.decompressobj(kind)
+        try:
+            out.append(z.decompress(data))
+            out.append(z.flush())
+        except zlib.error:
+            break
+        if not z.eof or z.unused_data == data:
+            break
+        data = z.unused_data
+    return b"".join(out)
+
+
+def entity(headers: dict[str, str], payload: bytes) -> tuple[bytes, str]:
+    """(payload without its transfer encoding, its text): encodings and charset as the headers, or the page, declare them."""
+    plain = _unchunked(payload) if "chunked" in headers.get("transfer-encoding", "").lower() else payload
+    body, coding = plain, headers.get("content-encoding", "").lower()
+    if "gzip" in coding or "deflate" in coding:
+        body = inflated(plain) or inflated(plain, -15) or plain
+    found = _CHARSET.search(headers.get("content-type", "")) or _CHARSET.search(body[:2048].decode("latin-1"))
+    try:
+        return plain, body.decode(found[1] if found else "utf-8", "replace")
+    except LookupError:
+        return plain, body.decode("utf-8", "replace")
+
+
 def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, '|'.join(parts))}>"
 
@@ -56,11 +119,12 @@ def derive_one(rid: str | None, uri: str | None, date: str | None, http: str | N
     payload = payload or b""
     actual = digest(payload)
     rid = rid or record_id("response", uri or "", actual)
-    ok = declared is None or declared == actual
     status, *source = [x.strip() for x in (http or "").replace("\r\n", "\n").split("\n") if x.strip()] or [""]
-    text = visible_text(payload.decode("utf-8", "replace"))
+    plain, page = entity({n.strip().lower(): v.strip() for n, _, v in (h.partition(":") for h in source)}, payload)
+    ok = digest_matches(declared, payload, plain)
+    text = visible_text(page)
     ids = {k: record_id(k, rid) for k in ("metadata", "conversion")}
-    fields = [("http-status-line", status), *((f"source-{n.strip().lower()}", v) for n, _, v in (h.partition(":") for h in source)), ("source-payload-digest", declared or actual), ("payload-digest-check", "match" if ok else f"mismatch {actual}"), ("source-payload-length", str(len(payload))), ("text-length", str(len(text)))]
+    fields = [("http-status-line", status), *((f"source-{n.strip().lower()}", v) for n, _, v in (h.partition(":") for h in source)), ("source-payload-digest", declared or actual), ("payload-digest-check", "unknown algorithm" if ok is None else "match" if ok else f"mismatch {actual}"), ("source-payload-length", str(len(payload))), ("text-length", str(len(text)))]
     blocks = {"metadata": "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields if v.strip()), "conversion": text}
     out = []
     for kind, other in (("metadata", "conversion"), ("conversion", "metadata")):
@@ -75,9 +139,11 @@ def derive_one(rid: str | None, uri: str | None, date: str | None, http: str | N
 
 
 def derive(responses: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
-    """The derived records of responses (columns of RESPONSE; missing ones count as null), after columns `keep` (default: none). One narrow pass."""
-    keep = [c for c in keep or [] if c not in DERIVED.names]
+    """The derived records of responses (columns of RESPONSE; missing ones count as null; of a table with record_type, its responses), after columns `keep` (default: none). One narrow pass."""
+    keep = [c for c in keep or [] if c.lower() not in DERIVED.names]
     own = dict(zip(RESPONSE.names, unused(keep, *RESPONSE.names), strict=True))
+    if "record_type" in responses.columns:
+        responses = responses.where(F.coalesce(F.lower("record_type"), F.lit("response")) == "response")
     source = responses.select(*[F.col(f"`{c}`") for c in keep], *[(F.col(f"`{f.name}`") if f.name in responses.columns else F.lit(None)).cast(f.dataType).alias(own[f.name]) for f in RESPONSE])
     kept = T.StructType(source.schema.fields[: len(keep)])
 
@@ -113,7 +179,7 @@ def write_warc(derived: DataFrame, path: str, *, compression: str = "none") -> N
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record; gzip members are opened. A damaged tail ends the records."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = inflated(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
