@@ -122,6 +122,11 @@ def setting(grid: DataFrame, **keys) -> Row:
     return found[0]
 
 
+def setting_key(*columns: str) -> Column:
+    """A setting as one text, its values in order with a bar between (nulls: none): what results of one setting are named and matched by."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in columns])
+
+
 def unique_tags(tags: list[str]) -> list[str]:
     """The tags as they are; ValueError if two differ in case at most, since they name folders and columns."""
     lower = [t.lower() for t in tags]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Vectors of one side in a cell, and rows of one product.
+#: Vectors of one side in a cell (a pair of blocks), and rows of one product.
 CELL, STRIPE = 4096, 512
 
 
@@ -67,7 +67,7 @@ def _runs(key: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a]
 
 
-def cosine_pairs(sources: DataFrame, targets: DataFrame, models: dict[str, slice], *, cell: int = CELL, digits: int = 6) -> DataFrame:
+def cosine_pairs(sources: DataFrame, targets: DataFrame, models: dict[str, slice], *, block: int = CELL, digits: int = 6) -> DataFrame:
     """(source, target, a double column for each model): cosines of slices of (id, vec), rounded, of all pairs. Zero vectors have cosine 0."""
     names, cuts = list(models), list(models.values())
     schema = "source long, target long, " + ", ".join(f"`{m}` double" for m in names)
@@ -76,10 +76,10 @@ def cosine_pairs(sources: DataFrame, targets: DataFrame, models: dict[str, slice
         for si, ti, values in _products(batches, cuts, digits):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(si, len(ti))), pa.array(np.tile(ti, len(si))), *[pa.array(v.ravel()) for v in values]], names=["source", "target", *names])
 
-    return _cells(sources, targets, cell).mapInArrow(run, schema)
+    return _cells(sources, targets, block).mapInArrow(run, schema)
 
 
-def cosine_best(sources: DataFrame, targets: DataFrame, cut: slice, *, k: int = 0, threshold: float | None = None, side: str = "source", name: str = "sim", cell: int = CELL, digits: int = 6) -> DataFrame:
+def cosine_best(sources: DataFrame, targets: DataFrame, cut: slice, *, k: int = 0, threshold: float | None = None, side: str = "source", name: str = "sim", block: int = CELL, digits: int = 6) -> DataFrame:
     """(source, target, name, rank, best): the pairs that are among the k best of their source (or target: `side`), or reach threshold times its best cosine.
 
     A cell only lets through what is among its own best or reaches the threshold of its own largest cosine, so all pairs never leave the product; the
@@ -100,7 +100,7 @@ def cosine_best(sources: DataFrame, targets: DataFrame, cut: slice, *, k: int =
             yield pa.RecordBatch.from_arrays([pa.array(si[i]), pa.array(ti[j]), pa.array(v[i, j])], names=["source", "target", name])
 
     other = {"source": "target", "target": "source"}[side]
-    found = _cells(sources, targets, cell).mapInArrow(run, f"source long, target long, `{name}` double")
+    found = _cells(sources, targets, block).mapInArrow(run, f"source long, target long, `{name}` double")
     w = W.partitionBy(side)
     found = found.withColumns({"rank": F.row_number().over(w.orderBy(F.desc(name), other)), "best": F.max(name).over(w)})
     keep = F.col("rank") <= k

@@ -404,14 +404,27 @@ def label_collisions(d: Data) -> DataFrame:
     return groups.where("n > 1 and n_labels > 1")
 
 
-@query(f"""SELECT count(*) AS n_codes, count(*) FILTER (stripped = '') AS labels_emptied, CAST(sum(CAST(cs > 1 AS INTEGER)) - sum(CAST(cl > 1 AS INTEGER)) AS BIGINT) AS new_collisions, count(DISTINCT lab) AS unique_before, count(DISTINCT stripped) AS unique_after, CAST(2 AS INTEGER) AS clinical_words_removed FROM (
+@query(f"""SELECT count(*) AS n_codes, count(*) FILTER (stripped = '') AS labels_emptied, CAST(sum(CAST(cs > 1 AS INTEGER)) - sum(CAST(cl > 1 AS INTEGER)) AS BIGINT) AS new_collisions, count(DISTINCT lab) AS unique_before, count(DISTINCT stripped) AS unique_after, CAST(2 AS INTEGER) AS clinical_words_removed, CASE WHEN sum(CAST(cs > 1 AS INTEGER)) - sum(CAST(cl > 1 AS INTEGER)) > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM (
     SELECT *, count(*) OVER (PARTITION BY stripped) AS cs, count(*) OVER (PARTITION BY lab) AS cl FROM (SELECT lower(p_name) AS lab, trim(regexp_replace({"".join("regexp_replace(" for _ in _DROPPED)}lower(p_name){"".join(rf", '{chr(92)}b{w}{chr(92)}b', ' ', 'g')" for w in sorted(_DROPPED, key=lambda w: (-len(w), w)))}, '\\s+', ' ', 'g')) AS stripped FROM part) q) q""")
 def collision_check(d: Data) -> DataFrame:
     rows = d.labels.select(F.lower("label").alias("lab"), text.strip_fillers(F.col("label"), _DROPPED).alias("stripped"))
     many = lambda c: (F.count("*").over(W.partitionBy(c)) > 1).cast("int")
     rows = rows.withColumns({"cs": many("stripped"), "cl": many("lab")})
     removed = F.size(F.array_intersect(F.array(*map(F.lit, text.CLINICAL)), F.array(*map(F.lit, _DROPPED))))
-    return rows.agg(F.count("*").alias("n_codes"), F.count_if(F.col("stripped") == "").alias("labels_emptied"), (F.sum("cs") - F.sum("cl")).alias("new_collisions"), F.countDistinct("lab").alias("unique_before"), F.countDistinct("stripped").alias("unique_after")).withColumn("clinical_words_removed", removed)
+    return rows.agg(F.count("*").alias("n_codes"), F.count_if(F.col("stripped") == "").alias("labels_emptied"), (F.sum("cs") - F.sum("cl")).alias("new_collisions"), F.countDistinct("lab").alias("unique_before"), F.countDistinct("stripped").alias("unique_after")).withColumns({"clinical_words_removed": removed, "outcome": F.when(F.col("new_collisions") > 0, "FAIL").otherwise("PASS")})
+
+
+@query(f"""SELECT s AS removed, CAST(sum(CAST(cs > 1 AS INTEGER)) - sum(CAST(cl > 1 AS INTEGER)) AS BIGINT) AS new_collisions, CASE WHEN sum(CAST(cs > 1 AS INTEGER)) - sum(CAST(cl > 1 AS INTEGER)) > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM (
+    SELECT *, count(*) OVER (PARTITION BY s, stripped) AS cs, count(*) OVER (PARTITION BY s, lab) AS cl FROM (SELECT s, lower(p_name) AS lab, trim(regexp_replace(regexp_replace(lower(p_name), '\\b' || s || '\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS stripped FROM part, (VALUES {", ".join(f"('{w}')" for w in ("azure", "zzz", "small"))}) v(s)) q) q GROUP BY s""")
+def collision_outcomes(d: Data) -> DataFrame:
+    """Whether a list of one word merges codes: some lists pass, some fail."""
+    out = None
+    many = lambda c: (F.count("*").over(W.partitionBy(c)) > 1).cast("int")
+    for word in ("azure", "zzz", "small"):
+        rows = d.labels.select(F.lower("label").alias("lab"), text.strip_fillers(F.col("label"), [word]).alias("stripped")).withColumns({"cs": many("stripped"), "cl": many("lab")})
+        part = rows.agg((F.sum("cs") - F.sum("cl")).alias("new_collisions")).select(F.lit(word).alias("removed"), "new_collisions", F.when(F.col("new_collisions") > 0, "FAIL").otherwise("PASS").alias("outcome"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _IDF = f""", labs AS (SELECT DISTINCT label FROM (SELECT p_name AS label FROM part UNION ALL SELECT text FROM benchmark) q), tok AS (SELECT unnest({_TOKENS.format('label')}) AS token FROM labs),
@@ -672,10 +685,10 @@ def _chosen(d: Data) -> DataFrame:
     return sweep.choose_by_fold(parts[0].unionByName(parts[1]), ["model", "threshold", "top_n", "rule"])
 
 
-@query(f"{_CHOSEN} {_exact('fc', 'model, threshold, CAST(top_n AS INTEGER) AS top_n, CAST(rule AS INTEGER) AS rule, fold, train_f1')}")
+@query(f"{_CHOSEN} {_exact('fc', 'model, threshold, CAST(top_n AS INTEGER) AS top_n, CAST(rule AS INTEGER) AS rule, fold, train_f1') .replace('SELECT model', '''SELECT model || '|' || threshold || '|' || top_n || '|' || rule AS setting, model''', 1)}")
 def grid_cv_folds(d: Data) -> DataFrame:
     """The baseline under the rerankers' cross-validation: 112 settings of two models, chosen on the other folds."""
-    return _chosen(d)
+    return _chosen(d).withColumn("setting", sweep.setting_key("model", "threshold", "top_n", "rule"))
 
 
 @query(f"{_CHOSEN}, fp AS (SELECT CAST(count(*) AS BIGINT) AS folds, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_emitted) AS BIGINT) AS n_emitted, CAST(sum(n_true) AS BIGINT) AS n_true FROM fc) {_exact('fp', 'folds')}")
@@ -697,8 +710,8 @@ def grid_best_sensitivity(d: Data) -> DataFrame:
 def grid_setting_lookup(d: Data) -> DataFrame:
     """One model's best setting, looked up and applied to all models."""
     grids = _grids(d)
-    row = sweep.setting(sweep.best(grids, ["model"]), model="b")
-    return grids.where((F.col("threshold") == row["threshold"]) & (F.col("top_n") == row["top_n"]) & (F.col("rule") == row["rule"])).select("model", "threshold", "top_n", "rule", "f1")
+    one = sweep.best(grids.where("model = 'b'"), ["model"]).select("threshold", "top_n", "rule")
+    return grids.join(F.broadcast(one), ["threshold", "top_n", "rule"]).select("model", "threshold", "top_n", "rule", "f1")
 
 
 @query(f"{_STUDY} SELECT * EXCLUDE rn FROM (SELECT mode, chapter, parameter, top_n, n_emitted, tp, round({_REC}, 6) AS recall, row_number() OVER (PARTITION BY mode, chapter ORDER BY round({_REC}, 6) DESC, parameter, top_n) AS rn FROM st) q WHERE rn = 1")
@@ -756,11 +769,18 @@ def compact_metrics(d: Data) -> DataFrame:
     return wide.select("arm", "ccs_id", *metrics.compact(list(blocks), ["first", "second", "third", "fourth"]))
 
 
-@query("SELECT source, target, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS INTEGER) AS lex_idf_rank FROM scored")
+@query(f"""{_IDF.replace("SELECT p_name AS label FROM part UNION ALL SELECT text FROM benchmark", "SELECT p_name AS label FROM part")}, lb AS (SELECT p_partkey - 1 AS code, p_name AS label FROM part), pr AS (SELECT s.source, s.target, a.label AS la, b.label AS lb FROM scored s LEFT JOIN lb a ON a.code = s.source LEFT JOIN lb b ON b.code = s.target),
+    pt AS (SELECT *, {_TOKENS.format('la')} AS ta, {_TOKENS.format('lb')} AS tb FROM pr WHERE la IS NOT NULL AND lb IS NOT NULL), pu AS (SELECT source, target, ta, tb, unnest(list_distinct(list_concat(ta, tb))) AS token FROM pt),
+    pw AS (SELECT source, target, coalesce(sum(w) FILTER (list_contains(ta, token) AND list_contains(tb, token)) / nullif(sum(w), 0), 0) AS x FROM pu JOIN idf USING (token) GROUP BY 1, 2)
+    SELECT pr.source, pr.target, round(coalesce(x, 0), 6) AS lex_idf_overlap, CAST(row_number() OVER (PARTITION BY pr.source ORDER BY round(coalesce(x, 0), 6) DESC, pr.target) AS INTEGER) AS lex_idf_rank FROM pr LEFT JOIN pw ON pr.source = pw.source AND pr.target = pw.target""")
 def lexical_rank(d: Data) -> DataFrame:
-    """The rank of a source's candidates by a text score; the fixed score stands for it."""
-    rows = d.scored.select("source", "target", F.col("score").alias("lex_idf_overlap"), F.col("score").alias("ens_mean_rel"), F.col("score").alias("ens_rrf"))
-    return features.context(rows).select("source", "target", "lex_idf_rank")
+    """The rank of a source's candidates by the weight of the words that their labels share."""
+    label = lambda side: d.labels.select((F.col("code") - 1).alias(side), F.col("label").alias(f"{side}_label"))
+    rows = d.scored.select("source", "target", "score").join(label("source"), "source", "left").join(label("target"), "target", "left")
+    lexical = features.lexical(rows.where("source_label is not null and target_label is not null"), features.token_idf(d.labels.select("label"))).select("source_label", "target_label", "lex_idf_overlap")
+    rows = rows.join(lexical, ["source_label", "target_label"], "left").withColumn("lex_idf_overlap", F.round(F.coalesce("lex_idf_overlap", F.lit(0.0)), 6))
+    out = features.context(rows.withColumns({"ens_mean_rel": F.col("score"), "ens_rrf": F.col("score")}))
+    return out.select("source", "target", "lex_idf_overlap", "lex_idf_rank")
 
 
 # --- learning ------------------------------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from codeweave.functions import metrics
 from codeweave.operators import evaluate, features, rerank, retrieve, rules, sweep, triage
-from codeweave.operators.vectors import cosine_pairs
+from codeweave.operators.vectors import cosine_best, cosine_pairs
 from codeweave.sources import files
 
 
@@ -135,6 +135,25 @@ def test_cosine_blocks_agree_with_plain(spark):
         assert abs(v - p @ q / np.linalg.norm(p) / np.linalg.norm(q)) < 1e-6
 
 
+def test_best_cosines_equal_those_of_all_pairs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(-2, 3, (60, 3)).astype(np.float32)  # many ties, zero vectors, negative bests
+    s = spark.createDataFrame([(2 * i, x[i].tolist()) for i in range(30)] + [(None, [1.0, 1.0, 1.0]), (1000, None)], "id long, vec array<float>")
+    t = spark.createDataFrame([(2 * i + 1, x[30 + i].tolist()) for i in range(30)], "id long, vec array<float>")
+    every = [tuple(r) for r in cosine_pairs(s, t, {"m": slice(0, 3)}, block=7).collect()]
+    assert len(every) == 900
+    for side, at, other in (("source", 0, 1), ("target", 1, 0)):
+        for k, threshold in ((0, 0.9), (3, None), (2, 0.5), (40, None)):
+            want = set()
+            for code in {p[at] for p in every}:
+                mine = sorted((p for p in every if p[at] == code), key=lambda p: (-p[2], p[other]))
+                want |= {p for i, p in enumerate(mine) if i < k or threshold is not None and p[2] >= threshold * mine[0][2]}
+            got = cosine_best(s, t, slice(0, 3), k=k, threshold=threshold, side=side, block=7)
+            assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+            assert {(r.source, r.target, r.sim) for r in got.collect()} == want
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("m", "a", "x", 0.5)], files.SIMILARITY)
     files.write_csv(df, str(tmp_path / "s.csv"))
@@ -186,3 +205,43 @@ def test_compacted_values_keep_their_order(spark):
 def test_slope_of_the_last_points(spark):
     points = spark.createDataFrame([(float(x), 100.0 if x < 4 else 2.0 * x) for x in range(1, 7)], "x double, y double")
     assert tuple(triage.last_slope(points, "x", "y").first()) == (3, 2.0)
+
+
+def test_settings_have_one_name_each(spark):
+    df = spark.createDataFrame([("a", 0.95, 10, None)], "m string, t double, n int, r int")
+    assert df.select(sweep.setting_key("m", "t", "n", "r")).first()[0] == "a|0.95|10|none"
+
+
+def test_grids_by_first_entry_equal_a_loop(spark):
+    import random
+
+    from codeweave.operators import rules
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    sims = [(s, t, round(rng.random(), 2)) for s in range(12) for t in range(10) if rng.random() < 0.7]
+    cooc = [(s, t, rng.randrange(1, 5)) for s in range(12) for t in range(10) if rng.random() < 0.5]
+    truth = [(s, rng.randrange(10)) for s in range(12)]
+    frame = lambda rows, last: spark.createDataFrame(rows, f"source long, target long{last}").repartition(3)
+    chapters, align = (F.col("source") % 3 + 1, F.col("target") % 3 + 1), {1: [1, 2], 2: [2], 3: [3]}
+    excluded = spark.createDataFrame([(4,)], "source long")
+    thresholds, tops = [0.9, 0.5, 0.7], [1, 3, 5]
+    s, c, t = frame(sims, ", sim double"), frame(cooc, ", freq long"), frame(truth, "")
+    got = {(r.threshold, r.top_n, r.rule): (r.tp, r.fp, r.fn) for r in sweep.rule_grid(s, c, t, excluded, chapters, align, thresholds, tops).collect()}
+    known = {p for p in truth if p[0] != 4}
+    assert len(got) == 36
+    for thr in thresholds:
+        for n in tops:
+            near = lambda a, b: (b % 3 + 1) in align[a % 3 + 1]
+            best = {a: max(x[2] for x in sims if x[0] == a) for a in {x[0] for x in sims}}
+            in_sim = {(a, b): v for a, b, v in sims if v >= thr * best[a] and near(a, b)}
+            in_cooc = {}
+            for a in range(12):
+                first = sorted((x for x in cooc if x[0] == a), key=lambda x: (-x[2], x[1]))[:n]
+                in_cooc |= {(a, b): v for _, b, v in first if near(a, b)}
+            top_sim = {p for p, v in in_sim.items() if v == max(x for q, x in in_sim.items() if q[0] == p[0])}
+            top_cooc = {p for p, v in in_cooc.items() if v == max(x for q, x in in_cooc.items() if q[0] == p[0])}
+            flags = {"top_sim": top_sim, "top_cooc": top_cooc, "in_both": in_sim.keys() & in_cooc.keys()}
+            for rule, names in rules.RULES.items():
+                out = {p for name in names for p in flags[name] if p[0] != 4}
+                assert got[thr, n, rule] == (len(out & known), len(out - known), len(known - out))
