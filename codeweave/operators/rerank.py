@@ -29,7 +29,7 @@ def folds(codes: DataFrame, k: int, *, seed: int = SEED, column: str = "source")
 
 def category_folds(codes: DataFrame, k: int, *, category: str = "ccs_id", seed: int = SEED) -> DataFrame:
     """(category, fold): whole categories, largest first into the lightest fold. Only the counts of categories are collected; ties go by a seeded hash."""
-    counts = codes.groupBy(category).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.xxhash64(category, F.lit(seed)), category).collect()
+    counts = codes.groupBy(category).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.md5(F.concat(F.col(category).cast("string"), F.lit(f":{seed}"))), category).collect()
     load, out = [0] * k, []
     for row in counts:
         i = load.index(min(load))

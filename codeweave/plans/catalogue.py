@@ -30,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: f(Data(spark, sf_dir))
         if sql:
-            ORACLES[key] = f"WITH {BASE}{sql.strip()}" if sql.strip().startswith(",") else f"WITH {BASE} {sql.strip()}"
+            ORACLES[key] = f"WITH RECURSIVE {BASE}{sql.strip()}" if sql.strip().startswith(",") else f"WITH {BASE} {sql.strip()}"
         return f
 
     return add
@@ -793,7 +793,10 @@ GROUPS = {"mutual": lambda f: f.startswith(_MUTUAL), "lexical": lambda f: f.star
 _SETTING_COLUMNS = ["k", "n", "chapter", "tau", "rho", "inner_f1", "tp", "n_emitted", "n_true", "precision", "recall", "f1", "accuracy"]
 
 
-@query()
+@query(""", ct AS (SELECT ccs_id, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(ccs_id || ':20260819'), ccs_id) AS i FROM ccs GROUP BY ccs_id),
+    gf AS (SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT), 0, 0] AS load, CAST(NULL AS BIGINT) AS ccs_id, CAST(NULL AS INTEGER) AS fold UNION ALL
+      SELECT ct.i, list_transform(load, lambda x, j: CASE WHEN j = list_position(load, list_min(load)) THEN x + n ELSE x END), ct.ccs_id, CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM gf JOIN ct ON ct.i = gf.i + 1)
+    SELECT ccs_id, fold FROM gf WHERE i > 0""")
 def greedy_folds(d: Data) -> DataFrame:
     return rerank.category_folds(d.sources, 3)
 
