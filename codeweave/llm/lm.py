@@ -121,11 +121,11 @@ def rounds_of(ids: DataFrame, n_rounds: int, n_shards: int, long: int = 4096) ->
     return [dealt.where(F.col("turn") == turn).drop("turn") for turn in range(n_rounds)]
 
 
-def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...], shard_tokens: int, updates: int) -> Gru:
-    """The model after one run over all documents of ids (id, ids binary: units of 16 bits)."""
+def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...], shard_tokens: int, updates: int, most_shards: int, fan_in: int = 64) -> Gru:
+    """The model after one run over all documents of ids (id, ids binary: units of 16 bits). Shards' weights are summed in a tree of `fan_in` at a time."""
     spark = ids.sparkSession
     each = n_tokens / len(rates)
-    shards = max(1, round(each / shard_tokens))
+    shards = min(most_shards, max(1, round(each / shard_tokens)))
     lanes = int(min(192, max(4, each / shards / updates / 16)))
     for part, rate in zip(rounds_of(ids, len(rates), shards), rates, strict=True):
         start = spark.sparkContext.broadcast((model, model.flat()))
@@ -151,23 +151,30 @@ def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...],
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, sums = None, None
+            done = lambda: pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([sums.tobytes()], pa.binary())], names=["slice", "shard", "part"])
             for batch in batches:
-                for i, part in zip(batch.column("slice").to_pylist(), batch.column("part"), strict=True):
+                for i, group, part in zip(batch.column("slice").to_pylist(), batch.column("group").to_pylist(), batch.column("part"), strict=True):
                     more = np.frombuffer(part.as_buffer())
-                    if i == held:
+                    if (i, group) == held:
                         sums = sums + more
                         continue
                     if held is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([sums.tobytes()], pa.binary())], names=["slice", "part"])
-                    held, sums = i, more.copy()
+                        yield done()
+                    held, sums = (i, group), more.copy()
             if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([sums.tobytes()], pa.binary())], names=["slice", "part"])
+                yield done()
 
         made = part.repartitionById(shards, "shard").sortWithinPartitions("shard", "place").mapInArrow(run, "slice long, shard long, part binary")
-        summed = made.repartition(_SLICES, "slice").sortWithinPartitions("slice", "shard").mapInArrow(add, "slice long, part binary").collect()
+        left = shards
+        while True:
+            left = -(-left // fan_in)
+            made = made.withColumn("group", F.floor(F.col("shard") / fan_in)).repartition(min(_SLICES * left, 4096), "slice", "group").sortWithinPartitions("slice", "group", "shard").mapInArrow(add, "slice long, shard long, part binary")
+            if left == 1:
+                break
+        summed = made.collect()
         if summed:
             flat = model.flat()
-            for i, x in summed:
+            for i, _, x in summed:
                 x = np.frombuffer(x)
                 flat[i::_SLICES] = x[:-1] / x[-1]
             model.load(flat)
@@ -177,13 +184,13 @@ def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...],
 
 def score(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, table: int = 1 << 18, singles: int = 256, hidden: int = 20,
-    rates: tuple[float, ...] = (0.015, 0.01, 0.005, 0.002), shard_tokens: int = 1 << 20, updates: int = 200,
+    rates: tuple[float, ...] = (0.015, 0.01, 0.005, 0.002), shard_tokens: int = 1 << 20, updates: int = 200, most_shards: int = 1 << 14,
 ) -> DataFrame:
     """Columns `keep` (default: the id) with held_out boolean, n_tokens, n_known, train_tokens long, base_score and score double (log10).
     Kept columns named like these are replaced.
 
     Two passes over the texts, counting and coding; then one over the training documents' codes for learning, in rounds, and one over all for scoring. The driver
-    holds `table` words and the network; small tables have fewer streams, for `updates` steps a shard."""
+    holds `table` words and the network; small tables have fewer streams, for `updates` steps a shard, and beyond `most_shards` shards they grow longer instead of more."""
     spark = df.sparkSession
     tables = Tables(spark, "lm")
     new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -248,7 +255,7 @@ def score(
     coded = source.mapInArrow(code, schema.add(rest_, T.ArrayType(T.BinaryType()))).withColumn(row_, F.monotonically_increasing_id())
     coded = tables.put(coded, "coded")  # from here on the row numbers are fixed
     training = coded.where(~F.col("held_out")).select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(ids_).alias("ids"))
-    model = _train(training, Gru(n_single, ENDINGS, hidden, end, held[:, 0]), n_all, rates, shard_tokens, updates)
+    model = _train(training, Gru(n_single, ENDINGS, hidden, end, held[:, 0]), n_all, rates, shard_tokens, updates, most_shards)
     net_ = spark.sparkContext.broadcast(model)
     passed = [*keep, "held_out", "n_tokens", known_, base_, own_, row_]
 

@@ -4,7 +4,8 @@ A document is parsed into dictionary phrases: each is the shortest piece that is
 the dictionary yet, and joins it. The set of phrases, hashed, is sketched by minimum
 hashes; the share of equal minima estimates the likeness of two sets, which follows
 that of compression. Nulls count as empty texts; a text without phrases has the
-all-ones sketch and likeness 1 to another such one. Equal texts have equal sketches.
+all-ones sketch and likeness 1 to another such one. Equal texts have equal sketches. Very long texts are
+parsed whole, a text at a time.
 """
 
 from __future__ import annotations
@@ -142,8 +143,10 @@ def compare_neighbours(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     The edited version has its last third replaced by as many code points (or all) of the next document. Documents are dealt by
     ranges of ids; the first of each range is also lent to the range before, so no window spans the table and texts move once.
-    The driver learns one id for each range. Rows with equal ids follow by the hash of the text."""
+    The driver learns one id for each range. Rows with equal ids follow by the hash of the text. Ids are whole numbers, else TypeError."""
     ident = df.schema[id_col].dataType
+    if not isinstance(ident, T.IntegralType):
+        raise TypeError(f"{id_col} must be of whole numbers, not {ident.simpleString()}")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = T.StructType().add(id_col, ident).add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
     parts = tasks_for(df)

@@ -4,8 +4,9 @@ Size-weighted key samples give quantile boundaries; records are range-partitione
 into pieces of near-equal bytes, overfull pieces are subdivided by samples of their
 own, and pieces go to shards longest first. Equal keys are told apart by a salt, so a hot key
 is cut like any other range. Null keys come first, null sizes count as 0, an empty
-table gives an empty table; repeated rows are rows of their own. Columns named like
-the new ones are replaced.
+table gives an empty table; repeated rows are rows of their own; equal sizes need no order, since
+keys and salts give one. A row larger than a piece's share is a piece alone, or with its small neighbours; texts
+of any length are only measured. Columns named like the new ones are replaced, in whatever case.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the lower bound, then verified exactly. Cells of many fingerprints are joined th
 so links are found without listing all pairs; only links that connect something are kept.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. Repeated
-rows keep their rows. An empty table gives an empty table.
+rows keep their rows. An empty table gives an empty table. Very long texts are read whole; what
+moves afterwards doesn't depend on their length.
 """
 
 from __future__ import annotations

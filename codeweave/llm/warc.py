@@ -5,7 +5,7 @@ status, source headers, digests) and `conversion` (text/plain: the shown text).
 refer to the response by WARC-Refers-To and to each other by WARC-Concurrent-To; ids
 are name-based, so a recomputed partition gives the same ones. Null payloads give empty blocks, null
 addresses no address header, responses without id get one from their content; equal
-responses give equal records. A declared payload digest that doesn't fit is kept and marked.
+responses give equal records. Very long payloads are one record each, in the memory of one task. A declared payload digest that doesn't fit is kept and marked.
 """
 
 from __future__ import annotations

@@ -86,3 +86,18 @@ def test_every_training_document_is_learnt_from(spark):
     parts = [p.collect() for p in lm.rounds_of(ids, 4, 3)]
     assert sorted(bytes(r["ids"]) for p in parts for r in p) == sorted(bytes(r[0]) for r in ids.select("ids").collect())
     assert all({r["shard"] for r in p} == {0, 1, 2} for p in parts)
+
+
+def test_shards_are_summed_in_a_tree(spark):
+    import numpy as np
+    from codeweave.llm import lm
+    from codeweave.llm.gru import Gru
+
+    rng = np.random.default_rng(1)
+    rows = [(str(i), rng.integers(0, 12, 40).astype(np.uint16).tobytes()) for i in range(60)]
+    ids = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id string, ids binary").repartition(3)
+    fitted = []
+    for fan_in, most in ((64, 1 << 14), (2, 1 << 14), (3, 4)):
+        model = Gru(8, lm.ENDINGS, 6, 0, np.full(8 + lm.ENDINGS, 1 / (8 + lm.ENDINGS)))
+        fitted.append(lm._train(ids, model, 2400, (0.01, 0.005), 120, 20, most, fan_in).flat())
+    assert np.allclose(fitted[0], fitted[1], atol=1e-9) and np.isfinite(fitted[2]).all() and not np.allclose(fitted[0], fitted[2])
