@@ -13,6 +13,7 @@ from ..functions import metrics, text
 from ..operators import evaluate, features, nested, rerank, retrieve, rules, sweep, triage
 from ..operators.boost import Boost, Fit, fit_all
 from ..operators.vectors import unpivot
+from ..sources import files, workbook
 from . import standins
 from .standins import ALIGN, K, THRESHOLD, TOP_N, Data, chapters, code_chapter
 
@@ -783,6 +784,55 @@ def lexical_rank(d: Data) -> DataFrame:
     return out.select("source", "target", "lex_idf_overlap", "lex_idf_rank")
 
 
+# --- sources and sinks ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'counts' AS model, c_mktsegment AS source, n_name AS target, CAST(count(*) AS DOUBLE) AS sim FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def workbook_similarities(d: Data) -> DataFrame:
+    """Wide sheets, one for each region, written as a workbook and read as long pairs."""
+    rows = d.table("customer").join(F.broadcast(d.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(d.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    wide = rows.groupBy("r_name", F.col("n_name").alias("target")).pivot("c_mktsegment").count()
+    path = files.shared_folder(d.spark, "workbook")
+    workbook.write_workbook(wide, path, "r_name", order=["target"])
+    return workbook.read_similarities(d.spark, path, "counts")
+
+
+@query("SELECT r_name AS sheet, count(*) AS nations, min(n_name) AS first, max(n_name) AS last FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY r_name")
+def workbook_sheets(d: Data) -> DataFrame:
+    """Two sheets of a workbook; the others stay unread."""
+    path = files.shared_folder(d.spark, "workbook")
+    workbook.write_workbook(d.table("nation").join(F.broadcast(d.table("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey"), path, "r_name", order=["n_name"], one_file=False)
+    return workbook.read_workbook(d.spark, path).where("sheet in ('ASIA', 'EUROPE')").groupBy("sheet").agg(F.count("*").alias("nations"), F.min("n_name").alias("first"), F.max("n_name").alias("last"))
+
+
+@query("SELECT source, target, freq FROM cooc")
+def stored_pairs(d: Data) -> DataFrame:
+    """Counted pairs, computed once and then loaded as long as their input stays the same."""
+    path = files.shared_folder(d.spark, "stored")
+    for _ in range(2):
+        out = files.cached(d.spark, path, lambda: d.cooc, inputs=[f"{d.dir}/lineitem.parquet"])
+    return out
+
+
+@query("SELECT p_partkey AS code, lower(p_name) AS label FROM part")
+def checked_labels(d: Data) -> DataFrame:
+    """Labels written under a check of the same pass: none may be empty."""
+    path = files.shared_folder(d.spark, "checked")
+    files.write_checked(d.labels.withColumn("label", F.lower("label")), path, {"n": F.count("*"), "emptied": F.count_if(F.col("label") == "")}, {"no label emptied": lambda m: m["emptied"] == 0})
+    return d.spark.read.parquet(path)
+
+
+@query("SELECT CAST(source % 4 AS INTEGER) AS track, source, target, freq FROM cooc")
+def tracks_merged(d: Data) -> DataFrame:
+    """CSV files by track, each with its name, read together again."""
+    path = files.shared_folder(d.spark, "tracks")
+    sweep.unique_tags([f"track{i}" for i in range(4)])
+    for i in range(4):
+        files.write_csv(d.cooc.where(F.col("source") % 4 == i), f"{path}/track{i}", one_file=False)
+    parts = files.read_many(d.spark, f"{path}/track*/part-*", "source long, target long, freq long", level=1)
+    return parts.select(F.regexp_extract("file", r"(\d+)$", 1).cast("int").alias("track"), "source", "target", "freq")
+
+
 # --- learning ------------------------------------------------------------------------------------------------------------------
 
 #: A fixed decision of retrieval, tau and rho, where a study doesn't choose.

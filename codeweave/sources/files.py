@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +22,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the one that spark.checkpoint.dir names; below a temporary one only where that is unset and the master is local."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    base = known.get() if known.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None, *, required: bool = True) -> DataFrame | None:
     """CSV (with header), JSON lines or Parquet by the name's ending (a folder or pattern is Parquet unless it says otherwise); None if it may be missing and is."""
     if not required and not exists(spark, path):
@@ -32,9 +45,10 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, *, req
     return reader.json(path) if kind in ("json", "jsonl") else reader.parquet(path)
 
 
-def read_many(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All CSV files of a pattern with their file name, which keeps the order that ties go by."""
-    return spark.read.schema(schema).csv(pattern, header=True).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+def read_many(spark: SparkSession, pattern: str, schema: str, *, level: int = 0) -> DataFrame:
+    """All CSV files of a pattern with the name of their file (or, at `level`, of a folder so far above) as column file, by which ties may go."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1 - level)
+    return spark.read.schema(schema).csv(pattern, header=True).withColumn("file", name)
 
 
 def read_wide(spark: SparkSession, path: str, model: str, target: str = "target") -> DataFrame:
@@ -49,6 +63,15 @@ def read_words(spark: SparkSession, path: str) -> list[str]:
     return found["filler_words"] if isinstance(found, dict) else found
 
 
+def report(df: DataFrame, rows: int = 50, digits: int = 3) -> str:
+    """The first rows as a text table with bars, for a report: numbers rounded, nulls empty. Only these rows reach the driver."""
+    shown = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    lines = [df.columns, *[[shown(v) for v in r] for r in df.limit(rows).collect()]]
+    widths = [max(len(line[i]) for line in lines) for i in range(len(df.columns))]
+    text = ["| " + " | ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)) + " |" for line in lines]
+    return "\n".join([text[0], "|" + "|".join("-" * (w + 2) for w in widths) + "|", *text[1:]])
+
+
 def write_csv(df: DataFrame, path: str, *, one_file: bool = True) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
 

@@ -88,7 +88,7 @@ class Workbook(DataSource):
         return "workbook"
 
     def _paths(self) -> list[str]:
-        return [p.removeprefix("file://") for p in self.options["path"].split(",")]
+        return [re.sub(r"^file:(//)?(?=/)", "", p) for p in self.options["path"].split(",")]
 
     def schema(self) -> StructType:
         """Texts: the sheet's name and the columns of all headers in the order they are first met; the headers only are read."""

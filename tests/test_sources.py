@@ -109,3 +109,8 @@ def test_a_write_that_fails_its_checks_takes_no_place(spark, tmp_path):
         files.write_checked(good.unionByName(spark.createDataFrame([("",)], "label string")), path, metrics, checks)
     assert failed.value.failed == ["no label emptied"] and failed.value.metrics["n"] == 3
     assert spark.read.parquet(path).count() == 2
+
+
+def test_reports_are_text_tables(spark):
+    df = spark.createDataFrame([("a", 0.12345, 3), (None, None, 10)], "name string, f1 double, n int")
+    assert files.report(df).splitlines() == ["| name | f1    | n  |", "|------|-------|----|", "| a    | 0.123 | 3  |", "|      |       | 10 |"]
