@@ -230,10 +230,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """One row of each component, all columns as they are: the row of the smallest id (of the smallest text hash, if ids repeat;
-    of repeated rows one). With `similarity`, texts are linked by the Jaccard similarity of their shingles in place of their fingerprints: at 0.8,
-    fingerprints differ in up to 16 of 64 bits and more, which leaves a grid join keys of a few bits, so `shingles` has candidates of its own."""
+    of repeated rows one). With `similarity`, texts are linked by the Jaccard similarity of their shingles: the fingerprints' links are the first candidates,
+    held against the whole sets. At 0.8, fingerprints differ in up to 16 of 64 bits and more, which leaves a grid join keys of a few bits, so `shingles` has candidates of its own beside them."""
     if similarity is not None:
-        return shingles.keep_first(df, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+        return shingles.keep_first(df, id_col=id_col, text_col=text_col, words=words, similarity=similarity, fingerprint=fingerprint, near=lambda prints: links(prints, distance=distance))
     mark, own, of = unused(df.columns, "hash", "id", "of")
     hashed = df.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     found = near_duplicates(hashed, id_col=id_col, text_col=text_col, keep=[mark], words=words, distance=distance)

@@ -101,3 +101,42 @@ def test_shards_are_summed_in_a_tree(spark):
         model = Gru(8, lm.ENDINGS, 6, 0, np.full(8 + lm.ENDINGS, 1 / (8 + lm.ENDINGS)))
         fitted.append(lm._train(ids, model, 2400, (0.01, 0.005), 120, 20, most, fan_in).flat())
     assert np.allclose(fitted[0], fitted[1], atol=1e-9) and np.isfinite(fitted[2]).all() and not np.allclose(fitted[0], fitted[2])
+
+
+def plain_kept(texts):
+    sets, up = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and up[i] != up[j]:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    return set(up)
+
+
+def test_near_pairs_come_from_fingerprints_first_and_count_in_few_of_their_cells(spark, monkeypatch):
+    from codeweave.llm import shingles, simhash
+
+    draw, words = random.Random(3), [f"w{i}" for i in range(4000)]
+    base, texts = draw.choices(words, k=150), []
+    for _ in range(60):  # about 0.7 alike, so that most pairs are looked at and few are links
+        text = list(base)
+        for at in draw.sample(range(150), 3):
+            text[at] = draw.choice(words)
+        texts.append(" ".join(text))
+    texts += [f"{t} end" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, made = [], []
+    links, candidates = simhash.links, shingles._candidates
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: asked.append(links(*a, **k)) or asked[-1])
+
+    def counted(now, similarity, stars):
+        out = candidates(now, similarity, stars)
+        if not stars:
+            made.append((out.count(), out.selectExpr("least(digest, d)", "greatest(digest, d)").distinct().count()))
+        return out
+
+    monkeypatch.setattr(shingles, "_candidates", counted)
+    kept = {r.doc_id for r in simhash.keep_first(docs, words=5, similarity=0.8).collect()}
+    assert kept == plain_kept(texts)
+    assert asked and asked[0].count() > 0
+    assert made and all(rows <= 6 * pairs for rows, pairs in made)
