@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of the actions within are deleted as each of them ends, not when the driver's memory is next collected: for actions whose
+    result is written or a number, so that nothing reads their shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Tables:
     """Intermediate tables in the shared folder: they cut the lineage and outlive lost executors."""
 
@@ -38,7 +52,8 @@ class Tables:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with passing(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, passing
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame, *, most_rounds: int = 64) -> DataFrame:
     for i in range(1, most_rounds + 2):
         # done when all edges point to a root: no node has two smaller neighbours or stands on both sides
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("up")))
-        if not ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("down")).where("ups > 1 or ups = 1 and down = 0").limit(1).count():
+        with passing(edges.sparkSession):
+            going = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("down")).where("ups > 1 or ups = 1 and down = 0").limit(1).count()
+        if not going:
             break
         if i > most_rounds:
             raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Tables, mix, slices, tasks_for, unused
+from .common import Tables, mix, passing, slices, tasks_for, unused
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -145,7 +145,10 @@ def span(f: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def links(prints: DataFrame, *, distance: int = 4, count: int | None = None) -> DataFrame:
     """(u, v) long: links between different fingerprints of column simhash, enough to connect all that are linked."""
     prints = prints.select("simhash").distinct()
-    masks = np.array(cells(prints.count() if count is None else count, distance), np.uint64)
+    if count is None:
+        with passing(prints.sparkSession):
+            count = prints.count()
+    masks = np.array(cells(count, distance), np.uint64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix(np.arange(1, len(masks) + 1, dtype=np.uint64))

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -140,3 +141,23 @@ def test_near_pairs_come_from_fingerprints_first_and_count_in_few_of_their_cells
     assert kept == plain_kept(texts)
     assert asked and asked[0].count() > 0
     assert made and all(rows <= 6 * pairs for rows, pairs in made)
+
+
+def test_tables_and_components_leave_no_shuffle_files(spark):
+    """A table's shuffles are gone once it is written: near_dedup makes hundreds of them, with many small files each."""
+    from codeweave.llm.common import Tables
+    from codeweave.llm.components import components
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x.rsplit("/", 1)[1].split("_")[1] for x in disk.getAllFiles().mkString(",").split(",") if "/shuffle_" in x}
+    before, key = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    edges = Tables(spark, "test").put(spark.range(1000).selectExpr("id % 100 as u", "id % 50 as v").distinct(), "edges")
+    found = components(edges)
+    assert spark.conf.get(key, None) == setting
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert len(found.collect()) == 100
