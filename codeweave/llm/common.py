@@ -62,6 +62,12 @@ class Tables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keep_freed() -> None:
+    """From now on this process keeps some MB of what it frees. glibc hands back every block of over 128 KB, and the pages of the next such array are fetched anew;
+    that bound grows once a larger block is freed."""
+    np.empty(1 << 24, np.uint8)
+
+
 def unused(columns: list[str], *stems: str) -> list[str]:
     """A name for each stem that is none of the columns, in any case."""
     taken, out = {c.lower() for c in columns}, []

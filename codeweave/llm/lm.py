@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tables, slices, unused
+from .common import Tables, keep_freed, slices, unused
 from .gru import Gru, Trainer
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -65,13 +66,6 @@ class Units(dict):
         return unit
 
 
-class Places(dict):
-    """Places by word; -1 for other words."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def _texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     for whole in batches:
         for batch in slices(whole, column, most):
@@ -83,6 +77,7 @@ def count_words(texts: DataFrame, flush: int = 400_000) -> DataFrame:
     text = texts.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         counts: Counter[bytes] = Counter()
         for batch, found in _texts(batches, text):
             for words in found:
@@ -131,6 +126,7 @@ def _train(ids: DataFrame, model: Gru, n_tokens: int, rates: tuple[float, ...],
         start = spark.sparkContext.broadcast((model, model.flat()))
 
         def run(batches: Iterator[pa.RecordBatch], rate=rate, start=start) -> Iterator[pa.RecordBatch]:
+            keep_freed()
             net, flat = start.value
             shard, trainer = None, None
 
@@ -222,32 +218,31 @@ def score(
     words_ = spark.sparkContext.broadcast((list(known), np.array(list(known.values()), np.float64)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         listed, counted = words_.value
-        of, places = Units(single), Places(zip(listed, range(len(listed)), strict=True))
-        place_of = places.__getitem__
-        unit_of = np.array([of[w] for w in listed], np.int64)
-        log_count = np.log10(counted + 0.1)
+        of, places, none = Units(single), {w: i for i, w in enumerate(listed)}, len(listed)
+        unit_of = np.array([*(of[w] for w in listed), 0], np.int64)
+        log_count = np.append(np.log10(counted + 0.1), 0.0)
         in_class = np.where(unit_of < n_single, 0.0, log_count - below[unit_of])
+        in_class[none] = 0.0
         end_count = float(np.log10((counted[places[b""]] if b"" in places else 0) + 0.1))
-        for batch, found in _texts(batches, text):
-            codes, n_tokens, n_known, base, own, rest = [], [], [], [], [], []
-            for words in found:
-                at = np.fromiter(map(place_of, words), np.int64, len(words))
-                there = at >= 0
-                c = np.empty(len(words) + 1, np.uint16)
-                c[-1] = end
-                c[:-1][there] = unit_of[at[there]]
-                tail = [words[i] for i in np.flatnonzero(~there).tolist()]
-                others = [of[w] for w in tail]
-                c[:-1][~there] = others
-                codes.append(c.tobytes())
-                n_tokens.append(len(c))
-                n_known.append(int(there.sum()) + (n_all > 0))
-                base.append(float(log_count[at[there]].sum()) + end_count)
-                own.append(float(in_class[at[there]].sum()) - float(below[others].sum() if others else 0.0))
-                rest.append(tail)
+        for batch, found in _texts(batches, text):  # all words of a batch at once
+            n, words = len(found), list(chain.from_iterable(found))
+            sizes = np.fromiter(map(len, found), np.int64, n)
+            doc, ends = np.repeat(np.arange(n), sizes), np.cumsum(sizes)
+            at = np.array(list(map(places.get, words, repeat(none))), np.int64)
+            rare = np.flatnonzero(at == none)
+            tail = [words[i] for i in rare.tolist()]
+            others, rares = np.array([of[w] for w in tail], np.int64), np.bincount(doc[rare], minlength=n)
+            c = unit_of[at].astype(np.uint16)
+            c[rare] = others
+            base = np.bincount(doc, log_count[at], n) + end_count
+            own = np.bincount(doc, in_class[at], n) - np.bincount(doc[rare], below[others], n)
+            starts = np.append(0, (ends + np.arange(1, n + 1)) * 2).astype(np.int32)
+            codes = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(starts), pa.py_buffer(np.insert(c, ends, end))])
+            rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rares)).astype(np.int32)), pa.array(tail, pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(codes, pa.binary()), pa.array(rest, pa.list_(pa.binary()))],
+                [*[batch.column(c) for c in keep], batch.column("held_out"), pa.array(sizes + 1), pa.array(sizes - rares + (n_all > 0)), pa.array(base), pa.array(own), codes, rest],
                 names=[*keep, "held_out", "n_tokens", known_, base_, own_, ids_, rest_],
             )
 
@@ -260,6 +255,7 @@ def score(
     passed = [*keep, "held_out", "n_tokens", known_, base_, own_, row_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         net = net_.value
         for whole in batches:
             for batch in slices(whole, ids_, 1 << 22):  # many documents at once, so that few steps have few of them

@@ -161,3 +161,21 @@ def test_tables_and_components_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert shuffles() <= before
     assert len(found.collect()) == 100
+
+
+def test_freed_arrays_stay_with_the_process():
+    """Loops over arrays of some 100 KB don't fetch their pages anew each time."""
+    import subprocess
+
+    loop = "import resource, numpy as np; f = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt; n = f()\nfor _ in range(100): x = [np.ones(k * 10_000) for k in range(2, 10)]; del x\nprint(f() - n)"
+    faults = [int(subprocess.run([sys.executable, "-c", begin + loop], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2]).stdout) for begin in ("", "from codeweave.llm.common import keep_freed; keep_freed()\n")]
+    assert faults[1] < 5000 < faults[0], faults
+
+
+def test_codes_of_documents_without_words_between_others(spark):
+    from codeweave.llm import lm
+
+    docs = [(1, "a b a"), (2, None), (3, "  "), (4, "c a zz"), (5, "b"), (6, "")]
+    out = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), table=2).collect()}
+    assert {i: r.n_tokens for i, r in out.items()} == {1: 4, 2: 1, 3: 1, 4: 4, 5: 2, 6: 1}
+    assert out[2].base_score == out[3].base_score == out[6].base_score and out[2].score == out[3].score == out[6].score
