@@ -133,3 +133,39 @@ def test_nothing_to_learn(table):
     assert {r.score for r in run.scores().collect()} == {0.5}
     with pytest.raises(ValueError):
         boost.fit_all(table, FEATURES, [Fit("x", F.lit(True), F.lit(True), FEATURES)] * 64)
+
+
+def test_only_the_rows_that_a_fit_learns_from_count(table, monkeypatch):
+    """The table is far larger than the bound, the rows of the fit are not: no job for each level."""
+
+    def never(*_):
+        raise AssertionError("grown by levels")
+
+    monkeypatch.setattr(boost, "_grown_by_levels", never)
+    few = [Fit("x", F.col("source") < 6, F.lit(True), FEATURES, setting=Boost(depth=3, rounds=3, bins=16, least=0.5))]
+    run = boost.fit_all(table, FEATURES, few, category="pair", memory=6 * 12 * 40)
+    assert run.scores().count() == 40 * 12 and any(t.feature[0] >= 0 for t in run.trees[0])
+
+
+def test_joint_sums_and_pairs_in_parts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, starts = 900, np.arange(0, 900, 30)
+    bins = np.stack([rng.integers(0, w, n) for w in (2, 16, 16, 5, 1, 16)]).astype(np.uint8)
+    y = ((bins[1] + bins[2] + rng.integers(0, 9, n)) > 27).astype(int)
+    key = rng.integers(0, 1 << 60, n)
+    for objective in ("logistic", "pairwise", "ndcg"):
+        setting, found = Boost(depth=4, rounds=6, bins=16, least=1.0, objective=objective), []
+        for joint, pairs in ((1, 1 << 20), (100, 50), (10_000, 1)):
+            monkeypatch.setattr(boost, "JOINT", joint)
+            monkeypatch.setattr(boost, "PAIRS", pairs)
+            rows = rows_of(bins.T, y, key, starts)
+            trees = boost.grow(rows, setting)
+            found.append(([as_dict(t) for t in trees], boost.margins(trees, rows.bins, 4).tolist()))
+        assert found[0] == found[1] == found[2] and len(found[0][0][0]) > 1
+
+
+def test_the_learners_table_begins_its_own_plan(spark):
+    from codeweave.plans.standins import Data
+
+    plan = Data(spark, "/root/testdata/sf0.001").candidates._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan and "Join" not in plan
