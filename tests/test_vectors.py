@@ -80,3 +80,35 @@ def test_empty_sides(spark, data):
     s, t, _ = data
     none = s.where(F.lit(False))
     assert cosine_lists(none, t, CUTS, k=2).count() == cosine_lists(s, none, CUTS, k=2).count() == cosine_counts(none, t, CUTS["a"]).count() == 0
+
+
+def test_lists_take_the_exact_best_of_close_cosines(spark):
+    """Cosines that short floats can't tell apart: all units of the last digits decide, ties go by id; blocks of several stripes."""
+    from codeweave.operators.vectors import cosine_best
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=8)
+    s = (base + 1e-3 * rng.normal(size=(200, 8))).astype(np.float32)
+    t = (base + 1e-3 * rng.normal(size=(5000, 8))).astype(np.float32)
+    table = lambda v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<float>")
+    unit = lambda v: v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    v = np.rint(unit(s) @ unit(t).T * 10**6).astype(int)
+    place = places(v, 1)
+    got = {(r.source, r.target): (round(r.x * 10**6), r.rank_x) for r in cosine_lists(table(s), table(t), {"x": slice(0, 8)}, k=5).collect()}
+    assert got == {(i, j): (v[i, j], place[i, j]) for i, j in np.argwhere(place <= 5)}
+    best = {(r.source, r.target): r["rank"] for r in cosine_best(table(s), table(t), slice(0, 8), k=5).collect()}
+    assert best == {(i, j): place[i, j] for i, j in np.argwhere(place <= 5)}
+    back = places(v, 0)
+    pairs = spark.createDataFrame([(int(i), int(j), float(v[i, j] / 10**6)) for i, j in np.argwhere(place <= 5)], "source long, target long, x double")
+    for side, all_of in (("source", place), ("target", back)):
+        for r in cosine_places(pairs, table(s), table(t), {"x": slice(0, 8)}, side=side, spread=side == "source").collect():
+            assert r.place_x == all_of[r.source, r.target]
+
+
+def test_scores_are_kept(spark):
+    """Queries that look at the scores several times compute the product once."""
+    from codeweave.plans.standins import Data
+
+    d = Data(spark, "/root/testdata/sf0.001")
+    assert d.scored.storageLevel.useMemory
+    d.scored.unpersist()
