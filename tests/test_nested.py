@@ -107,3 +107,16 @@ def test_studies_return_a_row_for_each_point(spark, table):
     assert curve[30].f1 is None and curve[5].repeats == 2 and curve[20].f1 > 0.5
     cost = nested.holdout_cost(table, FEATURES, known, spark.createDataFrame([(s, s % 7) for s in range(30)], "source long, ccs_id int"), 2, RETRIEVALS[-1], 0.5, 0.9, SMALL).collect()
     assert {r.split for r in cost} == {"code", "category"} and all(r.repeats == 2 for r in cost)
+
+
+def test_fixed_scores_are_looked_at_once(spark, rows, table):
+    """The choice equals that over copies for each outer fold, and no shuffle carries copies for each retrieval."""
+    fold = table.select("source", "fold").distinct()
+    known = table.where("y = 1").select("source", "target")
+    totals = nested.inner_totals(known, fold)
+    inside = table.withColumn("outer", F.explode(F.array(*map(F.lit, range(5))))).where("outer <> fold")
+    want = {tuple(r) for r in nested.choose_setting(inside, totals, RETRIEVALS).collect()}
+    assert {tuple(r) for r in nested.choose_fixed(table, totals, RETRIEVALS).collect()} == want and len(want) == 5
+    plan = nested.cells(nested.eligible_copies(table.repartition(3), RETRIEVALS, []), ["fold", "retrieval"], F.array(F.lit(0.5)), [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate") :]
+    assert "Window" in below and "Window" not in plan[: plan.index("Generate")]
