@@ -112,3 +112,13 @@ def test_scores_are_kept(spark):
     d = Data(spark, "/root/testdata/sf0.001")
     assert d.scored.storageLevel.useMemory
     d.scored.unpersist()
+
+
+def test_the_study_looks_at_its_pool_once(spark):
+    """Label pairs and features come from one kept pool, so each product of the vectors stands once in the study's plan."""
+    from codeweave.plans.standins import Data
+
+    d = Data(spark, "/root/testdata/sf0.001")
+    plan = d.study._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") >= 2 and "place_sim_a" not in plan.split("InMemoryRelation")[0]
+    d.study_pool.unpersist()
